@@ -1,3 +1,4 @@
 """Importing this module registers every query."""
 
 import suite.reports  # noqa: F401
+import suite.inputs  # noqa: F401

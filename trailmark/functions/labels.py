@@ -71,39 +71,6 @@ def reason_codes(decision: Column) -> Column:
     return F.coalesce(F.array_sort(F.array_distinct(kept)), F.array().cast("array<string>"))
 
 
-def read_eligibility(receipt: Column, path: str = "$.analytic_eligibility") -> Column:
-    """Inclusion state of one receipt: struct<eligible, eligibility_status, reason_codes>.
-
-    An absent field is eligible; JSON null and any other shape fail closed.
-    """
-    field = strict.child(receipt, path)
-    kind = strict.json_type(receipt, path)
-    flag = strict.strict_bool(receipt, path)
-    nested = strict.strict_bool(receipt, path + ".eligible")
-    nested_status = strict.strict_string(receipt, path + ".status")
-    mapping = kind.startswith("OBJECT")
-    status = (
-        F.when(kind.isNull(), "NOT_DECLARED_LEGACY_ELIGIBLE")
-        .when(kind == "BOOLEAN", F.when(flag, "EXPLICIT_BOOLEAN_ELIGIBLE").otherwise("EXPLICIT_BOOLEAN_EXCLUDED"))
-        .when(mapping & nested, "EXPLICIT_MAPPING_ELIGIBLE")
-        .when(mapping & ~nested, "EXPLICIT_MAPPING_EXCLUDED")
-        .when(mapping & (nested_status == "ELIGIBLE"), "EXPLICIT_MAPPING_STATUS_ELIGIBLE")
-        .when(mapping & nested_status.isin("EXCLUDED", "INELIGIBLE"), "EXPLICIT_MAPPING_STATUS_EXCLUDED")
-        .otherwise("MALFORMED_EXPLICIT_FIELD_EXCLUDED")
-    )
-    codes = (
-        F.when(status.startswith("EXPLICIT_MAPPING"), reason_codes(field))
-        .when(status == "EXPLICIT_BOOLEAN_EXCLUDED", F.array(F.lit("EXPLICIT_BOOLEAN_EXCLUDED")))
-        .when(status.startswith("MALFORMED"), F.array(F.lit("MALFORMED_EXPLICIT_FIELD")))
-        .otherwise(F.array().cast("array<string>"))
-    )
-    return F.struct(
-        status.endswith("ELIGIBLE").alias("eligible"),
-        status.alias("eligibility_status"),
-        codes.alias("reason_codes"),
-    )
-
-
 def apply_eligibility(
     availability: Column,
     base_termination: Column,

@@ -23,6 +23,20 @@ def read_or_empty(spark: SparkSession, read, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def parse_exact(lines: DataFrame) -> DataFrame:
+    """Adds ``record``: the text as one VARIANT; NULL if malformed or followed by more.
+
+    The JSON parser stops after the first value, so ``{}}`` would pass. Parsing
+    ``[text, hash of text]`` and finding the hash second rules out trailing content.
+    """
+    marked = lines.withColumn("_mark", F.xxhash64("value"))
+    text = F.concat(F.lit("["), F.col("value"), F.lit(","), F.col("_mark").cast("string"), F.lit("]"))
+    paired = marked.withColumn("_pair", F.try_parse_json(text))
+    whole = F.try_variant_get("_pair", "$[1]", "bigint") == F.col("_mark")
+    first = F.try_variant_get("_pair", "$[0]", "variant")
+    return paired.withColumn("record", F.when(whole, first)).drop("_mark", "_pair")
+
+
 def json_problem(text: Column, parsed: Column) -> Column:
     return (
         F.when(F.trim(text) == "", BLANK)
@@ -36,7 +50,7 @@ def parse_objects(lines: DataFrame, strict_mode: bool) -> DataFrame:
 
     Strict mode fails the job on the first bad text; audit mode keeps it with its reason.
     """
-    parsed = lines.withColumn("record", F.try_parse_json("value"))
+    parsed = parse_exact(lines)
     flagged = parsed.withColumn("problem", json_problem(F.col("value"), F.col("record")))
     if not strict_mode:
         return flagged.select("file_name", "record", "problem", "value")

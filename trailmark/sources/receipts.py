@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.functions import strict
-from trailmark.functions.labels import read_eligibility
+from trailmark.operators.eligibility import read_eligibility
 from trailmark.sources.documents import read_json_files
 
 
@@ -44,8 +44,7 @@ def _failure(v: Column) -> list[Column]:
 
 
 def _with_eligibility(receipts: DataFrame, columns: list[Column]) -> DataFrame:
-    decided = receipts.withColumn("_eligibility", read_eligibility(F.col("record")))
-    return decided.select(*columns, "_eligibility.*")
+    return read_eligibility(receipts).select(*columns, "eligible", "eligibility_status", "reason_codes")
 
 
 def typed_rollouts(receipts: DataFrame) -> DataFrame:
