@@ -136,7 +136,7 @@ DUCKDB_VIEWS = {
 SELECT doc_id, list_transform(string_split(text, ' '), lambda w: CAST(length(w) AS INTEGER)) AS token_ids FROM documents""",
 }
 
-_NAME = re.compile(r"\{(\w+)\}")
+_NAME = re.compile(r"\{([a-z]\w*)\}")
 
 
 class Fixtures:

@@ -30,11 +30,14 @@ NO_BOX = "completion contains no boxed expression"
 NO_BRACE = "boxed marker is not followed by an opening brace"
 NO_CLOSE = "boxed expression has no matching closing brace"
 EMPTY_BOX = "boxed expression is empty"
-NO_REFERENCE = "missing or empty reference answer"
-NO_CANDIDATE = "missing or empty candidate answer"
-REFERENCE_UNPARSED = "reference answer did not parse"
-CANDIDATE_UNPARSED = "candidate answer did not parse"
-NON_BOOLEAN = "symbolic verifier returned a non-Boolean value"
+REASONS = {
+    "EXTRACTION_FAULT": "answer extraction failed",
+    "NO_REFERENCE": "missing or empty reference answer",
+    "NO_CANDIDATE": "missing or empty candidate answer",
+    "REFERENCE_UNPARSED": "reference answer did not parse",
+    "CANDIDATE_UNPARSED": "candidate answer did not parse",
+    "NO_VERDICT": "symbolic verifier returned a non-Boolean value",
+}
 
 _BRACES = re.compile(r"\\.|[{}]", re.DOTALL)
 _OPENER = re.compile(r"\s*\{")
@@ -113,58 +116,12 @@ def normalise_answer(answer: Column) -> Column:
 # At most 12 integer and 6 fractional digits, so that cross products stay exact.
 _NUMBER = r"[+-]?[0-9]{1,12}(?:\.[0-9]{1,6})?"
 _RATIONAL = rf"^({_NUMBER})(?:/({_NUMBER}))?$"
+EXACT = "decimal(18,6)"
 
 
-def _rational(normalised: Column) -> tuple[Column, Column]:
-    top = F.nullif(F.regexp_extract(normalised, _RATIONAL, 1), F.lit(""))
-    bottom = F.coalesce(F.nullif(F.regexp_extract(normalised, _RATIONAL, 2), F.lit("")), F.lit("1"))
-    exact = "decimal(18,6)"
-    return top.try_cast(exact), F.nullif(bottom.try_cast(exact), F.lit(0).cast(exact))
-
-
-def answers_equal(reference: Column, candidate: Column) -> Column:
-    """Exact text equality, or equality as rational numbers when both are numeric."""
-    left, right = normalise_answer(reference), normalise_answer(candidate)
-    a, b = _rational(left)
-    c, d = _rational(right)
-    return F.coalesce(a * d == c * b, left == right)
-
-
-def _result(status, correct, reason=None, ref_count=None, cand_count=None) -> Column:
-    as_lit = lambda value, kind: (value if isinstance(value, Column) else F.lit(value)).cast(kind)
-    return F.struct(
-        as_lit(status, "string").alias("status"),
-        as_lit(correct, "boolean").alias("correct"),
-        as_lit(reason, "string").alias("reason"),
-        as_lit(ref_count, "int").alias("parsed_reference_count"),
-        as_lit(cand_count, "int").alias("parsed_candidate_count"),
-    )
-
-
-def evaluate_answer(reference: Column, candidate: Column, equal: Column | None = None) -> Column:
-    """Grade one answer; every non-evaluable case keeps its reason.
-
-    ``equal`` may be a user's Arrow UDF result: a boolean, NULL meaning a fault.
-    """
-    blank = lambda text: F.coalesce(F.trim(text) == "", F.lit(True))
-    unparsed = lambda text: normalise_answer(text) == ""
-    verdict = answers_equal(reference, candidate) if equal is None else equal
-    return (
-        F.when(blank(reference), _result("NON_EVALUABLE", None, NO_REFERENCE))
-        .when(blank(candidate), _result("NON_EVALUABLE", None, NO_CANDIDATE))
-        .when(unparsed(reference), _result("NON_EVALUABLE", None, REFERENCE_UNPARSED, 0))
-        .when(unparsed(candidate), _result("NON_EVALUABLE", None, CANDIDATE_UNPARSED, 1, 0))
-        .when(verdict.isNull(), _result("ERROR", None, NON_BOOLEAN, 1, 1))
-        .otherwise(_result(F.when(verdict, "CORRECT").otherwise("INCORRECT"), verdict, None, 1, 1))
-    )
-
-
-def evaluate_extraction(reference: Column, extraction: Column, equal: Column | None = None) -> Column:
-    unavailable = (extraction["status"] != "EXTRACTED") | extraction["extracted_text"].isNull()
-    reason = F.concat(F.lit("answer extraction status: "), extraction["status"])
-    failed = F.when(
-        extraction["status"] == "ERROR", _result("ERROR", None, "answer extraction failed")
-    ).otherwise(_result("NON_EVALUABLE", None, reason))
-    return F.when(unavailable, failed).otherwise(
-        evaluate_answer(reference, extraction["extracted_text"], equal)
-    )
+def rational_part(normalised: Column, group: int) -> Column:
+    """Numerator (1) or denominator (2) of a numeric answer; NULL if it is not numeric."""
+    found = F.nullif(F.regexp_extract(normalised, _RATIONAL, group), F.lit(""))
+    if group == 1:
+        return found.try_cast(EXACT)
+    return F.nullif(F.coalesce(found, F.lit("1")).try_cast(EXACT), F.lit(0).cast(EXACT))
