@@ -9,7 +9,7 @@ from suite.oracle_parts import (
 )
 from suite.registry import query
 from suite.views import POSITIONS
-from trailmark.functions.labels import validated_label
+from trailmark.functions.labels import derived_code, label_of_code, verdict
 from trailmark.functions.receipts import normalise_evaluation
 from trailmark.operators import accounting, grading, planning, stages, summary, transitions
 from trailmark.plans.analysis import analysis_sections, report_rows
@@ -276,9 +276,8 @@ WITH {facts("fx_checkpoints_own")} SELECT parent_rollout_id, checkpoint_token, d
         transitions.checkpoint_parent_join(
             fx.checkpoints_own.where(transitions.declared_position_filter(POSITIONS) & (F.col("status") == "COMPLETED")),
             fx.rollouts)
-    ).select("parent_rollout_id", "checkpoint_token", transitions.classify_transition(
-        F.col("forced_status"), F.col("forced_correct"),
-        F.when(F.col("final_verdict").isNotNull(), "CORRECT"), F.col("final_verdict")).alias("label")))
+    ).select("parent_rollout_id", "checkpoint_token", label_of_code(derived_code(
+        verdict(F.col("forced_status"), F.col("forced_correct")), F.col("final_verdict"))).alias("label")))
 
 for _name, _label, _own in (("primary_transitions", "primary_label", False), ("observed_transitions", "observed_label", True)):
     _src = "fx_checkpoints_own" if _own else "fx_checkpoints"

@@ -8,56 +8,60 @@ from pyspark.sql import functions as F
 from trailmark.functions import strict
 from trailmark.functions.receipts import is_evaluated
 from trailmark.params import CensoringPolicy
-from trailmark.vocab import NOT_RECORDED, TRANSITION_LABELS
+
+
+def verdict(status: Column, correct: Column) -> Column:
+    """Correctness of an evaluated answer; NULL for every other status."""
+    return F.when(is_evaluated(status), correct)
+
+
+# A label's code is 2 * correct_at_checkpoint + correct_at_end, so it follows from the
+# two verdicts by arithmetic and is NULL if either verdict is.
+_BY_CODE = ("W_TO_W", "W_TO_C", "C_TO_W", "C_TO_C")
+
+
+def _labels() -> Column:
+    return F.array(*[F.lit(label) for label in _BY_CODE])
+
+
+def derived_code(forced_verdict: Column, final_verdict: Column) -> Column:
+    return forced_verdict.cast("int") * 2 + final_verdict.cast("int")
+
+
+def code_of_label(label: Column) -> Column:
+    """Code of a recorded label; NULL if it is NULL or not one of the four labels."""
+    return (F.nullif(F.array_position(_labels(), label), F.lit(0)) - 1).cast("int")
+
+
+def label_of_code(code: Column) -> Column:
+    return F.get(_labels(), code)
 
 
 def classify_transition(
     forced_status: Column, forced_correct: Column, final_status: Column, final_correct: Column
 ) -> Column:
     """wrong/correct at the checkpoint -> wrong/correct at the end; NULL unless both evaluated."""
-    letter = lambda correct: F.when(correct, "C").otherwise("W")
-    usable = (
-        is_evaluated(forced_status)
-        & is_evaluated(final_status)
-        & forced_correct.isNotNull()
-        & final_correct.isNotNull()
-    )
-    return F.when(usable, F.concat(letter(forced_correct), F.lit("_TO_"), letter(final_correct)))
+    code = derived_code(verdict(forced_status, forced_correct), verdict(final_status, final_correct))
+    return label_of_code(code)
 
 
-def final_reference(
-    ref_status: Column, ref_correct: Column, parent_status: Column, parent_correct: Column
-) -> tuple[Column, Column]:
-    """The checkpoint's own final reference, else its parent's final evaluation."""
-    own = F.coalesce(ref_status, F.lit(NOT_RECORDED)) != NOT_RECORDED
-    return (
-        F.when(own, ref_status).otherwise(parent_status),
-        F.when(own, ref_correct).otherwise(parent_correct),
+def agreed_code(recorded: Column, derived: Column) -> Column:
+    """The recorded code if valid, else the derived one; NULL when they contradict."""
+    return F.when(recorded.isNull(), derived).when(
+        derived.isNull() | (recorded == derived), recorded
     )
 
 
-def validated_label(derived: Column, *sources: tuple[str, Column]) -> Column:
-    """Reconcile a recorded label with the derived one.
-
-    ``sources`` are (name, column) pairs in order of preference; the first
-    non-null column is the recorded label. Returns struct<label, label_status>.
-    """
-    recorded = F.coalesce(*[column for _, column in sources])
-    name = F.lit(sources[-1][0].upper())
-    for source, column in reversed(sources[:-1]):
-        name = F.when(column.isNotNull(), F.lit(source.upper())).otherwise(name)
-    valid = F.coalesce(recorded.isin(*TRANSITION_LABELS), F.lit(False))
-    clash = valid & derived.isNotNull() & (recorded != derived)
-    label = F.when(clash, F.lit(None)).when(valid, recorded).otherwise(derived)
-    status = (
-        F.when(clash, F.concat(name, F.lit("_AND_DERIVED_TRANSITION_MISMATCH")))
-        .when(valid & derived.isNotNull(), F.concat(name, F.lit("_AND_DERIVED_TRANSITION")))
-        .when(valid, F.concat(name, F.lit("_TRANSITION_ONLY")))
+def agreement_status(name: Column, raw_label: Column, recorded: Column, derived: Column) -> Column:
+    """How :func:`agreed_code` was reached; ``name`` is the upper-cased source column."""
+    return (
+        F.when(recorded != derived, F.concat(name, F.lit("_AND_DERIVED_TRANSITION_MISMATCH")))
+        .when(recorded == derived, F.concat(name, F.lit("_AND_DERIVED_TRANSITION")))
+        .when(recorded.isNotNull(), F.concat(name, F.lit("_TRANSITION_ONLY")))
         .when(derived.isNotNull(), F.lit("DERIVED_TRANSITION"))
-        .when(recorded.isNotNull(), F.concat(F.lit("INVALID_"), name))
+        .when(raw_label.isNotNull(), F.concat(F.lit("INVALID_"), name))
         .otherwise(F.lit("NON_EVALUABLE_OR_ERROR_TRANSITION"))
     )
-    return F.struct(label.alias("label"), status.alias("label_status"))
 
 
 def reason_codes(decision: Column) -> Column:

@@ -24,20 +24,21 @@ def hot_keys(df: DataFrame, key: str) -> Column:
 
 
 def salted_left_join(
-    left: DataFrame, right: DataFrame, left_key: str, right_key: str
+    left: DataFrame, right: DataFrame, left_key: str, right_key: str, spread_by: list[str]
 ) -> DataFrame:
     """``left LEFT JOIN right`` where ``right`` is unique on ``right_key``.
 
-    Rows of hot keys (and NULL keys, which match nothing) get a salt computed from
-    the whole row, and the matching right rows - at most ``HOT_SHARE`` of them - are
-    repeated once per salt value. All other rows keep salt 0, so nothing else is
-    replicated. The second join key also gives both sides a plain exchange, which
-    lets AQE split a partition of identical copies that no row hash can separate.
+    Rows of hot keys (and NULL keys, which match nothing) get a salt hashed from the
+    few ``spread_by`` columns, and the matching right rows - at most ``HOT_SHARE`` of
+    them - are repeated once per salt value. All other rows keep salt 0, so nothing
+    else is replicated. The salt is a function of the row, so a recomputed task sends
+    each row to the same place. The second join key also gives both sides a plain
+    exchange, which lets AQE split a partition of copies that no hash can separate.
     """
     spark = left.sparkSession
     salts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     hot = hot_keys(left, left_key)
-    spread = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
+    spread = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
     is_hot = lambda key: F.coalesce(F.array_contains(hot, F.col(key)), F.lit(False))
     salted = left.withColumn(
         "_salt", F.when(F.col(left_key).isNull() | is_hot(left_key), spread).otherwise(0)

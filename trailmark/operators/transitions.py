@@ -7,8 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.functions.labels import classify_transition, validated_label
-from trailmark.functions.receipts import count_where, is_completed, is_evaluated, ratio
+from trailmark.functions.labels import (
+    agreed_code,
+    agreement_status,
+    code_of_label,
+    derived_code,
+    label_of_code,
+    verdict,
+)
+from trailmark.functions.receipts import count_where, is_completed, ratio
 from trailmark.operators.scaffold import literal_rows
 from trailmark.operators.skew import salted_left_join
 from trailmark.params import declared_positions
@@ -34,9 +41,8 @@ def unique_base_index(rollouts: DataFrame) -> DataFrame:
     The aggregates are per column, so a report that needs only the verdict and the
     eligibility flag prunes the string columns and keeps a plain hash aggregate.
     """
-    verdict = F.when(is_evaluated(F.col("final_status")), F.col("final_correct"))
     named = {
-        "parent_verdict": verdict,
+        "parent_verdict": verdict(F.col("final_status"), F.col("final_correct")),
         "parent_final_status": F.coalesce("final_status", F.lit(NOT_RECORDED)),
         "parent_eligible": F.col("eligible"),
         "parent_eligibility_status": F.col("eligibility_status"),
@@ -57,14 +63,15 @@ def unique_base_index(rollouts: DataFrame) -> DataFrame:
 def checkpoint_parent_join(checkpoints: DataFrame, rollouts: DataFrame) -> DataFrame:
     """Each checkpoint with its unambiguous parent; ``parent_found`` tells the others apart."""
     base = unique_base_index(rollouts)
-    joined = salted_left_join(checkpoints, base, "parent_rollout_id", "base_id")
+    spread_by = [c for c in ("checkpoint_id", "problem_id", "checkpoint_token") if c in checkpoints.columns]
+    joined = salted_left_join(checkpoints, base, "parent_rollout_id", "base_id", spread_by)
     return joined.withColumn("parent_found", F.col("base_id").isNotNull()).drop("base_id")
 
 
 def final_reference_fallback(joined: DataFrame) -> DataFrame:
     """Adds ``final_verdict``: the checkpoint's own final reference, else the parent's."""
     own = F.coalesce("final_ref_status", F.lit(NOT_RECORDED)) != NOT_RECORDED
-    own_verdict = F.when(is_evaluated(F.col("final_ref_status")), F.col("final_ref_correct"))
+    own_verdict = verdict(F.col("final_ref_status"), F.col("final_ref_correct"))
     return joined.withColumn(
         "final_verdict", F.when(own, own_verdict).otherwise(F.col("parent_verdict"))
     )
@@ -80,22 +87,25 @@ def transition_facts(
     """
     wanted = checkpoints.where(declared_position_filter(positions) & is_completed())
     joined = final_reference_fallback(checkpoint_parent_join(wanted, rollouts))
-    forced = F.when(is_evaluated(F.col("forced_status")), F.col("forced_correct"))
-    # A verdict is the correctness of an evaluated answer, so its status is implied.
-    derived = classify_transition(
-        F.when(forced.isNotNull(), "CORRECT"), forced,
-        F.when(F.col("final_verdict").isNotNull(), "CORRECT"), F.col("final_verdict"),
-    )
-    labelled = joined.withColumn("derived", derived).select(
-        "parent_rollout_id", "problem_id", "checkpoint_token", "parent_found",
-        "eligible", "eligibility_status", "reason_codes",
-        "parent_eligible", "parent_eligibility_status", "parent_reason_codes",
-        validated_label(F.col("derived"), ("transition_label", F.col("transition_label"))).alias("primary"),
-        validated_label(
-            F.col("derived"),
-            ("observed_transition_label", F.col("observed_transition_label")),
-            ("transition_label", F.col("transition_label")),
-        ).alias("observed"),
+    forced = verdict(F.col("forced_status"), F.col("forced_correct"))
+    coded = joined.withColumns(
+        {
+            "derived": derived_code(forced, F.col("final_verdict")),
+            "p_recorded": code_of_label(F.col("transition_label")),
+            "o_raw": F.coalesce("observed_transition_label", "transition_label"),
+            "o_name": F.when(
+                F.col("observed_transition_label").isNotNull(), "OBSERVED_TRANSITION_LABEL"
+            ).otherwise("TRANSITION_LABEL"),
+        }
+    ).withColumn("o_recorded", code_of_label(F.col("o_raw")))
+    derived, p_recorded, o_recorded = F.col("derived"), F.col("p_recorded"), F.col("o_recorded")
+    labelled = coded.withColumns(
+        {
+            "p_code": agreed_code(p_recorded, derived),
+            "p_status": agreement_status(F.lit("TRANSITION_LABEL"), F.col("transition_label"), p_recorded, derived),
+            "o_code": agreed_code(o_recorded, derived),
+            "o_status": agreement_status(F.col("o_name"), F.col("o_raw"), o_recorded, derived),
+        }
     )
     has_problem = F.coalesce(F.col("problem_id") != "", F.lit(False))
     checked = F.col("parent_found") & has_problem
@@ -104,12 +114,12 @@ def transition_facts(
         .when(~has_problem, BAD_PROBLEM)
         .when(~F.col("eligible"), EXCLUDED)
         .when(~F.col("parent_eligible"), PARENT_EXCLUDED)
-        .when(F.col("primary.label").isNull(), F.concat(F.lit("PRIMARY:"), "primary.label_status"))
+        .when(F.col("p_code").isNull(), F.concat(F.lit("PRIMARY:"), "p_status"))
         .otherwise(VALID_PRIMARY)
     )
     observed_outcome = F.when(
         checked,
-        F.when(F.col("observed.label").isNull(), F.concat(F.lit("OBSERVED:"), "observed.label_status"))
+        F.when(F.col("o_code").isNull(), F.concat(F.lit("OBSERVED:"), "o_status"))
         .otherwise(VALID_OBSERVED),
     )
     effective = (
@@ -129,10 +139,10 @@ def transition_facts(
     return labelled.select(
         "parent_rollout_id", "problem_id", "checkpoint_token",
         stage.alias("stage"),
-        F.when(in_primary, F.col("primary.label")).alias("primary_label"),
-        F.when(in_primary, F.col("primary.label_status")).alias("primary_label_status"),
-        F.when(checked, F.col("observed.label")).alias("observed_label"),
-        F.when(checked, F.col("observed.label_status")).alias("observed_label_status"),
+        label_of_code(F.when(in_primary, F.col("p_code"))).alias("primary_label"),
+        F.when(in_primary, F.col("p_status")).alias("primary_label_status"),
+        label_of_code(F.when(checked, F.col("o_code"))).alias("observed_label"),
+        F.when(checked, F.col("o_status")).alias("observed_label_status"),
         observed_outcome.alias("observed_outcome"),
         effective.alias("effective_eligibility"),
         reasons.alias("exclusion_reasons"),
