@@ -203,6 +203,45 @@ SELECT counter, key, CAST(count(*) AS BIGINT) AS n FROM (
   UNION ALL SELECT 'exclusion_reason', reason_code FROM {_view} WHERE NOT eligible AND reason_code IS NOT NULL) s GROUP BY 1, 2""")(
         lambda fx, get=_get: stages.eligibility_summary(get(fx)))
 
+    query("stage_overview" + _suffix, f"""
+SELECT CAST(count(*) AS BIGINT) AS receipts,
+  CAST(count(*) FILTER (WHERE {_st} IN {EVAL} AND {_ok} IS NOT NULL) AS BIGINT) AS evaluable,
+  CAST(count(*) FILTER (WHERE {_st} IN {EVAL} AND {_ok}) AS BIGINT) AS correct,
+  CAST(count(*) FILTER (WHERE {_st} IN {EVAL} AND NOT {_ok}) AS BIGINT) AS incorrect,
+  CAST(count(*) FILTER (WHERE {_st} = 'NON_EVALUABLE') AS BIGINT) AS non_evaluable,
+  CAST(count(*) FILTER (WHERE {_st} = 'ERROR') AS BIGINT) AS errors,
+  CAST(count(*) FILTER (WHERE {_st} IN {EVAL} AND {_ok} IS NULL) AS BIGINT) AS malformed,
+  CAST(count(*) FILTER (WHERE {_st} IS NULL) AS BIGINT) AS not_recorded,
+  CAST(count(*) FILTER (WHERE status IN ('FAILED','INTERRUPTED_UNKNOWN')) AS BIGINT) AS failed_or_interrupted,
+  CAST(count(*) FILTER (WHERE cuda_oom) AS BIGINT) AS explicit_oom,
+  CAST(count(*) FILTER (WHERE generation_recorded AND termination_status = 'MAX_NEW_TOKENS') AS BIGINT) AS cap_reached,
+  CAST(count(*) FILTER (WHERE status = 'COMPLETED' AND NOT generation_recorded) AS BIGINT) AS completed_without_generation,
+  CAST(count(*) FILTER (WHERE generation_recorded) AS BIGINT) AS generations,
+  CAST(sum(generated_token_count) FILTER (WHERE generation_recorded) AS BIGINT) AS token_total,
+  CAST(count(generated_token_count) FILTER (WHERE generation_recorded) AS BIGINT) AS tokens_recorded,
+  CAST(sum(CAST(elapsed_seconds AS DECIMAL(28,12))) FILTER (WHERE generation_recorded) AS DOUBLE) AS elapsed_total,
+  CAST(count(elapsed_seconds) FILTER (WHERE generation_recorded) AS BIGINT) AS elapsed_recorded,
+  CAST(count(*) FILTER (WHERE generation_recorded AND generated_token_count IS NOT NULL AND elapsed_seconds IS NOT NULL) AS BIGINT) AS paired,
+  CAST(count(*) FILTER (WHERE generation_recorded AND elapsed_seconds = 0) AS BIGINT) AS zero_elapsed,
+  max(peak_allocated_bytes) FILTER (WHERE generation_recorded) AS peak_allocated_bytes,
+  max(peak_reserved_bytes) FILTER (WHERE generation_recorded) AS peak_reserved_bytes,
+  CAST(count(peak_allocated_bytes) FILTER (WHERE generation_recorded) AS BIGINT) AS allocated_measurements,
+  CAST(count(peak_reserved_bytes) FILTER (WHERE generation_recorded) AS BIGINT) AS reserved_measurements,
+  CAST(sum(generated_token_count) FILTER (WHERE generation_recorded) AS DOUBLE)
+    / CAST(sum(CAST(elapsed_seconds AS DECIMAL(28,12))) FILTER (WHERE generation_recorded) AS DOUBLE) AS tokens_per_second FROM {_view}""")(
+        lambda fx, get=_get, st=_st, ok=_ok: stages.stage_overview(get(fx), st, ok))
+
+    query("stage_counters" + _suffix, f"""
+SELECT counter, key, CAST(count(*) AS BIGINT) AS n FROM (
+  SELECT 'receipt_status' AS counter, status AS key FROM {_view}
+  UNION ALL SELECT 'evaluation', coalesce({_st}, 'NOT_RECORDED') FROM {_view}
+  UNION ALL SELECT 'failure_type', coalesce(error_type, 'NOT_RECORDED') FROM {_view} WHERE status IN ('FAILED','INTERRUPTED_UNKNOWN')
+  UNION ALL SELECT 'termination', termination_status FROM {_view} WHERE generation_recorded
+  UNION ALL SELECT 'eligibility', CASE WHEN eligible THEN 'ELIGIBLE' ELSE 'EXCLUDED' END FROM {_view}
+  UNION ALL SELECT 'eligibility_status', eligibility_status FROM {_view}
+  UNION ALL SELECT 'exclusion_reason', reason_code FROM {_view} WHERE NOT eligible AND reason_code IS NOT NULL) s GROUP BY 1, 2""")(
+        lambda fx, get=_get, st=_st: stages.stage_counters(get(fx), st))
+
 query("failure_counts_by_kind", """
 SELECT coalesce(error_type, 'UNKNOWN_FAILURE') AS error_type, CAST(count(*) AS BIGINT) AS n FROM (
   SELECT status, error_type FROM fx_rollouts UNION ALL SELECT status, error_type FROM fx_checkpoints) s

@@ -27,14 +27,23 @@ def _needle(target: Sequence[int]) -> str:
     return "," + ",".join(str(int(i)) for i in target) + ","
 
 
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def find_subsequence(tokens: Column, target: Sequence[int]) -> Column:
     """0-based start of the first exact occurrence, else NULL."""
     needle = _needle(target)
-    text = F.concat(F.lit(","), token_text(tokens), F.lit(","))
-    found = F.instr(text, needle)
-    head = F.substr(text, F.lit(1), found)
-    commas = F.length(head) - F.length(F.replace(head, F.lit(","), F.lit("")))
-    return F.when(found > 0, (commas - 1).cast("int"))
+    # Text before the hit has one comma per earlier token; without a hit the whole
+    # text comes back, which ends in a comma, unlike any text before a hit.
+    before = F.substring_index(F.concat(F.lit(","), token_text(tokens), F.lit(",")), needle, 1)
+    return bound(
+        before,
+        lambda text: F.when(
+            ~text.endswith(","), F.length(text) - F.length(F.replace(text, F.lit(","), F.lit("")))
+        ),
+    )
 
 
 def all_subsequence_starts(tokens: Column, target: Sequence[int]) -> Column:

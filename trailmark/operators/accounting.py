@@ -30,67 +30,70 @@ def checkpoint_accounting(
 ) -> DataFrame:
     """Rows (scope, metric, n); scope is ``all`` or a declared position.
 
-    Receipts are first counted per key and status, so a hot parent shrinks to a few
-    rows before anything is shuffled. Only declared positions meet the plan, and the
-    plan is never multiplied out by position: expected = planned ids x positions.
+    One scan counts receipts per key and status, so a hot (or NULL) parent shrinks to a
+    few rows before anything is shuffled to the plan. The plan is never multiplied out
+    by position: expected = planned ids x positions.
     """
     positions = declared_positions(positions)
-    counted = _identified(checkpoints).groupBy(
+    counted = checkpoints.groupBy(
         "parent_rollout_id",
         F.col("checkpoint_token").cast("bigint").alias("position"),
         F.coalesce("status", F.lit("UNKNOWN")).alias("status"),
         F.coalesce("availability_status", F.lit("UNKNOWN")).alias("availability"),
     ).agg(F.count("*").alias("n"))
-    planned_ids = planned.select(F.col("rollout_id").alias("parent_rollout_id")).distinct()
-    expected = counted.where(F.col("position").isin(*positions)).join(
-        planned_ids, "parent_rollout_id", "left_semi"
-    )
-    unique = expected.groupBy("parent_rollout_id", "position").agg(F.sum("n").alias("n"))
-    declared = literal_rows(checkpoints.sparkSession, "position", positions, "bigint")
-    by_position = (
-        unique.groupBy("position")
-        .agg(F.count("*").alias("keys"), F.sum("n").alias("rows"))
-        .unionByName(declared.select("position", F.lit(0).alias("keys"), F.lit(0).alias("rows")))
-        .groupBy("position")
+    planned_ids = planned.select(F.col("rollout_id").alias("planned_id")).distinct()
+    marked = counted.join(planned_ids, F.col("parent_rollout_id") == F.col("planned_id"), "left")
+    malformed = F.col("parent_rollout_id").isNull() | F.col("position").isNull()
+    expected = F.col("planned_id").isNotNull() & F.col("position").isin(*positions)
+    scope = F.when(malformed, "malformed").when(expected, F.col("position").cast("string")).otherwise("unexpected")
+    scoped = marked.withColumn("scope", scope)
+
+    slots = (
+        scoped.groupBy("parent_rollout_id", "position", "scope")
+        .agg(F.sum("n").alias("rows"))
+        .groupBy("scope")
+        .agg(F.count("*").alias("keys"), F.sum("rows").alias("rows"))
+    )
+    declared = literal_rows(checkpoints.sparkSession, "scope", [str(p) for p in positions], "string")
+    slots = (
+        slots.unionByName(declared.select("scope", F.lit(0).alias("keys"), F.lit(0).alias("rows")))
+        .groupBy("scope")
         .agg(F.sum("keys").alias("keys"), F.sum("rows").alias("rows"))
     )
-    plan_size = planned_ids.agg(F.count("*").alias("planned"))
-
-    # One-row tables are stacked and summed instead of being cross joined.
-    parts = (
-        by_position.agg(F.sum("keys").alias("unique_expected"), F.sum("rows").alias("expected_rows")),
-        counted.groupBy("parent_rollout_id", "position").agg(F.sum("n").alias("n")).agg(
-            F.sum("n").alias("identified"), F.sum(F.col("n") - 1).alias("duplicates")
-        ),
-        plan_size,
-        checkpoints.agg(F.count("*").alias("recorded")),
-    )
-    stacked = parts[0]
-    for part in parts[1:]:
-        stacked = stacked.unionByName(part, allowMissingColumns=True)
-    summed = stacked.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in stacked.columns])
-    expected_keys = F.col("planned") * len(positions)
-    overall = summed.select(
+    plan_size = planned_ids.agg(F.count("*")).scalar()
+    total = lambda column, condition: F.coalesce(F.sum(F.when(condition, F.col(column))), F.lit(0))
+    of = lambda name: F.col("scope") == name
+    in_plan = ~F.col("scope").isin("malformed", "unexpected")
+    expected_keys = plan_size * len(positions)
+    overall = slots.agg(
+        total("rows", F.lit(True)).alias("recorded"),
+        total("keys", in_plan).alias("recorded_unique_expected"),
+        total("rows", of("unexpected")).alias("unexpected"),
+        total("rows", ~of("malformed")).alias("identified"),
+        total("keys", ~of("malformed")).alias("identified_keys"),
+        total("rows", of("malformed")).alias("malformed_identity"),
+    ).select(
         F.lit("all").alias("scope"),
         expected_keys.alias("expected"),
-        "recorded",
-        F.col("unique_expected").alias("recorded_unique_expected"),
-        (expected_keys - F.col("unique_expected")).alias("missing"),
-        (F.col("identified") - F.col("expected_rows")).alias("unexpected"),
-        F.col("duplicates").alias("duplicate_logical"),
-        (F.col("recorded") - F.col("identified")).alias("malformed_identity"),
-    )
-    scoped = by_position.select(
-        F.col("position").cast("string").alias("scope"),
-        plan_size.scalar().alias("expected_receipts"),
+        "recorded", "recorded_unique_expected",
+        (expected_keys - F.col("recorded_unique_expected")).alias("missing"),
+        "unexpected",
+        (F.col("identified") - F.col("identified_keys")).alias("duplicate_logical"),
+        "malformed_identity",
+    )
+    per_position = slots.where(in_plan).select(
+        "scope",
+        plan_size.alias("expected_receipts"),
         F.col("keys").alias("recorded_unique_expected_receipts"),
-        (plan_size.scalar() - F.col("keys")).alias("missing_expected_receipts"),
-        F.col("rows").alias("recorded_receipts"),
+        (plan_size - F.col("keys")).alias("missing_expected_receipts"),
+        F.nullif("rows", F.lit(0)).alias("recorded_receipts"),
     )
-    always = ("expected_receipts", "recorded_unique_expected_receipts", "missing_expected_receipts")
     statuses = (
-        expected.select(
-            F.col("position").cast("string").alias("scope"),
+        scoped.groupBy("scope", "status", "availability")
+        .agg(F.sum("n").alias("n"))
+        .where(in_plan)
+        .select(
+            "scope",
             F.explode(
                 F.array(
                     F.concat(F.lit("receipt_status:"), "status"),
@@ -104,9 +107,9 @@ def checkpoint_accounting(
     )
     return (
         long_metrics(overall, ["scope"], TOTAL_METRICS)
-        .unionByName(long_metrics(scoped, ["scope"], always))
-        .unionByName(long_metrics(scoped.where("recorded_receipts > 0"), ["scope"], ("recorded_receipts",)))
+        .unionByName(long_metrics(per_position, ["scope"], per_position.columns[1:]))
         .unionByName(statuses)
+        .where(F.col("n").isNotNull())
     )
 
 

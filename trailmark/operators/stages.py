@@ -56,12 +56,10 @@ def valid_correctness(status: Column, correct: Column) -> Column:
     return is_evaluated(status) & correct.isNotNull()
 
 
-def stage_evaluation_counts(receipts: DataFrame, status: str, correct: str) -> DataFrame:
-    """Evaluable, malformed and faulty results over all receipts, in one pass."""
+def _evaluation_counts(status: str, correct: str) -> list[Column]:
     s, c = F.col(status), F.col(correct)
     valid = valid_correctness(s, c)
-    return receipts.agg(
-        F.count("*").alias("receipts"),
+    return [
         count_where(valid).alias("evaluable"),
         count_where(valid & c).alias("correct"),
         count_where(valid & ~c).alias("incorrect"),
@@ -69,15 +67,24 @@ def stage_evaluation_counts(receipts: DataFrame, status: str, correct: str) -> D
         count_where(s == "ERROR").alias("errors"),
         count_where(is_evaluated(s) & c.isNull()).alias("malformed"),
         count_where(normalise_evaluation(s) == NOT_RECORDED).alias("not_recorded"),
-    )
+    ]
 
 
-def failure_summary(receipts: DataFrame) -> DataFrame:
-    """Explicit OOM is counted over every receipt, failures over failed or interrupted ones."""
-    return receipts.agg(
+def stage_evaluation_counts(receipts: DataFrame, status: str, correct: str) -> DataFrame:
+    """Evaluable, malformed and faulty results over all receipts, in one pass."""
+    return receipts.agg(F.count("*").alias("receipts"), *_evaluation_counts(status, correct))
+
+
+def _failure_counts() -> list[Column]:
+    return [
         count_where(F.col("status").isin(*FAILED_STATUSES)).alias("failed_or_interrupted"),
         count_where(F.col("cuda_oom")).alias("explicit_oom"),
-    )
+    ]
+
+
+def failure_summary(receipts: DataFrame) -> DataFrame:
+    """Explicit OOM is counted over every receipt, failures over failed or interrupted ones."""
+    return receipts.agg(*_failure_counts())
 
 
 def failure_type_counts(receipts: DataFrame) -> DataFrame:
@@ -99,36 +106,106 @@ def termination_counts(receipts: DataFrame) -> DataFrame:
     return with_generation(receipts).groupBy(status).agg(F.count("*").alias("n"))
 
 
-def termination_summary(receipts: DataFrame) -> DataFrame:
+def _termination_totals() -> list[Column]:
     recorded = is_completed() & F.col("generation_recorded")
-    return receipts.agg(
+    return [
         count_where(recorded & (F.col("termination_status") == "MAX_NEW_TOKENS")).alias("cap_reached"),
         count_where(is_completed() & ~F.col("generation_recorded")).alias("completed_without_generation"),
-    )
+    ]
 
 
-def _paired() -> Column:
-    return F.col("generated_token_count").isNotNull() & F.col("elapsed_seconds").isNotNull()
+def termination_summary(receipts: DataFrame) -> DataFrame:
+    return receipts.agg(*_termination_totals())
 
 
-def generation_performance(receipts: DataFrame) -> DataFrame:
-    """Token and time totals; aggregate throughput is a ratio of sums over paired rows."""
-    tokens, elapsed = F.col("generated_token_count"), F.col("elapsed_seconds")
-    sums = with_generation(receipts).agg(
-        F.count("*").alias("generations"),
+def _generation_sums(usable: Column) -> list[Column]:
+    tokens = F.when(usable, F.col("generated_token_count"))
+    elapsed = F.when(usable, F.col("elapsed_seconds"))
+    paired = tokens.isNotNull() & elapsed.isNotNull()
+    return [
+        count_where(usable).alias("generations"),
         F.coalesce(F.sum(tokens), F.lit(0)).cast("bigint").alias("token_total"),
         F.count(tokens).alias("tokens_recorded"),
         F.coalesce(exact_sum(elapsed), F.lit(0.0)).alias("elapsed_total"),
         F.count(elapsed).alias("elapsed_recorded"),
-        count_where(_paired()).alias("paired"),
-        F.sum(F.when(_paired(), tokens)).alias("paired_tokens"),
-        exact_sum(F.when(_paired(), elapsed)).alias("paired_elapsed"),
-        count_where(_paired() & (elapsed == 0)).alias("zero_elapsed"),
-    )
+        count_where(paired).alias("paired"),
+        F.sum(F.when(paired, tokens)).alias("paired_tokens"),
+        exact_sum(F.when(paired, elapsed)).alias("paired_elapsed"),
+        count_where(paired & (elapsed == 0)).alias("zero_elapsed"),
+    ]
+
+
+def _with_throughput(sums: DataFrame) -> DataFrame:
     throughput = ratio(F.col("paired_tokens"), F.col("paired_elapsed"))
     return sums.withColumn("tokens_per_second", throughput).drop("paired_tokens", "paired_elapsed")
 
 
+def generation_performance(receipts: DataFrame) -> DataFrame:
+    """Token and time totals; aggregate throughput is a ratio of sums over paired rows."""
+    return _with_throughput(with_generation(receipts).agg(*_generation_sums(F.lit(True))))
+
+
+def _memory_peaks(usable: Column) -> list[Column]:
+    allocated = F.when(usable, F.col("peak_allocated_bytes"))
+    reserved = F.when(usable, F.col("peak_reserved_bytes"))
+    return [
+        F.max(allocated).alias("peak_allocated_bytes"),
+        F.max(reserved).alias("peak_reserved_bytes"),
+        F.count(allocated).alias("allocated_measurements"),
+        F.count(reserved).alias("reserved_measurements"),
+    ]
+
+
+def peak_memory(receipts: DataFrame) -> DataFrame:
+    return with_generation(receipts).agg(*_memory_peaks(F.lit(True)))
+
+
+def stage_overview(receipts: DataFrame, status: str, correct: str) -> DataFrame:
+    """Every single-valued measure of a stage from one scan."""
+    usable = is_completed() & F.col("generation_recorded")
+    sums = receipts.agg(
+        F.count("*").alias("receipts"),
+        *_evaluation_counts(status, correct),
+        *_failure_counts(),
+        *_termination_totals(),
+        *_generation_sums(usable),
+        *_memory_peaks(usable),
+    )
+    return _with_throughput(sums)
+
+
+def stage_counters(receipts: DataFrame, status: str) -> DataFrame:
+    """Every count map of a stage from one scan: rows (counter, key, n).
+
+    Receipts are grouped by the combination of their short vocabularies first; the few
+    combinations are then unfolded into one row per counter.
+    """
+    combinations = receipts.select(
+        F.coalesce("status", F.lit("UNKNOWN")).alias("receipt_status"),
+        normalise_evaluation(F.col(status)).alias("evaluation"),
+        F.when(F.col("status").isin(*FAILED_STATUSES), failure_kind(F.col("error_type"))).alias("failure_type"),
+        F.when(
+            is_completed() & F.col("generation_recorded"),
+            F.coalesce("termination_status", F.lit(NOT_RECORDED)),
+        ).alias("termination"),
+        F.when(F.col("eligible"), "ELIGIBLE").otherwise("EXCLUDED").alias("eligibility"),
+        "eligibility_status",
+        F.when(~F.col("eligible"), F.col("reason_codes")).alias("exclusion_reason"),
+    )
+    names = combinations.columns
+    counted = combinations.groupBy(*names).agg(F.count("*").alias("n"))
+    entry = lambda name, key: F.struct(F.lit(name).alias("counter"), key.alias("key"))
+    singles = F.array(*[entry(name, F.col(name)) for name in names[:-1]])
+    codes = F.coalesce("exclusion_reason", F.array().cast("array<string>"))
+    entries = F.concat(singles, F.transform(codes, lambda code: entry("exclusion_reason", code)))
+    return (
+        counted.select("n", F.inline(entries))
+        .where(F.col("key").isNotNull())
+        .groupBy("counter", "key")
+        .agg(F.sum("n").cast("bigint").alias("n"))
+    )
+
+
 def numeric_distribution(df: DataFrame, metrics: dict[str, Column]) -> DataFrame:
     """Count, total, mean, min, nearest-rank quartiles and p90, max per metric.
 
@@ -193,16 +270,6 @@ def runtime_mean_median(rollouts: DataFrame) -> DataFrame:
     )
 
 
-def peak_memory(receipts: DataFrame) -> DataFrame:
-    generation = with_generation(receipts)
-    return generation.agg(
-        F.max("peak_allocated_bytes").alias("peak_allocated_bytes"),
-        F.max("peak_reserved_bytes").alias("peak_reserved_bytes"),
-        F.count("peak_allocated_bytes").alias("allocated_measurements"),
-        F.count("peak_reserved_bytes").alias("reserved_measurements"),
-    )
-
-
 def final_accuracy(rollouts: DataFrame) -> DataFrame:
     """Accuracy over completed and eligible rollouts with a valid verdict."""
     s, c = F.col("final_status"), F.col("final_correct")

@@ -35,15 +35,15 @@ def fixed_checkpoints(
     A prefix ending exactly at the marker start excludes it and is still available.
     """
     ids = F.col("token_ids")
-    searched = trajectories.select(
-        "*",
-        F.size(ids).alias("_length"),
-        find_subsequence(ids, marker).alias("_close_start"),
-        first_position_in(ids, eos_ids).alias("_first_eos"),
-        F.explode(
-            F.array(*[F.lit(p) for p in declared_positions(positions)]).cast("array<int>")
-        ).alias("checkpoint_token"),
+    searched = trajectories.withColumns(
+        {
+            "_length": F.size(ids),
+            "_close_start": find_subsequence(ids, marker),
+            "_first_eos": first_position_in(ids, eos_ids),
+        }
     )
+    declared = F.array(*[F.lit(p) for p in declared_positions(positions)]).cast("array<int>")
+    requested = searched.select("*", F.explode(declared).alias("checkpoint_token"))
     position = F.col("checkpoint_token")
     status = (
         F.when(position > F.col("_length"), "TRAJECTORY_TOO_SHORT")
@@ -51,7 +51,7 @@ def fixed_checkpoints(
         .when(F.col("_first_eos") <= position, "AFTER_TERMINAL_TOKEN")
         .otherwise("AVAILABLE")
     )
-    marked = searched.withColumn("availability_status", status)
+    marked = requested.withColumn("availability_status", status)
     prefix = F.when(F.col("availability_status") == "AVAILABLE", F.slice("token_ids", F.lit(1), position))
     reason = (
         F.when(

@@ -32,25 +32,20 @@ def analysis_sections(
         "accuracy_status_counts": stages.accuracy_status_counts(rollouts),
         "base_trajectory_length": stages.length_distribution(rollouts),
         "checkpoint_accounting": accounting.checkpoint_accounting(checkpoints, planned, positions),
-        "eligibility_base": stages.eligibility_summary(rollouts),
-        "eligibility_checkpoints": stages.eligibility_summary(checkpoints),
         "transition_funnel": transitions.transition_funnel(checkpoints, rollouts, positions, facts),
     }
     for stage, receipts, prefix in (("base", rollouts, "final"), ("forced", checkpoints, "forced")):
+        status, correct = f"{prefix}_status", f"{prefix}_correct"
         sections |= {
-            f"{stage}_receipt_status": stages.receipt_status_counts(receipts),
-            f"{stage}_evaluation": stages.stage_evaluation_counts(receipts, f"{prefix}_status", f"{prefix}_correct"),
-            f"{stage}_failure": stages.failure_summary(receipts),
-            f"{stage}_failure_types": stages.failure_type_counts(receipts),
-            f"{stage}_termination": stages.termination_counts(receipts),
-            f"{stage}_generation": stages.generation_performance(receipts),
+            f"{stage}_overview": stages.stage_overview(receipts, status, correct),
+            f"{stage}_counters": stages.stage_counters(receipts, status),
             f"{stage}_generation_distributions": stages.generation_distributions(receipts),
-            f"{stage}_memory": stages.peak_memory(receipts),
         }
     for view, rows in (
         ("primary", transitions.primary_transitions(facts)),
         ("observed", transitions.observed_transitions(facts)),
     ):
+        rows = transitions.transition_cube(rows)
         sections |= {
             f"{view}_rates": transitions.transition_rates_by_checkpoint(rows, positions),
             f"{view}_contrasts": transitions.matched_contrasts(rows, positions),

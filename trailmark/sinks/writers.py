@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from trailmark.functions.identity import canonical_json
 from trailmark.operators.summary import batch_digest
+from trailmark.session import materialise
 from trailmark.sources.documents import read_or_empty
 
 
@@ -76,9 +77,11 @@ def report_digest(report: DataFrame) -> DataFrame:
 def write_summary(report: DataFrame, root: str) -> str:
     """Write a report under its own digest; the same report always lands at the same path.
 
-    A folder left by an interrupted write does not match its name and is written again.
+    The report is computed once, into the shared folder, before it is hashed. A folder
+    left by an interrupted write does not match its name and is written again.
     """
     spark: SparkSession = report.sparkSession
+    report = materialise(report, "report")
     digest = report_digest(report).head()["digest"]
     path = f"{root.rstrip('/')}/summary/content_hash={digest}"
     try:
