@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions.receipts import count_where
 from trailmark.operators.planning import checkpoint_plan
-from trailmark.operators.scaffold import literal_rows, long_metrics
 from trailmark.operators.transitions import declared_position_filter
 from trailmark.params import declared_positions
 
@@ -46,71 +45,53 @@ def checkpoint_accounting(
     malformed = F.col("parent_rollout_id").isNull() | F.col("position").isNull()
     expected = F.col("planned_id").isNotNull() & F.col("position").isin(*positions)
     scope = F.when(malformed, "malformed").when(expected, F.col("position").cast("string")).otherwise("unexpected")
-    scoped = marked.withColumn("scope", scope)
-
-    slots = (
-        scoped.groupBy("parent_rollout_id", "position", "scope")
-        .agg(F.sum("n").alias("rows"))
-        .groupBy("scope")
-        .agg(F.count("*").alias("keys"), F.sum("rows").alias("rows"))
-    )
-    declared = literal_rows(checkpoints.sparkSession, "scope", [str(p) for p in positions], "string")
+    # The join already clusters by parent, so marking one row per key needs no shuffle.
+    in_key = Window.partitionBy("parent_rollout_id", "position").orderBy("status", "availability")
+    first_of_key = (F.row_number().over(in_key) == 1).cast("int")
     slots = (
-        slots.unionByName(declared.select("scope", F.lit(0).alias("keys"), F.lit(0).alias("rows")))
-        .groupBy("scope")
-        .agg(F.sum("keys").alias("keys"), F.sum("rows").alias("rows"))
+        marked.withColumns({"scope": scope, "is_key": first_of_key})
+        .groupBy("scope", "status", "availability")
+        .agg(F.sum("n").alias("rows"), F.sum("is_key").alias("keys"))
     )
-    plan_size = planned_ids.agg(F.count("*")).scalar()
-    total = lambda column, condition: F.coalesce(F.sum(F.when(condition, F.col(column))), F.lit(0))
-    of = lambda name: F.col("scope") == name
-    in_plan = ~F.col("scope").isin("malformed", "unexpected")
-    expected_keys = plan_size * len(positions)
-    overall = slots.agg(
-        total("rows", F.lit(True)).alias("recorded"),
-        total("keys", in_plan).alias("recorded_unique_expected"),
-        total("rows", of("unexpected")).alias("unexpected"),
-        total("rows", ~of("malformed")).alias("identified"),
-        total("keys", ~of("malformed")).alias("identified_keys"),
-        total("rows", of("malformed")).alias("malformed_identity"),
-    ).select(
-        F.lit("all").alias("scope"),
-        expected_keys.alias("expected"),
-        "recorded", "recorded_unique_expected",
-        (expected_keys - F.col("recorded_unique_expected")).alias("missing"),
-        "unexpected",
-        (F.col("identified") - F.col("identified_keys")).alias("duplicate_logical"),
-        "malformed_identity",
+    rows, keys, here = F.col("rows"), F.col("keys"), F.col("scope")
+    entry = lambda where, metric, n: F.struct(
+        (F.lit(where) if isinstance(where, str) else where).alias("scope"),
+        (F.lit(metric) if isinstance(metric, str) else metric).alias("metric"),
+        n.cast("bigint").alias("n"),
     )
-    per_position = slots.where(in_plan).select(
-        "scope",
-        plan_size.alias("expected_receipts"),
-        F.col("keys").alias("recorded_unique_expected_receipts"),
-        (plan_size - F.col("keys")).alias("missing_expected_receipts"),
-        F.nullif("rows", F.lit(0)).alias("recorded_receipts"),
+    in_plan = [
+        entry(here, F.concat(F.lit("receipt_status:"), "status"), rows),
+        entry(here, F.concat(F.lit("availability_status:"), "availability"), rows),
+        entry(here, "recorded_receipts", rows),
+        entry(here, "recorded_unique_expected_receipts", keys),
+        entry(here, "missing_expected_receipts", -keys),
+        entry("all", "recorded_unique_expected", keys),
+        entry("all", "missing", -keys),
+    ]
+    identified = [entry("all", "duplicate_logical", rows - keys)]
+    recorded = [entry("all", "recorded", rows)]
+    entries = (
+        F.when(here == "malformed", F.array(*recorded, entry("all", "malformed_identity", rows)))
+        .when(here == "unexpected", F.array(*recorded, *identified, entry("all", "unexpected", rows)))
+        .otherwise(F.array(*recorded, *identified, *in_plan))
     )
-    statuses = (
-        scoped.groupBy("scope", "status", "availability")
-        .agg(F.sum("n").alias("n"))
-        .where(in_plan)
-        .select(
-            "scope",
-            F.explode(
-                F.array(
-                    F.concat(F.lit("receipt_status:"), "status"),
-                    F.concat(F.lit("availability_status:"), "availability"),
-                )
-            ).alias("metric"),
-            "n",
-        )
+    size = F.col("planned")
+    zero = F.lit(0)
+    constants = [entry("all", "expected", size * len(positions)), entry("all", "missing", size * len(positions))]
+    constants += [entry("all", metric, zero) for metric in TOTAL_METRICS]
+    for position in positions:
+        constants += [
+            entry(str(position), "expected_receipts", size),
+            entry(str(position), "missing_expected_receipts", size),
+            entry(str(position), "recorded_unique_expected_receipts", zero),
+        ]
+    declared = planned_ids.agg(F.count("*").alias("planned")).select(F.inline(F.array(*constants)))
+    return (
+        slots.select(F.inline(entries))
+        .unionByName(declared)
         .groupBy("scope", "metric")
         .agg(F.sum("n").cast("bigint").alias("n"))
     )
-    return (
-        long_metrics(overall, ["scope"], TOTAL_METRICS)
-        .unionByName(long_metrics(per_position, ["scope"], per_position.columns[1:]))
-        .unionByName(statuses)
-        .where(F.col("n").isNotNull())
-    )
 
 
 def availability_by_position(checkpoints: DataFrame, positions: Sequence[int]) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS = 256
+BINS = 256  # a power of two
 
 
 def value_counts(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
@@ -24,6 +24,16 @@ def value_counts(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     )
 
 
+def _bin(cuts: Column, value: Column) -> Column:
+    """Number of the ``BINS - 1`` sorted cuts below ``value``, by halving steps."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(BINS.bit_length() - 1))])
+    return F.aggregate(
+        steps,
+        F.lit(0),
+        lambda low, step: low + F.when(F.get(cuts, low + step - 1) < value, step).otherwise(0),
+    )
+
+
 def values_at_ranks(counts: DataFrame, groups: Sequence[str], ranks: dict[str, Column]) -> DataFrame:
     """One row per group: ``n`` and the value at each requested 1-based rank.
 
@@ -43,9 +53,8 @@ def values_at_ranks(counts: DataFrame, groups: Sequence[str], ranks: dict[str, C
         ]
     )
     cuts = cuts.withColumn("wanted", wanted)
-    bin_of = F.size(F.filter("cuts", lambda cut: cut < F.col("value")))
     binned = counts.join(F.broadcast(cuts.select(*groups, "cuts")), groups).select(
-        *groups, bin_of.alias("bin"), "value", "copies"
+        *groups, _bin(F.col("cuts"), F.col("value")).alias("bin"), "value", "copies"
     )
     before = Window.partitionBy(*groups).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     totals = (

@@ -12,8 +12,3 @@ def literal_rows(spark: SparkSession, name: str, values: Sequence, kind: str) ->
     items = F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>")
     return spark.range(1).select(F.explode(items).alias(name))
 
-
-def long_metrics(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
-    """Turn wide BIGINT metrics into (keys, metric, n) rows."""
-    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("bigint").alias("n")) for m in metrics])
-    return df.select(*keys, F.inline(pairs))
