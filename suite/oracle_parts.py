@@ -130,11 +130,16 @@ SELECT l.label, CAST(coalesce(events, 0) AS BIGINT) AS event_count, CAST(coalesc
 FROM {LABELS} l LEFT JOIN a USING (label) LEFT JOIN b USING (label)"""
 
 
+def positions_of(source: str, label: str) -> str:
+    return f"""WITH {facts(source)} SELECT {label} AS label, checkpoint_token, CAST(count(*) AS BIGINT) AS event_count
+FROM facts WHERE {label} IS NOT NULL GROUP BY 1, 2"""
+
+
 def distribution(metrics: dict[str, tuple[str, str]]) -> str:
     """Nearest-rank distribution per metric: name -> (value expression, FROM/WHERE)."""
     parts = []
     for name, (value, source) in metrics.items():
-        total = f"CAST(coalesce(sum(CAST(x AS DECIMAL(38,10))), 0) AS DOUBLE)"
+        total = "CAST(coalesce(sum(CAST(x AS DECIMAL(38,10))), 0) AS DOUBLE)"
         quantiles = ", ".join(f"quantile_disc(x, {p}) AS p{int(p * 100)}" for p in (0.25, 0.5, 0.75, 0.9))
         parts.append(f"""SELECT '{name}' AS metric, CAST(count(x) AS BIGINT) AS count, {total} AS total,
   {total} / nullif(CAST(count(x) AS DOUBLE), 0) AS mean, min(x) AS min, {quantiles}, max(x) AS max

@@ -10,6 +10,7 @@ from suite.views import Fixtures, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+RAW_ORACLES: dict[str, str] = {}  # before the views are added
 
 
 def query(name: str, oracle: str | None = None):
@@ -24,6 +25,7 @@ def query(name: str, oracle: str | None = None):
 
         QUERIES[name] = run
         if oracle is not None:
+            RAW_ORACLES[name] = oracle
             ORACLES[name] = with_views(oracle)
         return fn
 

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from suite.oracle_parts import (
-    EVAL, POS, UNIQ, concentration, contrasts, distribution, facts, funnel, rates,
+    EVAL, POS, UNIQ, concentration, contrasts, distribution, facts, funnel, positions_of, rates,
 )
-from suite.registry import query
+from suite.registry import RAW_ORACLES, query
 from suite.views import POSITIONS
 from trailmark.functions.labels import derived_code, label_of_code, verdict
 from trailmark.functions.receipts import normalise_evaluation
 from trailmark.operators import accounting, grading, planning, stages, summary, transitions
 from trailmark.plans.analysis import analysis_sections, report_rows
+from trailmark.session import materialise
 
 
 def _facts(fx, own=False):
@@ -331,9 +332,7 @@ for _name, _label, _own in (("primary_transitions", "primary_label", False), ("o
         lambda fx, rows=_rows, own=_own: transitions.matched_contrasts(rows(_facts(fx, own)), POSITIONS))
     query("event_concentration" + _tail, concentration(_src, _label))(
         lambda fx, rows=_rows, own=_own: transitions.event_concentration(rows(_facts(fx, own)), POSITIONS))
-    query("concentration_positions" + _tail, f"""
-WITH {facts(_src)} SELECT {_label} AS label, checkpoint_token, CAST(count(*) AS BIGINT) AS event_count
-FROM facts WHERE {_label} IS NOT NULL GROUP BY 1, 2""")(
+    query("concentration_positions" + _tail, positions_of(_src, _label))(
         lambda fx, rows=_rows, own=_own: transitions.concentration_positions(rows(_facts(fx, own))))
 
 # --- run level ---------------------------------------------------------------
@@ -407,8 +406,63 @@ query("sorted_reports", """
 SELECT coalesce(status, 'UNKNOWN') AS status, CAST(count(*) AS BIGINT) AS n FROM fx_checkpoints GROUP BY 1 ORDER BY 1""")(
     lambda fx: stages.receipt_status_counts(fx.checkpoints).orderBy("status"))
 
-query("analysis_report")(
-    lambda fx: report_rows(analysis_sections(fx.rollouts, fx.checkpoints, fx.planned, POSITIONS)))
+_RATE = tuple(f"{n}_rate" for n in ("w_to_c", "w_to_w", "c_to_c", "c_to_w"))
+_SUMMARY = ("count", "total", "mean", "min", "p25", "p50", "p75", "p90", "max")
+# Section -> (registered oracle, row keys, measures).
+_SECTIONS = {
+    "final_answer_accuracy": ("final_accuracy", (), (
+        "completed", "excluded", "eligible", "evaluable", "correct", "incorrect", "non_evaluable", "errors", "malformed", "accuracy")),
+    "accuracy_status_counts": ("accuracy_status_counts", ("evaluation_status",), ("n",)),
+    "base_trajectory_length": ("length_distribution", ("metric",), _SUMMARY),
+    "checkpoint_accounting": ("checkpoint_accounting", ("scope", "metric"), ("n",)),
+    "transition_funnel": ("transition_funnel", ("counter", "key"), ("n",)),
+}
+_OVERVIEW = (
+    "receipts", "evaluable", "correct", "incorrect", "non_evaluable", "errors", "malformed", "not_recorded",
+    "failed_or_interrupted", "explicit_oom", "cap_reached", "completed_without_generation", "generations", "token_total",
+    "tokens_recorded", "elapsed_total", "elapsed_recorded", "paired", "zero_elapsed", "peak_allocated_bytes",
+    "peak_reserved_bytes", "allocated_measurements", "reserved_measurements", "tokens_per_second")
+for _kind, _suffix in (("base", ""), ("forced", "_forced")):
+    _SECTIONS[f"{_kind}_overview"] = ("stage_overview" + _suffix, (), _OVERVIEW)
+    _SECTIONS[f"{_kind}_counters"] = ("stage_counters" + _suffix, ("counter", "key"), ("n",))
+    _SECTIONS[f"{_kind}_generation_distributions"] = ("numeric_distribution" + _suffix, ("metric",), _SUMMARY)
+_TRANSITION_SECTIONS = {
+    "rates": (rates, ("checkpoint_token",), (
+        "evaluable_transitions", "w_to_c", "w_to_w", "c_to_c", "c_to_w", *_RATE,
+        "wrong_checkpoint_transitions", "recovery_rate", "non_recovery_rate")),
+    "contrasts": (contrasts, ("scope",), transitions.CONTRAST_METRICS),
+    "concentration": (concentration, ("label",), (
+        "event_count", "distinct_problems", "distinct_groups", "distinct_positions", "max_events_in_problem", "max_problem_share",
+        "max_events_in_group", "max_group_share", "herfindahl_by_problem", "herfindahl_by_group")),
+    "concentration_positions": (positions_of, ("label", "checkpoint_token"), ("event_count",)),
+}
+
+
+def _report_oracle() -> str:
+    parts = []
+
+    def add(section, sql, keys, measures):
+        key = " || '/' || ".join(f"CAST({k} AS VARCHAR)" for k in keys) or "''"
+        names = ", ".join(f"'{m}'" for m in measures)
+        values = ", ".join(f"round(CAST({m} AS DOUBLE), 4)" for m in measures)
+        parts.append(f"SELECT '{section}' AS section, {key} AS key, unnest([{names}]) AS metric, unnest([{values}]) AS value FROM ({sql}) q")
+
+    for section, (name, keys, measures) in _SECTIONS.items():
+        add(section, RAW_ORACLES[name], keys, measures)
+    for view in ("primary", "observed"):
+        for section, (sql, keys, measures) in _TRANSITION_SECTIONS.items():
+            add(f"{view}_{section}", sql("fx_checkpoints", f"{view}_label"), keys, measures)
+    return "\nUNION ALL ".join(parts)
+
+
+@query("analysis_report", _report_oracle())
+def _analysis_report(fx):
+    """Typed receipts are landed once, as in a real campaign; all sections read the landed tables."""
+    rollouts, checkpoints = materialise(fx.rollouts, "rollouts"), materialise(fx.checkpoints, "checkpoints")
+    planned = rollouts.select("rollout_id").distinct()
+    report = report_rows(analysis_sections(rollouts, checkpoints, planned, POSITIONS))
+    return report.withColumn("value", F.round(F.col("value").cast("double"), 4))
+
 
 # --- plans and children ------------------------------------------------------
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from suite.oracle_parts import EVAL
 from suite.registry import query
 from suite.views import CUE, EOS, MARKER, WORD_POSITIONS
+from trailmark.functions.identity import checkpoint_id, intent_id
 from trailmark.functions.tokens import all_subsequence_starts, find_subsequence
 from trailmark.operators import grading, ledger, trajectory
 from trailmark.params import CampaignPlan
@@ -193,6 +194,25 @@ FROM fx_rollouts WHERE 'intent:' || rollout_id IN (SELECT intent_id FROM recover
         fx.rollouts.select("rollout_id", "problem_id", "rollout_seed").distinct(), _recovery(fx)
     ).select("rollout_id", "problem_id", "rollout_seed", "status", "failure.error_type", "failure.message", "failure.cuda_oom"))
 
+_AVAILABLE = f"{_CUT}, ckpt AS (SELECT 'checkpoint:r-' || CAST(doc_id AS VARCHAR) || ':token-' || CAST(checkpoint_token AS VARCHAR) AS checkpoint_id, checkpoint_token, sha256('[' || array_to_string(token_ids[1:checkpoint_token], ',') || ']') AS prefix_sha256, doc_id FROM cut WHERE availability_status = 'AVAILABLE')"
+
+
+@query("interrupted_checkpoint_receipts", f"""
+WITH {_AVAILABLE} SELECT checkpoint_id, checkpoint_token, prefix_sha256, 'AVAILABLE' AS availability_status, 'INTERRUPTED_UNKNOWN' AS status,
+  'INTERRUPTED_UNKNOWN' AS error_type FROM ckpt WHERE doc_id % 3 = 0""")
+def _interrupted_checkpoint_receipts(fx):
+    """Every available checkpoint has a started intent; receipts exist for two thirds."""
+    cut = trajectory.fixed_checkpoints(fx.trajectories, WORD_POSITIONS, MARKER, EOS).where("availability_status = 'AVAILABLE'")
+    parent = F.concat(F.lit("r-"), F.col("doc_id").cast("string"))
+    planned = cut.select(checkpoint_id(parent, F.col("checkpoint_token")).alias("checkpoint_id"), "checkpoint_token",
+                         "prefix_sha256", "availability_status", "doc_id")
+    started = planned.select(F.lit(1).alias("seq"), intent_id(F.col("checkpoint_id")).alias("intent_id"), F.lit("INTENT_STARTED").alias("event_type"))
+    stored = planned.where(F.col("doc_id") % 3 != 0).select(F.col("checkpoint_id").alias("receipt_id"), F.lit("COMPLETED").alias("status"))
+    recovery = ledger.intent_receipt_recovery(ledger.intent_states(started), stored)
+    return ledger.interrupted_receipts(planned.drop("doc_id"), recovery, "checkpoint_id").select(
+        "checkpoint_id", "checkpoint_token", "prefix_sha256", "availability_status", "status", "failure.error_type")
+
+
 query("invocation_log", """
 WITH g AS (SELECT invocation_id, count(*) FILTER (WHERE event_type = 'RUN_INVOCATION_STARTED') AS starts,
   count(*) FILTER (WHERE event_type = 'RUN_INVOCATION_FINISHED') AS finishes, min(seq) FILTER (WHERE event_type = 'RUN_INVOCATION_STARTED') AS first_seq,

@@ -117,25 +117,24 @@ def intent_receipt_recovery(states: DataFrame, receipts: DataFrame) -> DataFrame
     )
 
 
-def interrupted_receipts(planned: DataFrame, recovery: DataFrame) -> DataFrame:
-    """Receipts to write for planned rollouts that ended without one."""
+def interrupted_receipts(
+    planned: DataFrame, recovery: DataFrame, id_column: str = "rollout_id"
+) -> DataFrame:
+    """Receipts to write for planned rollouts or checkpoints that ended without one.
+
+    Keeps the planned identity columns and adds status and failure.
+    """
     needed = recovery.where(
         F.col("action").isin("MARK_INTERRUPTED", "SYNTHESISE_INTERRUPTED_RECEIPT")
-    ).select("intent_id")
-    rows = planned.withColumn("intent_id", intent_id(F.col("rollout_id"))).join(
-        needed, "intent_id", "left_semi"
-    )
+    ).select(F.col("intent_id").alias("needed_intent"))
+    rows = planned.join(needed, intent_id(F.col(id_column)) == F.col("needed_intent"), "left_semi")
     failure = failure_payload(
         F.lit("INTERRUPTED_UNKNOWN"),
         F.lit("prior invocation ended after intent start without a receipt"),
         F.lit(False),
         F.lit(None).cast("double"),
     )
-    return rows.select(
-        "rollout_id", "problem_id", "rollout_seed",
-        F.lit("INTERRUPTED_UNKNOWN").alias("status"),
-        failure.alias("failure"),
-    )
+    return rows.withColumns({"status": F.lit("INTERRUPTED_UNKNOWN"), "failure": failure})
 
 
 def invocation_log(ledger: DataFrame) -> DataFrame:

@@ -49,16 +49,19 @@ def selection_rank(problems: DataFrame, seed: int) -> DataFrame:
 
 
 def selection_manifest(problems: DataFrame, seed: int, size: int) -> DataFrame:
-    """The ``size`` rows of lowest (rank, source_index).
+    """The ``size`` rows of lowest (rank, source_index); ``source_index`` is unique.
 
-    Only ids are ranked and cut (a top-k per task, no full sort); texts are hashed for
-    the selected rows alone.
+    Only ids are ranked and cut, by a top-k per task instead of a full sort. The texts
+    of the selected rows are then fetched by joining the ``size`` ids back, so no text
+    travels through the final merge and only selected texts are hashed.
     """
     if size <= 0:
         raise ValueError("manifest size must be positive")
-    ranked = selection_rank(problems, seed)
+    ranked = selection_rank(problems.select("problem_id", "source_index"), seed)
     top = ranked.orderBy("selection_rank", "source_index").limit(size)
-    return manifest_ordinal(content_hashes(top)).select("manifest_ordinal", *MANIFEST_COLUMNS)
+    texts = problems.drop("problem_id")
+    chosen = content_hashes(texts.join(top, "source_index"))
+    return manifest_ordinal(chosen.select(*MANIFEST_COLUMNS)).select("manifest_ordinal", *MANIFEST_COLUMNS)
 
 
 def manifest_ordinal(selected: DataFrame) -> DataFrame:
