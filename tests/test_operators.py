@@ -105,6 +105,16 @@ def test_manifest_tampering_is_found(spark):
         prepare_manifest(blank, CampaignPlan(), 5).collect()
 
 
+def test_problem_table_contract(spark):
+    table = spark.createDataFrame([("p", "text", "4", 0)], "uid string, q string, a string, i int")
+    assert inputs.read_problems(table, "uid", "q", "a", "i").columns == [
+        "problem_id", "source_index", "problem", "reference_answer", "level", "subject"]
+    with pytest.raises(ValueError, match="answer"):
+        inputs.read_problems(table, "uid", "q", "answer", "i")
+    with pytest.raises(ValueError, match="empty"):
+        inputs.read_problems(table.limit(0), "uid", "q", "a", "i")
+
+
 def test_append_once(spark, tmp_path):
     store = str(tmp_path / "store")
     first = spark.createDataFrame([("a", 1), ("b", 2)], "id string, n int")

@@ -1,6 +1,8 @@
-"""Exact order statistics without collecting a group into one task.
+"""Exact order statistics without collecting a metric into one task.
 
-Values are first reduced to distinct (group, value, count) rows, so copies and hot
+Input rows are (metric, value); metrics are the few names a report declares, so every
+table keyed by metric alone is tiny and can be broadcast whatever the data size.
+Values are first reduced to distinct (metric, value, count) rows, so copies and hot
 values collapse before the shuffle. Approximate cut points only split the distinct
 values into bins of similar size; ranks are then counted exactly, over bin totals
 first and inside the few bins that hold a wanted rank afterwards.
@@ -8,19 +10,15 @@ first and inside the few bins that hold a wanted rank afterwards.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BINS = 256  # a power of two
 
 
-def value_counts(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
-    return (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*groups, F.col(value).alias("value"))
-        .agg(F.count("*").alias("copies"))
+def value_counts(df: DataFrame) -> DataFrame:
+    return df.where(F.col("value").isNotNull()).groupBy("metric", "value").agg(
+        F.count("*").alias("copies")
     )
 
 
@@ -34,16 +32,15 @@ def _bin(cuts: Column, value: Column) -> Column:
     )
 
 
-def values_at_ranks(counts: DataFrame, groups: Sequence[str], ranks: dict[str, Column]) -> DataFrame:
-    """One row per group: ``n`` and the value at each requested 1-based rank.
+def values_at_ranks(counts: DataFrame, ranks: dict[str, Column]) -> DataFrame:
+    """One row per metric with the value at each requested 1-based rank.
 
-    ``counts`` has columns *groups, value, copies*; ``ranks`` maps an output name to
-    an expression over ``n``. ``groups`` must be a small, fixed set of report keys.
+    ``counts`` comes from :func:`value_counts`; ``ranks`` maps an output name to an
+    expression over ``n``, the number of values of the metric.
     """
-    groups = list(groups)
-    grid = [i / BINS for i in range(1, BINS)]
-    cuts = counts.groupBy(*groups).agg(
-        F.percentile_approx("value", grid, 10 * BINS).alias("cuts"),
+    grid = ", ".join(f"{i / BINS}D" for i in range(1, BINS))
+    cuts = counts.groupBy("metric").agg(
+        F.expr(f"percentile_approx(value, array({grid}), {10 * BINS})").alias("cuts"),
         F.sum("copies").alias("n"),
     )
     wanted = F.array(
@@ -53,32 +50,32 @@ def values_at_ranks(counts: DataFrame, groups: Sequence[str], ranks: dict[str, C
         ]
     )
     cuts = cuts.withColumn("wanted", wanted)
-    binned = counts.join(F.broadcast(cuts.select(*groups, "cuts")), groups).select(
-        *groups, _bin(F.col("cuts"), F.col("value")).alias("bin"), "value", "copies"
+    binned = counts.join(F.broadcast(cuts.select("metric", "cuts")), "metric").select(
+        "metric", _bin(F.col("cuts"), F.col("value")).alias("bin"), "value", "copies"
     )
-    before = Window.partitionBy(*groups).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("metric").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     totals = (
-        binned.groupBy(*groups, "bin")
+        binned.groupBy("metric", "bin")
         .agg(F.sum("copies").alias("in_bin"))
         .withColumn("base", F.coalesce(F.sum("in_bin").over(before), F.lit(0)))
     )
     targets = (
-        totals.join(F.broadcast(cuts.select(*groups, F.explode("wanted").alias("w"))), groups)
+        totals.join(F.broadcast(cuts.select("metric", F.explode("wanted").alias("w"))), "metric")
         .where((F.col("w.rank") > F.col("base")) & (F.col("w.rank") <= F.col("base") + F.col("in_bin")))
-        .select(*groups, "bin", "w.name", (F.col("w.rank") - F.col("base")).alias("rank_in_bin"))
+        .select("metric", "bin", "w.name", (F.col("w.rank") - F.col("base")).alias("rank_in_bin"))
     )
-    wanted_bins = targets.groupBy(*groups, "bin").agg(
+    wanted_bins = targets.groupBy("metric", "bin").agg(
         F.collect_list(F.struct("name", "rank_in_bin")).alias("targets")
     )
     running = (
-        Window.partitionBy(*groups, "bin")
+        Window.partitionBy("metric", "bin")
         .orderBy("value")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     hits = (
-        binned.join(F.broadcast(wanted_bins), [*groups, "bin"])
+        binned.join(F.broadcast(wanted_bins), ["metric", "bin"])
         .withColumn("upto", F.sum("copies").over(running))
-        .select(*groups, "value", "copies", "upto", F.explode("targets").alias("t"))
+        .select("metric", "value", "copies", "upto", F.explode("targets").alias("t"))
         .where(
             (F.col("t.rank_in_bin") <= F.col("upto"))
             & (F.col("t.rank_in_bin") > F.col("upto") - F.col("copies"))
@@ -87,7 +84,7 @@ def values_at_ranks(counts: DataFrame, groups: Sequence[str], ranks: dict[str, C
     picks = [
         F.max(F.when(F.col("t.name") == name, F.col("value"))).alias(name) for name in ranks
     ]
-    return hits.groupBy(*groups).agg(*picks)
+    return hits.groupBy("metric").agg(*picks)
 
 
 def nearest_rank(p: float) -> Column:

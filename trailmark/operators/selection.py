@@ -92,21 +92,24 @@ def verify_manifest(manifest: DataFrame, problems: DataFrame) -> DataFrame:
             *[F.min(c).alias(f"actual_{c}") for c in ("problem_id", *HASHES)],
         )
     )
-    repeated = Window.partitionBy("source_index")
-    rows = manifest.withColumn("uses", F.count("*").over(repeated)).join(source, "source_index", "left")
+    rows = manifest.join(source, "source_index", "left")
     differs = [
         F.when(~F.col(c).eqNullSafe(F.col(f"actual_{c}")), F.lit(f"MISMATCH:{c}"))
         for c in ("problem_id", *HASHES)
     ]
-    problems_found = F.array_compact(
+    found = F.array_compact(
         F.array(
-            F.when(F.col("uses") > 1, F.lit("REPEATED_SOURCE_INDEX")),
             F.when(F.col("source_rows").isNull(), F.lit("SOURCE_INDEX_OUT_OF_RANGE")),
             F.when(F.col("source_rows") > 1, F.lit("AMBIGUOUS_SOURCE_INDEX")),
             *[F.when(F.col("source_rows") == 1, d) for d in differs],
         )
     )
-    return rows.select("source_index", F.explode(problems_found).alias("violation")).distinct()
+    repeated = manifest.groupBy("source_index").agg(F.count("*").alias("uses")).where("uses > 1")
+    return (
+        rows.select("source_index", F.explode(found).alias("violation"))
+        .unionByName(repeated.select("source_index", F.lit("REPEATED_SOURCE_INDEX").alias("violation")))
+        .distinct()
+    )
 
 
 def verify_rank_order(manifest: DataFrame, problems: DataFrame, seed: int, size: int) -> DataFrame:

@@ -212,9 +212,9 @@ def numeric_distribution(df: DataFrame, metrics: dict[str, Column]) -> DataFrame
     NULL values are ignored; a metric without values keeps a row with count 0.
     """
     pairs = F.array(
-        *[F.struct(F.lit(name).alias("metric"), c.cast("double").alias("x")) for name, c in metrics.items()]
+        *[F.struct(F.lit(name).alias("metric"), c.cast("double").alias("value")) for name, c in metrics.items()]
     )
-    counts = value_counts(df.select(F.inline(pairs)), ["metric"], "x")
+    counts = value_counts(df.select(F.inline(pairs)))
     # 15 + 10 value digits times 12 count digits fit a decimal(38,10) without rounding.
     exact = counts.withColumn(
         "subtotal", F.col("value").cast("decimal(25,10)") * F.col("copies").cast("decimal(12,0)")
@@ -225,7 +225,7 @@ def numeric_distribution(df: DataFrame, metrics: dict[str, Column]) -> DataFrame
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
-    quantiles = values_at_ranks(counts, ["metric"], nearest_rank_quantiles())
+    quantiles = values_at_ranks(counts, nearest_rank_quantiles())
     names = literal_rows(df.sparkSession, "metric", list(metrics), "string")
     # Both sides hold at most one row per declared metric.
     rows = names.join(F.broadcast(summary), "metric", "left").join(F.broadcast(quantiles), "metric", "left")
@@ -256,11 +256,10 @@ def generation_distributions(receipts: DataFrame) -> DataFrame:
 
 def runtime_mean_median(rollouts: DataFrame) -> DataFrame:
     """Mean and interpolated median of completed runtimes (not the nearest-rank p50)."""
-    timed = completed(rollouts).select(F.lit("runtime").alias("metric"), "elapsed_seconds")
-    counts = value_counts(timed, ["metric"], "elapsed_seconds")
-    middle = values_at_ranks(counts, ["metric"], median_ranks())
+    timed = completed(rollouts).select(F.lit("runtime").alias("metric"), F.col("elapsed_seconds").alias("value"))
+    middle = values_at_ranks(value_counts(timed), median_ranks())
     totals = timed.groupBy("metric").agg(
-        exact_sum(F.col("elapsed_seconds")).alias("total"), F.count("elapsed_seconds").alias("n")
+        exact_sum(F.col("value")).alias("total"), F.count("value").alias("n")
     )
     names = literal_rows(rollouts.sparkSession, "metric", ["runtime"], "string")
     rows = names.join(F.broadcast(totals), "metric", "left").join(F.broadcast(middle), "metric", "left")

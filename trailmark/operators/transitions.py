@@ -322,6 +322,7 @@ def event_concentration(transitions: DataFrame, positions: Sequence[int]) -> Dat
         *[F.max(name).alias(name) for name in seen],
     )
     labels = literal_rows(transitions.sparkSession, "label", TRANSITION_LABELS, "string")
+    # At most one row per label of the four.
     rows = labels.join(F.broadcast(totals), "label", "left")
     whole = lambda name: F.coalesce(F.col(name), F.lit(0)).cast("bigint")
     events = F.col("event_count").cast("double")

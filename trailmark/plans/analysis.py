@@ -79,5 +79,5 @@ def report_rows(sections: dict[str, DataFrame]) -> DataFrame:
         parts.append(df.select(F.lit(section).alias("section"), key.alias("key"), F.inline(pairs)))
     report = parts[0]
     for part in parts[1:]:
-        report = report.unionByName(part)
+        report = report.union(part)
     return report

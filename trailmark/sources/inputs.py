@@ -37,12 +37,18 @@ def read_problems(
     index_field: str,
     subject_field: str | None = None,
     level_field: str | None = None,
+    require_rows: bool = True,
 ) -> DataFrame:
-    """Map a source table to the problem columns; ``source_index`` must be stored in it."""
+    """Map a source table to the problem columns; ``source_index`` must be stored in it.
+
+    An empty table is rejected, which looks at one row.
+    """
     needed = (id_field, problem_field, answer_field, index_field)
     missing = sorted(set(needed) - set(problems.columns))
     if missing:
         raise ValueError(f"dataset lacks required fields: {', '.join(missing)}")
+    if require_rows and problems.isEmpty():
+        raise ValueError("dataset split is empty")
 
     def metadata(name: str | None) -> Column:
         if name is None or name not in problems.columns:
