@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from suite.views import Fixtures
 from trailmark.functions.receipts import is_completed
-from trailmark.operators import ledger, selection, stages, transitions
+from trailmark.operators import ledger, selection, stages, summary, transitions
 from trailmark.operators.skew import hot_keys, salted_left_join
 
 SF = "/root/testdata/sf0.001"
@@ -103,6 +103,8 @@ def test_no_cross_joins_in_reports(spark):
         transitions.transition_rates_by_checkpoint(transitions.primary_transitions(facts), (256, 512)),
         transitions.matched_contrasts(transitions.primary_transitions(facts), (256, 512)),
         transitions.event_concentration(transitions.primary_transitions(facts), (256, 512)),
+        summary.operational_summary(fx.rollouts, fx.checkpoints),
+        stages.generation_distributions(fx.checkpoints),
     ):
         plan = plan_of(df)
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan

@@ -206,29 +206,36 @@ def stage_counters(receipts: DataFrame, status: str) -> DataFrame:
     )
 
 
-def numeric_distribution(df: DataFrame, metrics: dict[str, Column]) -> DataFrame:
-    """Count, total, mean, min, nearest-rank quartiles and p90, max per metric.
-
-    NULL values are ignored; a metric without values keeps a row with count 0.
-    """
+def _metric_values(df: DataFrame, metrics: dict[str, Column]) -> DataFrame:
+    """Distinct (metric, value, copies) rows of the named measures."""
     pairs = F.array(
         *[F.struct(F.lit(name).alias("metric"), c.cast("double").alias("value")) for name, c in metrics.items()]
     )
-    counts = value_counts(df.select(F.inline(pairs)))
+    return value_counts(df.select(F.inline(pairs)))
+
+
+def _with_ranks(df: DataFrame, counts: DataFrame, metrics: dict[str, Column], ranks: dict[str, Column]) -> DataFrame:
+    """One row per declared metric: count, total, min, max and the values at ``ranks``."""
     # 15 + 10 value digits times 12 count digits fit a decimal(38,10) without rounding.
-    exact = counts.withColumn(
-        "subtotal", F.col("value").cast("decimal(25,10)") * F.col("copies").cast("decimal(12,0)")
-    )
-    summary = exact.groupBy("metric").agg(
+    subtotal = F.col("value").cast("decimal(25,10)") * F.col("copies").cast("decimal(12,0)")
+    summary = counts.withColumn("subtotal", subtotal).groupBy("metric").agg(
         F.sum("copies").alias("count"),
         F.sum("subtotal").cast("double").alias("total"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
-    quantiles = values_at_ranks(counts, nearest_rank_quantiles())
+    picked = values_at_ranks(counts, ranks)
     names = literal_rows(df.sparkSession, "metric", list(metrics), "string")
     # Both sides hold at most one row per declared metric.
-    rows = names.join(F.broadcast(summary), "metric", "left").join(F.broadcast(quantiles), "metric", "left")
+    return names.join(F.broadcast(summary), "metric", "left").join(F.broadcast(picked), "metric", "left")
+
+
+def numeric_distribution(df: DataFrame, metrics: dict[str, Column]) -> DataFrame:
+    """Count, total, mean, min, nearest-rank quartiles and p90, max per metric.
+
+    NULL values are ignored; a metric without values keeps a row with count 0.
+    """
+    rows = _with_ranks(df, _metric_values(df, metrics), metrics, nearest_rank_quantiles())
     return rows.select(
         "metric",
         F.coalesce("count", F.lit(0)).cast("bigint").alias("count"),
@@ -256,15 +263,11 @@ def generation_distributions(receipts: DataFrame) -> DataFrame:
 
 def runtime_mean_median(rollouts: DataFrame) -> DataFrame:
     """Mean and interpolated median of completed runtimes (not the nearest-rank p50)."""
-    timed = completed(rollouts).select(F.lit("runtime").alias("metric"), F.col("elapsed_seconds").alias("value"))
-    middle = values_at_ranks(value_counts(timed), median_ranks())
-    totals = timed.groupBy("metric").agg(
-        exact_sum(F.col("value")).alias("total"), F.count("value").alias("n")
-    )
-    names = literal_rows(rollouts.sparkSession, "metric", ["runtime"], "string")
-    rows = names.join(F.broadcast(totals), "metric", "left").join(F.broadcast(middle), "metric", "left")
+    metrics = {"runtime": F.col("elapsed_seconds")}
+    timed = completed(rollouts)
+    rows = _with_ranks(timed, _metric_values(timed, metrics), metrics, median_ranks())
     return rows.select(
-        ratio(F.col("total"), F.col("n")).alias("mean_seconds"),
+        ratio(F.col("total"), F.col("count")).alias("mean_seconds"),
         ((F.col("low_middle") + F.col("high_middle")) / 2).alias("median_seconds"),
     )
 
