@@ -17,9 +17,15 @@ BINS = 256  # a power of two
 
 
 def value_counts(df: DataFrame) -> DataFrame:
-    return df.where(F.col("value").isNotNull()).groupBy("metric", "value").agg(
+    """Distinct values with their number of copies.
+
+    The always-true filter keeps the count in every later branch, even one that needs
+    only the values, so that all branches read the same exchange and scan once.
+    """
+    counts = df.where(F.col("value").isNotNull()).groupBy("metric", "value").agg(
         F.count("*").alias("copies")
     )
+    return counts.where("copies > 0")
 
 
 def _bin(cuts: Column, value: Column) -> Column:
