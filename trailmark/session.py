@@ -18,6 +18,8 @@ def local_session(cpus: str = "8", name: str = "trailmark") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         # HotSpot never compiles methods above 8,000 bytes; such stages run faster unfused.
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        # Keep compiled stages of a whole session; the default cache holds 100.
+        .config("spark.sql.codegen.cache.maxEntries", "2000")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
