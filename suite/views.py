@@ -18,7 +18,7 @@ SELECTION_SEED = 20260926
 MARKER = (2, 3)
 CUE = (2, 3, 40)
 EOS = (17,)
-MANIFEST_HASH = "3efe3ce41a812f03bd5270381bc850d994a0026e82e590c588f8732802134c84"
+MANIFEST_HASH = "0123456789abcdef" * 4
 
 VIEWS = {
     "fx_rollouts": """
