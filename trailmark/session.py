@@ -29,12 +29,24 @@ def local_session(cpus: str = "8", name: str = "trailmark") -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder.
+
+    A local session without either gets a folder of its own; on a cluster that is an error, as executors
+    would not see each other's files.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="trailmark-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder under the cluster's shared checkpoint dir; a temp dir where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="trailmark-")
-    return f"{shared.rstrip('/')}/trailmark/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder."""
+    return f"{shared_folder(spark)}/trailmark/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
