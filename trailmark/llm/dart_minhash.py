@@ -91,7 +91,8 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], k: int = K, seed: int
 
 def _throw(found, doc, elements, weights, limits, low, high, band, k, seed) -> None:
     """Throw all darts of one weight band and keep the earliest ranks in ``found``."""
-    state = splitmix(elements + np.uint64(seed) + np.uint64(band + 1) * np.uint64(0xD1B54A32D192ED03))
+    start = (seed + (band + 1) * 0xD1B54A32D192ED03) % (1 << 64)
+    state = splitmix(elements + np.uint64(start))
     rank = np.zeros(len(state))
     limit = limits[doc]
     while len(state):
@@ -240,13 +241,13 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, weighting: str = "
     """
     rows = near_duplicates(docs, similarity, weighting)
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("key").alias("key"))
-    kept = rows.groupBy("root").agg(F.min(order).alias("best")).select(
-        F.col("best.key").alias("__key"), _id_text(F.col("best.id")).alias("__id")
-    )
+    kept = rows.groupBy("root").agg(F.min(order).alias("best")).select("best.key", _id_text(F.col("best.id")).alias("id"))
     sortable = [f.name for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    keyed = docs.withColumns({"__key": text_key(F.col("text")), "__id": _id_text(F.col("doc_id"))})
-    first = F.min_by(F.struct(*docs.columns), F.struct(*sortable)).alias("row")
-    return keyed.groupBy("__key", "__id").agg(first).join(kept, ["__key", "__id"], "left_semi").select("row.*")
+    keyed = docs.select(
+        text_key(F.col("text")).alias("key"), _id_text(F.col("doc_id")).alias("id"), F.struct("*").alias("row"), F.struct(*sortable).alias("order")
+    )
+    best = keyed.groupBy("key", "id").agg(F.min_by("row", "order").alias("row"))
+    return best.join(kept, ["key", "id"], "left_semi").select("row.*")
 
 
 def _id_text(doc_id: Column) -> Column:

@@ -171,39 +171,29 @@ def mixed(docs: DataFrame, mix: Mix | None = None, more: bool = False) -> DataFr
     budget needs. An empty table gives no row.
     """
     mix = mix or default_mix()
-    leaf = _leaf(mix)
-    marked = docs.withColumns(
-        {"__domain": leaf[0], "__language": leaf[1], "__source": leaf[2], "__hash": _row_hash(docs)}
-    ).withColumn("__leaf", F.concat_ws("\x1f", "__domain", "__language", "__source"))
-    narrow = materialise(marked.select(F.col("__leaf").alias("leaf"), F.col("__hash").alias("hash"), words(F.col("text")).alias("tokens")), "mix_rows")
+    domain, language, source = _leaf(mix)
+    marked = docs.select(
+        F.struct("*").alias("row"), domain, language, source, _row_hash(docs).alias("hash"), words(F.col("text")).alias("tokens")
+    ).withColumn("leaf", F.concat_ws("\x1f", "domain", "language", "leaf_source"))
+    narrow = materialise(marked.select("leaf", "hash", "tokens"), "mix_rows")
 
     available = {tuple(r.leaf.split("\x1f")): r.tokens for r in narrow.groupBy("leaf").agg(F.sum("tokens").alias("tokens")).collect()}
     wanted = {"\x1f".join(path): (tokens, available[path]) for path, tokens in budgets(available, mix).items()}
     whole = {leaf: (b // a if a else 0) for leaf, (b, a) in wanted.items()}
     rest = {leaf: b - whole[leaf] * a for leaf, (b, a) in wanted.items()}
-    epoch = _literal(whole)
-
-    def order(hashed: Column, name: Column) -> Column:
-        return F.xxhash64(F.lit(mix.seed), epoch[name], hashed)
-
-    cuts = _cuts(narrow.select("leaf", order(F.col("hash"), F.col("leaf")).alias("order"), "tokens"), rest)
-    low = -(1 << 63)
-    cut = _literal({leaf: cuts[leaf][0] if leaf in cuts else low for leaf in wanted})[F.col("__leaf")]
-    placed = marked.withColumns({"__order": order(F.col("__hash"), F.col("__leaf")), "__whole": epoch[F.col("__leaf")]})
-    most = max(whole.values(), default=0)
-    plain = placed.withColumn(
-        "__epoch",
-        F.explode(F.filter(F.sequence(F.lit(0), F.lit(most)), lambda e: (e < F.col("__whole")) | (e == F.col("__whole")) & (F.col("__order") < cut))),
-    )
+    order = F.xxhash64(F.lit(mix.seed), _literal(whole)[F.col("leaf")], "hash").alias("order")
+    cuts = _cuts(narrow.select("leaf", order, "tokens"), rest)
+
+    cut = _literal({leaf: cuts[leaf][0] if leaf in cuts else -(1 << 63) for leaf in wanted})[F.col("leaf")]
+    placed = marked.select("*", order, _literal(whole)[F.col("leaf")].cast("int").alias("whole"))
+    epochs = F.sequence(F.lit(0), F.lit(max(whole.values(), default=0)))
+    read = F.filter(epochs, lambda e: (e < F.col("whole")) | (e == F.col("whole")) & (F.col("order") < cut))
+    found = placed.select("row", "domain", "language", "leaf_source", F.explode(read).alias("epoch"), "tokens")
     # Rows at the cut itself: equal ones are first gathered into one, then repeated as often as the budget needs.
-    held = [leaf for leaf in cuts]
-    at_cut = placed.where(F.col("__leaf").isin(held or [""]) & (F.col("__order") == cut))
-    copies = _literal({leaf: n for leaf, (_, n) in cuts.items()})
-    at_cut = at_cut.groupBy("__leaf", "__order").agg(F.first(F.struct(*plain.drop("__epoch").columns)).alias("row"))
-    at_cut = at_cut.select("row.*", F.explode(F.array_repeat(F.col("row.__whole").cast("int"), copies[F.col("__leaf")].cast("int"))).alias("__epoch"))
-    found = plain.unionByName(at_cut)
-    own = [F.col(c) for c in docs.columns]
-    if more:
-        own += [F.col(c).alias(n) for c, n in (("__domain", "domain"), ("__language", "language"), ("__source", "leaf_source"), ("__epoch", "epoch"))]
-        own.append(words(F.col("text")).alias("n_tokens"))
-    return found.select(*own)
+    at_cut = placed.where(F.col("leaf").isin(list(cuts)) & (F.col("order") == cut)) if cuts else placed.limit(0)
+    at_cut = at_cut.groupBy("leaf", "order").agg(F.first(F.struct("row", "domain", "language", "leaf_source", "whole", "tokens")).alias("one"))
+    copies = _literal({leaf: n for leaf, (_, n) in cuts.items()})[F.col("leaf")].cast("int")
+    last = at_cut.select("one.*", F.explode(F.array_repeat(F.col("one.whole"), copies)).alias("epoch"))
+    found = found.unionByName(last.select(found.columns))
+    extra = ["domain", "language", "leaf_source", "epoch", F.col("tokens").alias("n_tokens")]
+    return found.select("row.*", *(extra if more else []))

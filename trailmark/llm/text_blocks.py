@@ -201,6 +201,8 @@ LABELLED = np.array(
         (18, 0.0, 25, 0.0, 2, 1.0, 0, 0, 0, 1), (40, 0.1, 15, 0.0, 8, 0.0, 0, 0, 0, 1), (16, 0.0, 90, 0.0, 6, 0.5, 0, 0, 0, 1),
         (2, 1.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0), (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0, 0), (5, 0.8, 60, 0.0, 4, 1.0, 0, 0, 0, 0),
         (4, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0), (3, 0.0, 4, 0.0, 2, 0.0, 0, 0, 0, 0), (30, 0.9, 20, 0.0, 15, 0.5, 0, 0, 0, 0),
+        (1, 1.0, 1, 1.0, 30, 0.0, 0, 0, 0, 0), (3, 1.0, 2, 1.0, 60, 0.0, 0, 0, 0, 0), (2, 1.0, 50, 0.0, 1, 1.0, 0, 0, 0, 0),
+        (8, 1.0, 70, 0.0, 40, 0.0, 0, 0, 0, 0), (15, 0.9, 3, 0.0, 25, 0.1, 0, 0, 0, 0), (4, 0.8, 12, 0.0, 12, 0.0, 0, 0, 0, 0),
         (12, 0.7, 12, 0.8, 12, 0.9, 0, 0, 0, 0), (2, 0.0, 3, 1.0, 1, 0.0, 0, 0, 0, 0), (6, 0.0, 1, 0.0, 3, 0.6, 0, 0, 0, 0),
     ]
 )
