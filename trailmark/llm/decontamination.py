@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from trailmark.llm.shared import batches
 
-Q = 6
+Q = 8
 ERRORS = 0.1  # edits for each character of an item
 LEAST = 24  # characters an item must have to be looked for
 BLOCK_CHARS = 2_000_000  # normalised characters of items in one broadcast
@@ -71,6 +71,7 @@ def qgrams(codes: np.ndarray, q: int = Q) -> np.ndarray:
 class Index:
     ids: list  # item ids
     items: list[np.ndarray]
+    lengths: np.ndarray
     edits: np.ndarray
     bounds: np.ndarray  # least number of shared q-grams
     grams: np.ndarray  # sorted distinct hashes
@@ -95,7 +96,7 @@ def build(items: list[tuple[object, str]], q: int = Q, errors: float = ERRORS, l
     known = np.zeros(1 << FILTER_BITS, bool)
     known[(distinct >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
     return Index(
-        [i for i, _ in found], [c for _, c in found], edits, lengths - q + 1 - edits * q, distinct,
+        [i for i, _ in found], [c for _, c in found], lengths, edits, lengths - q + 1 - edits * q, distinct,
         np.append(first, len(every)), owner[order], place[order], known,
     )
 
@@ -134,23 +135,33 @@ def regions(codes: np.ndarray, index: Index, hits: np.ndarray, rows: np.ndarray)
     counts = index.first[rows + 1] - index.first[rows]
     posting = np.repeat(index.first[rows] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
     owner, place = index.owner[posting], index.place[posting]
-    diagonal = np.repeat(hits, counts) - place
-    step = index.edits[owner] + 1
-    lower = diagonal // step
-    # Each pair lies in two bands; a gram of an item counts once in a band.
-    owner, place, band = np.tile(owner, 2), np.tile(place, 2), np.concatenate([lower, lower - 1])
-    order = np.lexsort((place, band, owner))
-    owner, place, band = owner[order], place[order], band[order]
-    new_band = np.ones(len(owner), bool)
-    new_band[1:] = (owner[1:] != owner[:-1]) | (band[1:] != band[:-1])
-    new_place = new_band.copy()
-    new_place[1:] |= place[1:] != place[:-1]
-    begins = np.nonzero(new_band)[0]
-    shared = np.add.reduceat(new_place.astype(np.int64), begins)
-    for i in np.nonzero(shared >= index.bounds[owner[begins]])[0]:
-        item, number = int(owner[begins[i]]), int(band[begins[i]])
-        width = int(index.edits[item]) + 1
-        yield item, number * width, (number + 2) * width - 1
+    enough = (np.bincount(owner, minlength=len(index.items)) >= index.bounds)[owner]
+    owner, place = owner[enough], place[enough]
+    if not len(owner):
+        return
+    diagonal = np.repeat(hits, counts)[enough] - place
+    # Half-bands of every item that is hit, numbered one after another; two neighbours are a band.
+    step = index.edits + 1
+    lower = diagonal // step[owner]
+    lowest, highest = -(-index.lengths // step) - 1, int(hits[-1]) // step
+    size = highest + lowest + 3
+    ends = np.cumsum(size)
+    number = (ends - size + lowest + 1)[owner] + lower
+    halves = np.bincount(number, minlength=int(ends[-1]))
+    # Grams met twice count twice here, so no band is lost; those that reach the bound are counted exactly.
+    whose = np.repeat(np.arange(len(size)), size)
+    bands = np.nonzero(halves[:-1] + halves[1:] >= index.bounds[whose[:-1]])[0]
+    bands = bands[whose[bands] == whose[bands + 1]]
+    if not len(bands):
+        return
+    order = np.argsort(number, kind="stable")
+    sorted_ = number[order]
+    for band in bands.tolist():
+        item = int(whose[band])
+        own = order[np.searchsorted(sorted_, band) : np.searchsorted(sorted_, band + 2)]
+        if len(np.unique(place[own])) >= index.bounds[item]:
+            half = band - int(ends[item] - size[item]) - int(lowest[item]) - 1
+            yield item, half * int(step[item]), (half + 2) * int(step[item]) - 1
 
 
 def matches(codes: np.ndarray, index: Index, grams: np.ndarray, least: int) -> list[tuple[int, int, int, int]]:
@@ -171,12 +182,22 @@ def matches(codes: np.ndarray, index: Index, grams: np.ndarray, least: int) -> l
         spare, pattern = int(index.edits[item]), index.items[item]
         start = max(0, low - spare)
         region = codes[start : high + len(pattern) + spare]
-        edits, a, b = align(pattern, region, spare)
+        a = _find(region, pattern)
+        edits, a, b = (0, a, a + len(pattern)) if a >= 0 else align(pattern, region, spare)
         if edits <= spare and (item not in best or (edits, start + a) < best[item][:2]):
             best[item] = (edits, start + a, start + b)
     return [(item, *found) for item, found in sorted(best.items())]
 
 
+def _find(region: np.ndarray, pattern: np.ndarray) -> int:
+    """Where the pattern stands unchanged, -1 if nowhere."""
+    raw, wanted = region.tobytes(), pattern.tobytes()
+    at = raw.find(wanted)
+    while at % 4 and at > 0:  # a find inside of a code
+        at = raw.find(wanted, at + 1)
+    return at // 4 if at >= 0 else -1
+
+
 def _blocks(spark, items: DataFrame) -> Iterator[Index]:
     """Indexes of all items, each of bounded size: the blocks are counted first, then read one by one."""
     rows = items.select("item_id", "text").where("text IS NOT NULL").distinct()

@@ -33,9 +33,12 @@ MAGIC = 0x31564B4F54
 BLOCK = 4_000_000
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-MAX_CACHED = 150_000
+MAX_CACHED = 300_000
+MARK = "\x01"
+TAIL = ".,;:!?"
 
-_CHUNK = re.compile(r"[^ \t\n\r\f\v]+")  # tokens never cross these; str.split() knows more separators
+_SEPARATOR = re.compile("[\x1c-\x1f]")  # white space to str.split(), characters to the library
+_CHUNK = re.compile(r"[^ \t\n\r\f\v]+")
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -48,8 +51,8 @@ class Encoder:
     """The library's ids of whole texts, as unsigned 16- or 32-bit integers, with a memory of text chunks.
 
     This vocabulary drops white space and never joins across it, so a text's ids are those of its chunks one
-    after another. Chunks not met before go to the library in bulk, parted by a special token; chunks that hold
-    that token's own text go alone.
+    after another. Chunks not met before go to the library in bulk, parted by a control character that is a token
+    of its own; chunks that hold it or a special token's text go alone.
     """
 
     def __init__(self, path: str):
@@ -57,35 +60,84 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.mark = next(text for _, text in sorted((i, t.content) for i, t in self.library.get_added_tokens_decoder().items()))
-        self.mark_id = self.library.token_to_id(self.mark)
+        (self.mark_id,) = self.library.encode(MARK, add_special_tokens=False).ids
         self.kind = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
+        tokens = self.library.get_vocab()
+        self.ends_word = np.zeros(max(tokens.values()) + 1, bool)
+        self.ends_word[[i for token, i in tokens.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def learn(self, chunks: set[str]) -> None:
+        """Make sure that ``known`` holds every chunk; what is not met for long is forgotten."""
         if len(self.known) > MAX_CACHED:
-            self.known.clear()
-        new = [c for c in chunks if c not in self.known]
-        alone = [c for c in new if "<|" in c or len(c) > 200]
-        if alone:
-            for chunk, found in zip(alone, self.library.encode_batch_fast(alone, add_special_tokens=False)):
-                self.known[chunk] = np.asarray(found.ids, self.kind).tobytes()
-            new = [c for c in new if c not in self.known]
-        parts = [new[i : i + 500] for i in range(0, len(new), 500)]
-        texts = [f" {self.mark} ".join(part) for part in parts]
-        for part, found in zip(parts, self.library.encode_batch_fast(texts, add_special_tokens=False) if texts else ()):
-            ids = np.asarray(found.ids, self.kind)
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = []
+        for chunk in chunks:
+            if chunk not in known:
+                if chunk in older:
+                    known[chunk] = older[chunk]
+                else:
+                    new.append(chunk)
+        # A word and the punctuation after it are tokens apart, so a word is looked up without it.
+        cores = [(c, c.rstrip(TAIL)) for c in new]
+        words = {core for _, core in cores if core.isalpha()}
+        self._words([w for w in words if w not in known])
+        rest = [c for c, core in cores if c not in known and core not in words]
+        tails = {c[len(core) :] for c, core in cores if core in words} - {""}
+        self._chunks([*rest, *(t for t in tails if t not in known)])
+        for chunk, core in cores:
+            if chunk not in known:
+                known[chunk] = known[core] + known[chunk[len(core) :]]
+
+    def _words(self, words: list[str]) -> None:
+        """Words of letters only: each ends at the first token that ends a word."""
+        width = self.kind().itemsize
+        parts = [words[i : i + 500] for i in range(0, len(words), 500)]
+        for part, one in zip(parts, self._encoded([" ".join(p) for p in parts])):
+            ids = np.asarray(one.ids, self.kind)
+            ends = np.nonzero(self.ends_word[ids])[0] + 1
+            if len(ends) != len(part):  # letters to this library are not quite those of Python
+                self._chunks(part)
+                continue
+            raw, stops = ids.tobytes(), (ends * width).tolist()
+            self.known.update((w, raw[a:b]) for w, a, b in zip(part, [0, *stops], stops))
+
+    def _chunks(self, chunks: list[str]) -> None:
+        bulk = [c for c in chunks if MARK not in c and "<|" not in c]
+        alone = [c for c in chunks if MARK in c or "<|" in c]
+        width = self.kind().itemsize
+        parts = [bulk[i : i + 500] for i in range(0, len(bulk), 500)]
+        for part, one in zip(parts, self._encoded([f" {MARK} ".join(p) for p in parts])):
+            ids = np.asarray(one.ids, self.kind)
             cuts = np.nonzero(ids == self.mark_id)[0]
-            raw, width = ids.tobytes(), ids.itemsize
+            if len(cuts) != len(part) - 1:
+                raise ValueError("the vocabulary joins tokens across white space")
+            raw = ids.tobytes()
             for chunk, a, b in zip(part, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]):
                 self.known[chunk] = raw[a * width : b * width]
+        for chunk, one in zip(alone, self._encoded(alone)):
+            self.known[chunk] = np.asarray(one.ids, self.kind).tobytes()
+
+    def _encoded(self, texts: list[str]):
+        return self.library.encode_batch_fast(texts, add_special_tokens=False) if texts else []
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_CHUNK.findall(t) for t in texts]
+        split = [_CHUNK.findall(t) if _SEPARATOR.search(t) else t.split() for t in texts]
         self.learn(set().union(*split))
         return [b"".join(map(self.known.__getitem__, chunks)) for chunks in split]
 
 
+_ENCODERS: dict[str, Encoder] = {}  # one for each vocabulary, kept by the worker from task to task
+
+
+def encoder_of(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def compress(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of an array of uint32."""
     ranks = ranks.astype(np.uint32, copy=False)
@@ -166,7 +218,7 @@ def _blocks(docs: DataFrame, path: str, end_id: int, block: int) -> DataFrame:
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encoder, number = TaskContext.get().partitionId(), Encoder(path), 0
+        part, encoder, number = TaskContext.get().partitionId(), encoder_of(path), 0
         end = np.array([end_id], encoder.kind).tobytes()
         ids: list[int | None] = []
         held: list[bytes] = []
