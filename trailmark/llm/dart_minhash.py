@@ -10,9 +10,9 @@ only up to a rank near K ln K / w, so the work is about one dart per shingle ins
 
 Whole process: identical texts are one node (md5 of the text). Nodes that share a band of
 ``ROWS`` coordinates are candidates. Each bucket first compares its members with one hub, its
-smallest key; verified links give components; members of a bucket that are then still in different
-components are compared with a second hub and at last with each other, so no candidate goes
-untested, while a group of n copies costs n comparisons and not n * n. Hot hubs are the
+smallest key, so a group of n copies costs n comparisons and not n * n; verified links give
+components. Only buckets whose members are then still in different components go on: their members
+meet in bounded groups that yield links and no pairs, so no candidate goes untested. Hot hubs are the
 small side of joins that Spark's skew handling can split; every grouping is pre-aggregated.
 Nothing is collected but counts.
 """
@@ -36,6 +36,7 @@ ROWS = 5
 BANDS = 24  # at a similarity of 0.8 a pair shares no band with probability 7e-5
 K = ROWS * BANDS
 SEED = 0x5EEDDA27
+CHUNK = 1000  # members of a bucket that meet in one group
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -158,6 +159,54 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return sized.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
+def _links_across(split: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links between members of one bucket that are in different components so far.
+
+    A bucket is dealt into chunks of about ``CHUNK`` members, and each two chunks meet in a group of their own, so
+    a group is bounded. Within it the shared shingles of one member with all others are counted
+    from an index of shingles, and members that have become linked in the group are not compared again;
+    only links leave it.
+    """
+
+    def run(batch: pa.Table) -> pa.Table:
+        keys, roots = batch.column("key").to_pylist(), batch.column("root").to_pylist()
+        chunk = np.asarray(batch.column("chunk"))
+        low, high = batch.column("i")[0].as_py(), batch.column("j")[0].as_py()
+        found = [np.asarray(x.values) for x in batch.column("shingles")]
+        parent = {r: r for r in roots}
+
+        def root(r: bytes) -> bytes:
+            while parent[r] != r:
+                parent[r] = r = parent[parent[r]]
+            return r
+
+        sizes = np.array([len(x) for x in found])
+        owner = np.repeat(np.arange(len(found)), sizes)
+        every = np.concatenate(found) if found else np.empty(0, np.int32)
+        order = np.argsort(every, kind="stable")
+        every, owner = every[order], owner[order]
+        pairs = []
+        for n, own in enumerate(found):
+            first, last = np.searchsorted(every, own), np.searchsorted(every, own, side="right")
+            counts = last - first
+            at = np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+            shared = np.bincount(owner[at], minlength=len(found))
+            alike = np.nonzero(shared >= similarity * (sizes + sizes[n] - shared))[0]
+            for m in alike[alike < n].tolist():
+                if (low == high or chunk[m] != chunk[n]) and root(roots[m]) != root(roots[n]):
+                    parent[root(roots[m])] = root(roots[n])
+                    pairs.append((keys[n], keys[m]))
+        a, b = zip(*pairs) if pairs else ((), ())
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    dealt = split.withColumns({"chunk": F.pmod(F.xxhash64("key"), chunks).cast("int"), "other": F.explode(F.sequence(F.lit(0), chunks - 1))})
+    dealt = dealt.join(sets, "key").select(
+        "bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "key", "root", "shingles"
+    )
+    return dealt.groupBy("bucket", "i", "j").applyInArrow(run, "a binary, b binary").distinct()
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """``key``, ``root`` (smallest key of the component) for every end of the edges ``a``, ``b``.
 
@@ -204,25 +253,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighting:
     sets = materialise(_shingle_table(docs, wanted, weighting), "shingles")
     links = materialise(_verified(pairs, sets, similarity), "links")
 
-    for last in (False, True):
+    found = components(links)
+    split = members.join(found, "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
+    several = split.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
+    split = materialise(split.join(several.where("low != high").select("bucket", "n"), "bucket"), "split")
+    if not split.isEmpty():
+        links = materialise(links.unionByName(_links_across(split, sets, similarity)), "links")
         found = components(links)
-        split = members.join(found, "key", "left").select("bucket", "key", "hub", F.coalesce("root", "key").alias("root"))
-        several = split.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("key").alias("other"))
-        split = materialise(split.join(several.where("low != high").select("bucket", "other"), "bucket"), "split")
-        if split.isEmpty():
-            break
-        if last:  # what is left: members of one bucket in different components
-            right = split.select("bucket", F.col("key").alias("b"), F.col("root").alias("other_root"))
-            left = split.select("bucket", F.col("key").alias("a"), "root")
-            more = left.join(right, "bucket").where("root < other_root").select("a", "b")
-        else:
-            roots = split.where("key = other").select("bucket", F.col("root").alias("other_root"))
-            more = split.join(roots, "bucket").where("root != other_root").select(F.col("key").alias("a"), F.col("other").alias("b"))
-        more = more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        more = more.join(pairs, ["a", "b"], "left_anti")
-        links = materialise(links.unionByName(_verified(more, sets, similarity)), "links")
-        if last:
-            found = components(links)
     return rows.select("id", "key").join(found, "key", "left").select("id", "key", F.coalesce("root", "key").alias("root"))
 
 
