@@ -63,7 +63,7 @@ def fit(labelled: DataFrame, bound: int = SAMPLE, seed: int = 7) -> LanguageMode
     Without a labelled row the model knows no language and rejects every text.
     """
     rows = sample_rows(labelled.select("text", "lang").where("lang IS NOT NULL AND text IS NOT NULL"), bound)
-    rows = sorted((r for r in ((words_of(r.text), r.lang) for r in rows) if r[0]), key=lambda r: (r[1], r[0]))
+    rows = [(text, lang) for lang, text in sorted((r.lang, r.text) for r in rows) if WORD.search(text)]
     languages = sorted({lang for _, lang in rows})
     if not languages:
         return LanguageModel([], None)
@@ -71,7 +71,7 @@ def fit(labelled: DataFrame, bound: int = SAMPLE, seed: int = 7) -> LanguageMode
     index: dict[str, int] = {}
     bags, labels = [], []
     for i in order:
-        bags.append(np.fromiter((index.setdefault(w, len(index)) for w in rows[i][0]), np.int64))
+        bags.append(np.fromiter((index.setdefault(w, len(index)) for w in words_of(rows[i][0])), np.int32))
         labels.append(languages.index(rows[i][1]))
     words, labels = list(index), np.array(labels)
     # A long text is several bags, so that short texts are met too.

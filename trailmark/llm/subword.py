@@ -113,14 +113,16 @@ def train(
             random.normal(0, 0.1, (buckets, dimension)).astype(np.float32), random.normal(0, 0.1, (dimension, classes)).astype(np.float32),
             np.zeros(classes, np.float32), sizes,
         )
-    found, counts = buckets_of(words, sizes, buckets)
+    # In parts: the hashes of all words at once would need ten times the memory of their buckets.
+    parts = [buckets_of(words[i : i + 20_000], sizes, buckets) for i in range(0, len(words), 20_000)]
+    found, counts = np.concatenate([f.astype(np.int32) for f, _ in parts]), np.concatenate([c for _, c in parts])
     first = np.cumsum(counts) - counts
     seen = np.full(buckets, 1e-6, np.float32)
     seen_w, seen_b = np.full(model.weights.shape, 1e-6, np.float32), np.full(classes, 1e-6, np.float32)
     weight = np.ones(len(bags), np.float32) if weight is None else weight.astype(np.float32)
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
-        order = random.permutation(len(bags))
+        order = random.permutation(len(bags)).astype(np.int32)
         for begin in range(0, len(order), batch):
             chosen = order[begin : begin + batch]
             sizes_of = np.fromiter((len(bags[i]) for i in chosen), np.int64, len(chosen))

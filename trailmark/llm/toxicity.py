@@ -22,9 +22,9 @@ from pyspark.sql import types as T
 
 from trailmark.llm.language_id import sample_rows, words_of
 from trailmark.llm.shared import batches, fold_column
-from trailmark.llm.subword import Model, WordScores, train
+from trailmark.llm.subword import WORD, Model, WordScores, train
 
-SAMPLE = 8000  # bound of the labelled texts that are fitted
+SAMPLE = 5000  # bound of the labelled texts that are fitted
 BAG = 8
 SIZES = (3, 4, 5, 6)
 BUCKETS = 1 << 17
@@ -64,13 +64,14 @@ def bag_means(values: np.ndarray) -> np.ndarray:
 def fit(labelled: DataFrame, bound: int = SAMPLE, seed: int = 7) -> ToxicityModel:
     """Learn from columns text and toxic; without both labels every text scores 0."""
     rows = sample_rows(labelled.select("text", "toxic").where("toxic IS NOT NULL AND text IS NOT NULL"), bound)
-    rows = sorted((r for r in ((words_of(r.text), int(r.toxic)) for r in rows) if r[0]), key=lambda r: (r[1], r[0]))
+    rows = sorted((int(r.toxic), r.text) for r in rows)
+    rows = [(text, label) for label, text in rows if WORD.search(text)]
     if len({label for _, label in rows}) < 2:
         return ToxicityModel(None)
     random = np.random.default_rng(seed)
     random.shuffle(order := np.arange(len(rows)))
     index: dict[str, int] = {}
-    texts = [np.fromiter((index.setdefault(w, len(index)) for w in rows[i][0]), np.int64) for i in order]
+    texts = [np.fromiter((index.setdefault(w, len(index)) for w in words_of(rows[i][0])), np.int32) for i in order]
     labels = np.array([rows[i][1] for i in order])
     words = list(index)
     held = len(texts) // CALIBRATION
