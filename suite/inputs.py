@@ -325,7 +325,7 @@ SELECT doc_id, sha256(replace('{_TEMPLATE_SQL}', '{{problem}}', text)) AS prompt
 # --- small receipt expressions -----------------------------------------------
 
 query("failure_payload", """
-SELECT doc_id, source AS error_type, left(text, 1000) AS message, doc_id % 3 = 0 AS cuda_oom, CAST(n_chars AS DOUBLE) AS elapsed_seconds FROM documents""")(
+SELECT doc_id, source AS error_type, text AS message, doc_id % 3 = 0 AS cuda_oom, CAST(n_chars AS DOUBLE) AS elapsed_seconds FROM documents""")(
     lambda fx: fx.table("documents").withColumn("p", failure_payload(
         F.col("source"), F.col("text"), F.when(F.col("doc_id") % 3 == 0, True), F.col("n_chars").cast("double"))
     ).select("doc_id", "p.*"))

@@ -155,7 +155,7 @@ states AS (SELECT intent_id, CASE WHEN e1 <> 0 THEN 'TERMINAL_WITHOUT_START' WHE
   CASE WHEN e1 <> 0 OR e2 = 0 OR e3 IS NOT NULL THEN NULL WHEN e2 IS NULL THEN 'STARTED_UNKNOWN' WHEN e2 = 1 THEN 'COMPLETED' WHEN e2 = 2 THEN 'FAILED' ELSE 'INTERRUPTED_UNKNOWN' END AS state FROM hist)"""
 
 query("ledger_event_order", f"""
-WITH {_CODES.format("fx_ledger")} SELECT seq, intent_id, event_type, CAST(o AS INTEGER) AS event_ordinal FROM ordered WHERE o <= 3""")(
+WITH {_CODES.format("fx_ledger")} SELECT seq, intent_id, event_type, CAST(o AS INTEGER) AS event_ordinal FROM ordered""")(
     lambda fx: ledger.ledger_event_order(fx.view("fx_ledger")).select("seq", "intent_id", "event_type", "event_ordinal"))
 
 for _name, _view in (("intent_states", "fx_ledger"), ("intent_states_valid", "fx_ledger_orders")):

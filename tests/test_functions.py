@@ -179,3 +179,47 @@ def test_termination_precedence(spark):
     df = spark.createDataFrame([(1, [1, 9]), (2, [1, 2]), (3, [1]), (4, [])], "id int, t array<int>")
     found = keyed(df.select("id", termination_status(F.col("t"), [9], 2).alias("s")), "id", "s")
     assert found == {1: "EOS", 2: "MAX_NEW_TOKENS", 3: "OTHER_STOP", 4: "OTHER_STOP"}
+
+
+@pytest.mark.parametrize(
+    "left,right,equal",
+    [
+        (r"\leftarrow", r"\rightarrow", False), ("1 2/3", "4", False), ("1 2", "12", False), (".5", "0.5", True), (r"\$5", "5", True),
+        ("0.1234567", "0.12345670", True), ("1234567890123456", "1234567890123456.0", True), ("-0", "0.0", True), ("12345678901234567890123", "12345678901234567890124", False),
+        (r"\left( 1, 2 \right)", "(1,2)", True), ("+007", "7", True), (r"\frac{2}{4}", "0.5", True),
+    ],
+)
+def test_answers_that_were_graded_wrongly(spark, left, right, equal):
+    from trailmark.operators.grading import evaluate_pairs
+
+    row = evaluate_pairs(spark.createDataFrame([(left, right)], "a string, b string"), "a", "b").first()
+    assert row.evaluation.correct is equal
+
+
+def test_strict_reads_fail_when_only_counted(spark, tmp_path):
+    from trailmark.sources.documents import read_json_files
+
+    (tmp_path / "a.json").write_text('{"x": 1}')
+    (tmp_path / "b.json").write_text("{")
+    assert read_json_files(spark, str(tmp_path), strict_mode=False).count() == 2
+    with pytest.raises(Exception, match="b.json"):
+        read_json_files(spark, str(tmp_path)).count()
+
+
+def test_control_characters_in_canonical_json(spark):
+    import json
+
+    from trailmark.functions.identity import canonical_json
+
+    texts = ["a\x0bb", "\x1f\x0e\x1a", "\\u000B", "\\\\\x0b", "plain"]
+    found = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string").select("i", canonical_json(F.struct("s")).alias("j"))
+    assert [r.j for r in found.orderBy("i").collect()] == [json.dumps({"s": t}, separators=(",", ":"), ensure_ascii=False) for t in texts]
+
+
+def test_declared_positions_name_every_fault():
+    from trailmark.params import declared_positions
+
+    assert declared_positions([512, 256]) == (256, 512)
+    for bad, words in (([], "none"), ([0, 3, 3, True], "0 is no.*True is no.*'3' is declared 2 times")):
+        with pytest.raises(ValueError, match=words):
+            declared_positions(bad)

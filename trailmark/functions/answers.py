@@ -107,14 +107,15 @@ def extract_boxed(text: Column) -> Column:
 def normalise_answer(answer: Column) -> Column:
     """Answer text without box wrapper, math delimiters, spacing commands and blanks."""
     inner = F.regexp_replace(F.trim(answer), r"(?s)^\\boxed\s*\{(.*)\}$", "$1")
-    plain = F.regexp_replace(inner, r"\\left|\\right|\\[!,;: ]|\$|\s+", "")
+    plain = F.regexp_replace(inner, r"\\(?:left|right)(?![a-zA-Z])|\\[!,;: ]|\\?\$", "")
+    plain = F.regexp_replace(plain, r"(?<![0-9])\s+|\s+(?![0-9])", "")
     plain = F.regexp_replace(plain, r"\\[dt]frac", r"\\frac")
     plain = F.regexp_replace(plain, r"^([+-]?)\\frac\{([+-]?[0-9.]+)\}\{([+-]?[0-9.]+)\}$", "$1$2/$3")
     return F.regexp_replace(plain, r"\.$", "")
 
 
 # At most 12 integer and 6 fractional digits, so that cross products stay exact.
-_NUMBER = r"[+-]?[0-9]{1,12}(?:\.[0-9]{1,6})?"
+_NUMBER = r"[+-]?(?:[0-9]{1,12}(?:\.[0-9]{1,6})?|\.[0-9]{1,6})"
 _RATIONAL = rf"^({_NUMBER})(?:/({_NUMBER}))?$"
 EXACT = "decimal(18,6)"
 
@@ -125,3 +126,15 @@ def rational_part(normalised: Column, group: int) -> Column:
     if group == 1:
         return found.try_cast(EXACT)
     return F.nullif(F.coalesce(found, F.lit("1")).try_cast(EXACT), F.lit(0).cast(EXACT))
+
+
+def canonical_number(normalised: Column) -> Column:
+    """An integer or decimal of any length as sign, digits and fraction without idle zeros; else NULL.
+
+    Two such texts are equal only if their values are, so no number of digits is too many.
+    """
+    pattern = r"^([+-]?)0*([0-9]*)(?:\.([0-9]*?)0*)?$"
+    is_number = normalised.rlike(r"^[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)$")
+    whole, part = F.regexp_extract(normalised, pattern, 2), F.regexp_extract(normalised, pattern, 3)
+    sign = F.when((F.regexp_extract(normalised, pattern, 1) == "-") & (F.length(F.concat(whole, part)) > 0), "-").otherwise("")
+    return F.when(is_number, F.concat(sign, whole, F.lit("."), part))

@@ -12,7 +12,11 @@ def sha256_text(text: Column) -> Column:
 
 def canonical_json(struct: Column) -> Column:
     """Compact JSON with nulls kept. Declare struct fields in sorted key order."""
-    return F.to_json(struct, {"ignoreNullFields": "false"})
+    text = F.to_json(struct, {"ignoreNullFields": "false"})
+    lowered = text  # control characters have lower-case hex digits; an escaped backslash before "u" is text
+    for digit in "ABCDEF":
+        lowered = F.regexp_replace(lowered, rf"(?<!\\)((?:\\\\)*\\u00[01]){digit}", f"$1{digit.lower()}")
+    return F.when(F.contains(text, F.lit("\\u00")), lowered).otherwise(text)
 
 
 def canonical_json_hash(struct: Column) -> Column:

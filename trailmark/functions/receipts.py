@@ -29,10 +29,13 @@ def failure_kind(error_type: Column, missing: str = NOT_RECORDED) -> Column:
     return F.coalesce(F.nullif(error_type, F.lit("")), F.lit(missing))
 
 
-def failure_payload(error_type: Column, message: Column, cuda_oom: Column, elapsed: Column) -> Column:
+def failure_payload(
+    error_type: Column, message: Column, cuda_oom: Column, elapsed: Column, limit: int | None = None
+) -> Column:
+    """The message is kept whole unless a ``limit`` of characters is given."""
     return F.struct(
         error_type.alias("error_type"),
-        F.substring(message, 1, 1000).alias("message"),
+        (message if limit is None else F.substring(message, 1, limit)).alias("message"),
         F.coalesce(cuda_oom, F.lit(False)).alias("cuda_oom"),
         elapsed.alias("elapsed_seconds"),
     )

@@ -73,3 +73,8 @@ def recorded_label(v: Column, path: str) -> Column:
     return F.when(kind == "STRING", F.try_variant_get(v, path, "string")).when(
         kind.isNotNull() & (kind != "VOID"), F.to_json(child(v, path))
     )
+
+
+def is_blank(text: Column) -> Column:
+    """No character but white space, of any script; NULL stays NULL."""
+    return ~text.rlike(r"(?U)[^\s\x1c-\x1f]")

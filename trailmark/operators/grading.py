@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.functions.answers import REASONS, extract_boxed, normalise_answer, rational_part
+from trailmark.functions.answers import REASONS, canonical_number, extract_boxed, normalise_answer, rational_part
 from trailmark.functions.labels import apply_eligibility, classify_transition
 from trailmark.functions.receipts import is_evaluated
+from trailmark.functions.strict import is_blank
 from trailmark.params import CensoringPolicy
 from trailmark.vocab import EVALUATION_STATUSES
 
@@ -47,7 +48,7 @@ def evaluate_pairs(
     Every case that cannot be graded keeps its reason. Normalisation, number parsing
     and the verdict are separate projections, so each runs once per row.
     """
-    blank = lambda name: F.coalesce(F.trim(F.col(name)) == "", F.lit(True))
+    blank = lambda name: F.coalesce(is_blank(F.col(name)), F.lit(True))
     status = F.lit("EXTRACTED") if extraction_status is None else extraction_status
     plain = answers.withColumns(
         {
@@ -64,7 +65,8 @@ def evaluate_pairs(
             }
         )
         same_number = F.col("_a") * F.col("_d") == F.col("_c") * F.col("_b")
-        judged = parts.withColumn("_equal", F.coalesce(same_number, F.col("_left") == F.col("_right")))
+        same_digits = canonical_number(F.col("_left")) == canonical_number(F.col("_right"))
+        judged = parts.withColumn("_equal", F.coalesce(same_number, same_digits, F.col("_left") == F.col("_right")))
     else:
         judged = plain.withColumn("_equal", equal(F.col(reference), F.col(candidate)))
     case = (

@@ -34,10 +34,10 @@ def state_name(code: Column) -> Column:
     return name
 
 
-def ledger_event_order(ledger: DataFrame, keep: int = DECIDING_EVENTS) -> DataFrame:
-    """The first ``keep`` start/terminal events per intent, numbered in ``seq`` order.
+def ledger_event_order(ledger: DataFrame, keep: int | None = None) -> DataFrame:
+    """Start and terminal events per intent, numbered in ``seq`` order; all, or the first ``keep``.
 
-    The row_number filter becomes a group limit that runs before the shuffle, so an
+    With ``keep`` the row_number filter becomes a group limit that runs before the shuffle, so an
     intent with any number of events sends at most ``keep`` rows per task.
     """
     relevant = ledger.where(F.col("intent_id").isNotNull()).withColumn(
@@ -47,7 +47,7 @@ def ledger_event_order(ledger: DataFrame, keep: int = DECIDING_EVENTS) -> DataFr
     numbered = relevant.where(F.col("code").isNotNull()).withColumn(
         "event_ordinal", F.row_number().over(order)
     )
-    return numbered.where(F.col("event_ordinal") <= keep)
+    return numbered if keep is None else numbered.where(F.col("event_ordinal") <= keep)
 
 
 def intent_states(ledger: DataFrame, strict: bool = False) -> DataFrame:
@@ -56,7 +56,7 @@ def intent_states(ledger: DataFrame, strict: bool = False) -> DataFrame:
     Only [], [start] and [start, terminal] are valid. In strict mode an invalid
     history fails the job instead.
     """
-    ordered = ledger_event_order(ledger)
+    ordered = ledger_event_order(ledger, DECIDING_EVENTS)
     at = lambda n: F.max(F.when(F.col("event_ordinal") == n, F.col("code")))
     first = ordered.groupBy("intent_id").agg(*[at(n).alias(f"e{n}") for n in (1, 2, 3)])
     e1, e2, e3 = F.col("e1"), F.col("e2"), F.col("e3")

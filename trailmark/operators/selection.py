@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions import identity
+from trailmark.functions.strict import is_blank
 
 HASHES = ("problem_sha256", "reference_answer_sha256", "metadata_sha256")
 MANIFEST_COLUMNS = ("problem_id", "source_index", "selection_rank", *HASHES)
@@ -13,7 +14,7 @@ MANIFEST_COLUMNS = ("problem_id", "source_index", "selection_rank", *HASHES)
 
 def problem_violation() -> Column:
     """Reason a problem row breaks the input contract, else NULL."""
-    blank = lambda name: F.coalesce(F.trim(F.col(name).cast("string")) == "", F.lit(True))
+    blank = lambda name: F.coalesce(is_blank(F.col(name).cast("string")), F.lit(True))
     return (
         F.when(blank("problem_id"), "INVALID_PROBLEM_ID")
         .when(blank("problem"), "INVALID_PROBLEM")
@@ -28,8 +29,8 @@ def validate_problems(problems: DataFrame, strict: bool = False) -> DataFrame:
     if not strict:
         return checked.withColumn("violation", violation)
     message = F.concat(F.lit("row "), F.col("source_index").cast("string"), F.lit(": "), violation)
-    stop = F.when(violation.isNotNull(), F.raise_error(message).cast("string"))
-    return checked.withColumn("violation", stop)
+    stop = F.when(violation.isNotNull(), F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+    return checked.where(stop).withColumn("violation", F.lit(None).cast("string"))
 
 
 def content_hashes(problems: DataFrame) -> DataFrame:

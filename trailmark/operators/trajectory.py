@@ -37,7 +37,7 @@ def fixed_checkpoints(
     ids = F.col("token_ids")
     searched = trajectories.withColumns(
         {
-            "_length": F.size(ids),
+            "_length": F.coalesce(F.size(ids), F.lit(0)),  # a missing trajectory has no tokens
             "_close_start": find_subsequence(ids, marker),
             "_first_eos": first_position_in(ids, eos_ids),
         }

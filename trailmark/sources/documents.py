@@ -39,7 +39,7 @@ def parse_exact(lines: DataFrame) -> DataFrame:
 
 def json_problem(text: Column, parsed: Column) -> Column:
     return (
-        F.when(F.trim(text) == "", BLANK)
+        F.when(strict.is_blank(text), BLANK)
         .when(parsed.isNull(), MALFORMED)
         .when(~strict.is_object(parsed), NOT_OBJECT)
     )
@@ -55,8 +55,9 @@ def parse_objects(lines: DataFrame, strict_mode: bool) -> DataFrame:
     if not strict_mode:
         return flagged.select("file_name", "record", "problem", "value")
     message = F.concat(F.col("problem"), F.lit(" in "), F.col("file_name"))
-    record = F.when(F.col("problem").isNotNull(), F.raise_error(message)).otherwise(F.col("record"))
-    return flagged.select("file_name", record.alias("record"))
+    # A filter, so that no column pruning can drop the check.
+    stop = F.when(F.col("problem").isNotNull(), F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+    return flagged.where(stop).select("file_name", "record")
 
 
 def read_json_files(spark: SparkSession, directory: str, strict_mode: bool = True) -> DataFrame:
