@@ -46,6 +46,15 @@ def classes_by_hand(texts, similarity=0.8):
     return [find(i) for i in range(len(texts))]
 
 
+def test_bitmap_keeps_all_wanted(spark):
+    rows = spark.range(20000).selectExpr("id * 7919 - 500000 AS b", "id")
+    wanted = rows.where("b % 13 = 0").select("b")
+    found = dart_minhash._possible(rows, "b", wanted)
+    assert found.join(wanted, "b", "left_semi").count() == wanted.count()
+    assert found.count() < 2 * wanted.count()
+    assert dart_minhash._possible(rows, "b", wanted.limit(0)).count() == 0
+
+
 def test_near_duplicates(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 700")
     rows = sorted((r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect())

@@ -13,7 +13,8 @@ Whole process: identical texts are one node (md5 of the text). Nodes that share
 smallest key, so a group of n copies costs n comparisons and not n * n; verified links give
 components. Only buckets whose members are then still in different components go on: their members
 meet in bounded groups that yield links and no pairs, so no candidate goes untested. Hot hubs are the
-small side of joins that Spark's skew handling can split; every grouping is pre-aggregated.
+small side of joins that Spark's skew handling can split; every grouping is pre-aggregated. Texts and members that
+cannot match are left out before a shuffle by a broadcast bitmap of fixed size; an exact join follows.
 Nothing is collected but counts.
 """
 
@@ -37,6 +38,7 @@ BANDS = 24  # at a similarity of 0.8 a pair shares no band with probability 7e-5
 K = ROWS * BANDS
 SEED = 0x5EEDDA27
 CHUNK = 1000  # members of a bucket that meet in one group
+BITS = 1 << 26  # size of the bitmap that is sent to all tasks: 8 MB
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -128,6 +130,20 @@ def sketches(docs: DataFrame, weighting: str = "set") -> DataFrame:
     return map_text(rows, [("bands", T.ArrayType(T.LongType()))], work)
 
 
+def _possible(rows: DataFrame, name: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose value ``name`` may be among those of ``wanted``: all that are, and a few that are not.
+
+    The bitmap never exceeds ``BITS`` bits, whatever the data; a fuller one only lets more rows pass.
+    """
+    place = F.pmod(F.xxhash64(name), F.lit(BITS)) + 1
+    bits = wanted.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("_page"))
+    bits = bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("_bits"))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    near = rows.withColumn("_page", F.bitmap_bucket_number(place)).join(F.broadcast(bits), "_page")
+    return near.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def _shingle_table(docs: DataFrame, wanted: DataFrame, weighting: str) -> DataFrame:
     """``key``, ``shingles`` (distinct, with copies numbered if they count) of the wanted keys."""
 
@@ -145,7 +161,8 @@ def _shingle_table(docs: DataFrame, wanted: DataFrame, weighting: str) -> DataFr
                 [batch.column("key"), pa.array(found, pa.list_(pa.int32()))], names=["key", "shingles"]
             )
 
-    texts = docs.groupBy(text_key(F.col("text")).alias("key")).agg(F.first("text").alias("text"))
+    texts = _possible(docs.select(text_key(F.col("text")).alias("key"), "text"), "key", wanted)
+    texts = texts.groupBy("key").agg(F.first("text").alias("text"))
     return texts.join(wanted, "key", "left_semi").mapInArrow(run, "key binary, shingles array<int>")
 
 
@@ -245,11 +262,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighting:
     nodes = rows.groupBy("key").agg(F.first("bands").alias("bands"))
     members = nodes.select("key", F.explode("bands").alias("bucket"))
     hubs = members.groupBy("bucket").agg(F.min("key").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    members = materialise(members.join(hubs.select("bucket", "hub"), "bucket"), "buckets")
+    hubs = materialise(hubs.select("bucket", "hub"), "hubs")
+    members = materialise(_possible(members, "bucket", hubs).join(hubs, "bucket"), "buckets")
 
     pairs = members.where("key != hub").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()
     pairs = materialise(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    wanted = materialise(wanted, "wanted")
     sets = materialise(_shingle_table(docs, wanted, weighting), "shingles")
     links = materialise(_verified(pairs, sets, similarity), "links")
 
