@@ -11,8 +11,8 @@ only up to a rank near K ln K / w, so the work is about one dart per shingle ins
 Whole process: identical texts are one node (md5 of the text). Nodes that share a band of
 ``ROWS`` coordinates are candidates. Each bucket first compares its members with one hub, its
 smallest key, so a group of n copies costs n comparisons and not n * n; verified links give
-components. Only buckets whose members are then still in different components go on: their members
-meet in bounded groups that yield links and no pairs, so no candidate goes untested. Hot hubs are the
+components. Only buckets whose other members are then still in different components go on, without the hub, which has met
+them all: they meet in bounded groups that yield links and no pairs, so no candidate goes untested. Hot hubs are the
 small side of joins that Spark's skew handling can split; every grouping is pre-aggregated. Texts and members that
 cannot match are left out before a shuffle by a broadcast bitmap of fixed size; an exact join follows.
 Nothing is collected but counts.
@@ -261,11 +261,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighting:
     rows = materialise(sketches(docs, weighting), "sketches")
     nodes = rows.groupBy("key").agg(F.first("bands").alias("bands"))
     members = nodes.select("key", F.explode("bands").alias("bucket"))
-    hubs = members.groupBy("bucket").agg(F.min("key").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    hubs = materialise(hubs.select("bucket", "hub"), "hubs")
-    members = materialise(_possible(members, "bucket", hubs).join(hubs, "bucket"), "buckets")
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    shared = materialise(shared, "shared")
+    members = materialise(_possible(members, "bucket", shared).join(shared, "bucket", "left_semi"), "buckets")
+    hubs = materialise(members.groupBy("bucket").agg(F.min("key").alias("hub")), "hubs")
+    spokes = materialise(members.join(hubs, "bucket").where("key != hub"), "spokes")
 
-    pairs = members.where("key != hub").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()
+    pairs = spokes.select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()
     pairs = materialise(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     wanted = materialise(wanted, "wanted")
@@ -273,7 +275,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighting:
     links = materialise(_verified(pairs, sets, similarity), "links")
 
     found = components(links)
-    split = members.join(found, "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
+    split = spokes.join(found, "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
     several = split.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
     split = materialise(split.join(several.where("low != high").select("bucket", "n"), "bucket"), "split")
     if not split.isEmpty():
