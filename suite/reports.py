@@ -120,9 +120,11 @@ long AS (
 SELECT scope, metric, CAST(n AS BIGINT) AS n FROM long""")(
     lambda fx: accounting.checkpoint_accounting(fx.checkpoints, fx.planned, POSITIONS))
 
-_AVAILABILITY = """SELECT checkpoint_token, metric, CAST(count(*) AS BIGINT) AS n FROM (
+_AVAILABILITY = f"""SELECT checkpoint_token, metric, CAST(count(*) AS BIGINT) AS n FROM (
   SELECT checkpoint_token, availability_status AS metric FROM fx_checkpoints WHERE checkpoint_token IS NOT NULL
-  UNION ALL SELECT checkpoint_token, 'receipt_' || status FROM fx_checkpoints WHERE checkpoint_token IS NOT NULL) s GROUP BY 1, 2"""
+  UNION ALL SELECT checkpoint_token, 'receipt_' || status FROM fx_checkpoints WHERE checkpoint_token IS NOT NULL) s GROUP BY 1, 2
+UNION ALL SELECT CAST(p AS BIGINT), NULL, CAST(0 AS BIGINT) FROM (SELECT unnest({list(POSITIONS)}) AS p) d
+  WHERE p NOT IN (SELECT checkpoint_token FROM fx_checkpoints WHERE checkpoint_token IS NOT NULL)"""
 query("availability_by_position", _AVAILABILITY)(
     lambda fx: accounting.availability_by_position(fx.checkpoints, POSITIONS))
 

@@ -186,6 +186,14 @@ def _recovery(fx):
 
 query("intent_receipt_recovery", f"WITH {_RECOVERY} SELECT * FROM recovery")(_recovery)
 
+query("recovery_events", f"""
+WITH {_RECOVERY}, due AS (SELECT DISTINCT intent_id, action FROM recovery WHERE action = 'MARK_INTERRUPTED' OR action LIKE 'RECOVER%')
+SELECT CAST((SELECT max(seq) FROM fx_ledger_orders) + row_number() OVER (ORDER BY sha256(intent_id), intent_id) AS BIGINT) AS seq, intent_id,
+  CASE action WHEN 'RECOVER_COMPLETED' THEN 'BASE_COMPLETED' WHEN 'RECOVER_FAILED' THEN 'BASE_FAILED' ELSE 'INTERRUPTED_UNKNOWN' END AS event_type,
+  CASE action WHEN 'MARK_INTERRUPTED' THEN '{{"reason":"prior run ended without terminal receipt"}}' ELSE '{{"recovered":true}}' END AS payload
+FROM due""")(
+    lambda fx: ledger.recovery_events(fx.view("fx_ledger_orders"), _recovery(fx)).withColumn("payload", F.to_json("payload")))
+
 query("interrupted_receipts", f"""
 WITH {_RECOVERY} SELECT DISTINCT rollout_id, problem_id, rollout_seed, 'INTERRUPTED_UNKNOWN' AS status, 'INTERRUPTED_UNKNOWN' AS error_type,
   'prior invocation ended after intent start without a receipt' AS message, FALSE AS cuda_oom

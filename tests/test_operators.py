@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import keyed, rows
-from trailmark.operators import ledger, planning, selection, stages, summary
+from trailmark.operators import accounting, ledger, planning, selection, stages, summary
 from trailmark.plans.campaign import base_requests, prepare_manifest
 from trailmark.params import CampaignPlan
 from trailmark.sinks import writers
@@ -49,6 +49,73 @@ def test_dangling_intent_is_closed_once(spark):
     assert ledger.interrupted_intents(after).count() == 0
 
 
+def test_recovery_events_are_appended_once(spark, tmp_path):
+    events = _events(spark, {"intent:a": "S", "intent:b": "S", "intent:c": "SC"})
+    stored = spark.createDataFrame([("b", "FAILED"), ("c", "COMPLETED")], "receipt_id string, status string")
+    recovery = ledger.intent_receipt_recovery(ledger.intent_states(events), stored)
+    due = ledger.recovery_events(events, recovery, "CHECKPOINT")
+    last = events.agg(F.max("seq")).head()[0]
+    assert sorted(r["seq"] for r in rows(due)) == [last + 1, last + 2]
+    assert keyed(due, "intent_id", "event_type") == {"intent:a": "INTERRUPTED_UNKNOWN", "intent:b": "CHECKPOINT_FAILED"}
+    path = str(tmp_path / "ledger")
+    writers.append_ledger(events.withColumn("payload", F.parse_json(F.lit("{}"))), path)
+    writers.append_ledger(due, path)
+    after = inputs.read_ledger(spark, path)
+    states = keyed(ledger.intent_states(after), "intent_id", "state")
+    assert states == {"intent:a": "INTERRUPTED_UNKNOWN", "intent:b": "FAILED", "intent:c": "COMPLETED"}
+    again = ledger.intent_receipt_recovery(ledger.intent_states(after), stored.unionByName(
+        spark.createDataFrame([("a", "INTERRUPTED_UNKNOWN")], stored.schema)))
+    assert ledger.recovery_events(after, again, "CHECKPOINT").count() == 0
+
+
+def test_replay_without_a_full_order_does_not_depend_on_partitions(spark):
+    events = spark.createDataFrame(
+        [("a", None, "BASE_COMPLETED"), ("a", None, "INTENT_STARTED"), ("b", 4, "BASE_FAILED"), ("b", 4, "INTENT_STARTED"),
+         ("c", None, "INTENT_STARTED"), ("c", 2, "BASE_COMPLETED")], "intent_id string, seq long, event_type string")
+    expected = {"a": "COMPLETED", "b": "FAILED", "c": None}
+    for parts in (1, 3, 7):
+        dealt = events.repartition(parts)
+        assert keyed(ledger.intent_states(dealt), "intent_id", "state") == expected
+        assert keyed(live.stream_intent_states(dealt), "intent_id", "state") == expected
+
+
+def test_strict_ledger_needs_seq(spark, tmp_path):
+    path = tmp_path / "events"
+    path.mkdir()
+    (path / "a.json").write_text('{"seq": 1, "event_type": "INTENT_STARTED", "intent_id": "a"}\n{"event_type": "BASE_COMPLETED", "intent_id": "a"}\n')
+    with pytest.raises(Exception, match="seq"):
+        inputs.read_ledger(spark, str(path)).count()
+    assert inputs.read_ledger(spark, str(path), strict_mode=False).count() == 2
+
+
+@pytest.mark.parametrize("n", [0, 3])
+def test_manifest_larger_than_its_source_fails(spark, n):
+    problems = spark.range(n).select(
+        F.col("id").cast("string").alias("problem_id"), F.col("id").alias("source_index"), F.lit("p").alias("problem"),
+        F.lit("a").alias("reference_answer"), F.lit(1).alias("level"), F.lit("s").alias("subject"))
+    with pytest.raises(Exception, match="10 problems asked for"):
+        selection.selection_manifest(problems, 1, 10).collect()
+    if n:
+        assert selection.selection_manifest(problems, 1, n).count() == n
+
+
+def test_declared_positions_stay_without_receipts(spark):
+    given = spark.createDataFrame([(256, "AVAILABLE", "COMPLETED"), (99, None, None)],
+                                     "checkpoint_token long, availability_status string, status string")
+    found = rows(accounting.availability_by_position(given, (256, 512)), "checkpoint_token", "metric")
+    assert [(r["checkpoint_token"], r["metric"], r["n"]) for r in found] == [
+        (256, "AVAILABLE", 1), (256, "receipt_COMPLETED", 1), (512, None, 0), (99, "UNKNOWN", 1), (99, "receipt_UNKNOWN", 1)]
+
+
+def test_landing_again_doubles_nothing(spark, tmp_path):
+    typed = spark.createDataFrame([("r1", "run-1"), ("r2", "run-1")], "rollout_id string, run string")
+    other = spark.createDataFrame([("r9", "run-2")], "rollout_id string, run string")
+    path = str(tmp_path / "landed")
+    for df in (typed, other, typed):
+        receipts.land_receipts(df, path, ("run",))
+    assert sorted(r["rollout_id"] for r in rows(spark.read.parquet(path))) == ["r1", "r2", "r9"]
+
+
 def test_recovery_actions(spark):
     states = ledger.intent_states(_events(spark, {
         "intent:a": "S", "intent:b": "S", "intent:c": "SC", "intent:d": "SI", "intent:e": "SC", "intent:f": "S", "intent:g": "SS"}))

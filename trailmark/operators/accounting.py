@@ -95,18 +95,28 @@ def checkpoint_accounting(
 
 
 def availability_by_position(checkpoints: DataFrame, positions: Sequence[int]) -> DataFrame:
-    """Rows (checkpoint_token, metric, n), undeclared positions included."""
+    """Rows (checkpoint_token, metric, n), undeclared positions included.
+
+    A declared position without a receipt has one row with a NULL metric and n = 0.
+    """
     seen = checkpoints.where(F.col("checkpoint_token").isNotNull())
     counted = seen.groupBy(
         F.col("checkpoint_token").cast("bigint").alias("checkpoint_token"),
         F.coalesce("availability_status", F.lit("UNKNOWN")).alias("availability"),
         F.concat(F.lit("receipt_"), F.coalesce("status", F.lit("UNKNOWN"))).alias("receipt"),
     ).agg(F.count("*").alias("n"))
-    return (
+    metrics = (
         counted.select("checkpoint_token", F.explode(F.array("availability", "receipt")).alias("metric"), "n")
         .groupBy("checkpoint_token", "metric")
         .agg(F.sum("n").cast("bigint").alias("n"))
     )
+    tokens = F.array(*[F.lit(p) for p in declared_positions(positions)]).cast("array<bigint>")
+    declared = checkpoints.sparkSession.range(1).select(
+        F.explode(tokens).alias("checkpoint_token"), F.lit(None).cast("string").alias("metric"), F.lit(0).cast("bigint").alias("n")
+    )
+    receipts = F.sum("n").over(Window.partitionBy("checkpoint_token"))
+    every = metrics.unionByName(declared).withColumn("_receipts", receipts)
+    return every.where(F.col("metric").isNotNull() | (F.col("_receipts") == 0)).drop("_receipts")
 
 
 def report_position_keys(report: DataFrame, position: str = "checkpoint_token") -> DataFrame:

@@ -13,6 +13,7 @@ from trailmark.vocab import STARTED_EVENT, TERMINAL_EVENT_STATES
 DECIDING_EVENTS = 3
 _STATES = ("COMPLETED", "FAILED", "INTERRUPTED_UNKNOWN")
 _START = 0
+INTERRUPTED_REASON = "prior run ended without terminal receipt"  # fixed value: it is recorded in ledgers
 
 
 def event_code(event_type: Column) -> Column:
@@ -38,12 +39,13 @@ def ledger_event_order(ledger: DataFrame, keep: int | None = None) -> DataFrame:
     """Start and terminal events per intent, numbered in ``seq`` order; all, or the first ``keep``.
 
     With ``keep`` the row_number filter becomes a group limit that runs before the shuffle, so an
-    intent with any number of events sends at most ``keep`` rows per task.
+    intent with any number of events sends at most ``keep`` rows per task. Events without
+    ``seq`` come last; of equal ones starts come first, then terminal events by state.
     """
     relevant = ledger.where(F.col("intent_id").isNotNull()).withColumn(
         "code", event_code(F.col("event_type"))
     )
-    order = Window.partitionBy("intent_id").orderBy("seq")
+    order = Window.partitionBy("intent_id").orderBy(F.col("seq").asc_nulls_last(), "code")
     numbered = relevant.where(F.col("code").isNotNull()).withColumn(
         "event_ordinal", F.row_number().over(order)
     )
@@ -82,10 +84,49 @@ def interrupted_intents(ledger: DataFrame) -> DataFrame:
     return dangling.select(
         F.lit("INTERRUPTED_UNKNOWN").alias("event_type"),
         "intent_id",
-        F.lit("prior run ended without terminal receipt").alias("reason"),
+        F.lit(INTERRUPTED_REASON).alias("reason"),
     )
 
 
+def recovery_events(ledger: DataFrame, recovery: DataFrame, stage: str = "BASE") -> DataFrame:
+    """The terminal events that a resume must append, as ``append_ledger`` takes them.
+
+    ``recovery`` is what ``intent_receipt_recovery`` says of the intents of one stage (BASE,
+    CHECKPOINT or RUNTIME_LOAD). An intent with a receipt gets the event of its status, one without
+    is marked as interrupted; all other actions need no event.
+    """
+    receipt = F.regexp_extract("action", "^RECOVER_(.*)$", 1)
+    stage_event = F.concat(F.lit(f"{stage}_"), receipt)
+    needed = recovery.where(F.col("action").startswith("RECOVER_") | (F.col("action") == "MARK_INTERRUPTED"))
+    events = needed.select(
+        "intent_id",
+        F.when(receipt.isin("COMPLETED", "FAILED"), stage_event).otherwise("INTERRUPTED_UNKNOWN").alias("event_type"),
+        F.parse_json(
+            F.when(receipt == "", F.to_json(F.struct(F.lit(INTERRUPTED_REASON).alias("reason"))))
+            .otherwise(F.to_json(F.struct(F.lit(True).alias("recovered"))))
+        ).alias("payload"),
+    ).dropDuplicates(["intent_id"])
+    return numbered_after(events, ledger).select("seq", "event_type", "intent_id", "payload")
+
+
+def numbered_after(events: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Adds ``seq``: whole numbers after the ledger's last, in order of the digest of ``intent_id``.
+
+    The first three hex digits of the digest deal rows into 4,096 even buckets that are in order; a
+    number is the place in the bucket plus the sizes of the buckets before.
+    """
+    digest = F.sha2("intent_id", 256)
+    dealt = events.withColumns({"_digest": digest, "_bucket": F.substring(digest, 1, 3)})
+    sizes = dealt.groupBy("_bucket").agg(F.count("*").alias("_rows"))  # 4,096 rows at most
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_bucket").orderBy("_digest", "intent_id"))
+    last = F.coalesce(ledger.agg(F.max("seq")).scalar(), F.lit(0))
+    numbered = dealt.withColumn("_place", place).join(F.broadcast(offsets), "_bucket")
+    seq = (last + F.col("_before") + F.col("_place")).cast("bigint")
+    return numbered.withColumn("seq", seq).drop("_digest", "_bucket", "_place", "_before")
+
+
 def intent_receipt_recovery(states: DataFrame, receipts: DataFrame) -> DataFrame:
     """What a resume must do per intent, from ledger state and stored receipts.
 

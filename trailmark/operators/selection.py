@@ -54,15 +54,25 @@ def selection_manifest(problems: DataFrame, seed: int, size: int) -> DataFrame:
 
     Only ids are ranked and cut, by a top-k per task instead of a full sort. The texts
     of the selected rows are then fetched by joining the ``size`` ids back, so no text
-    travels through the final merge and only selected texts are hashed.
+    travels through the final merge and only selected texts are hashed. Fewer rows than
+    asked for fail the job when it runs.
     """
     if size <= 0:
         raise ValueError("manifest size must be positive")
     ranked = selection_rank(problems.select("problem_id", "source_index"), seed)
     top = ranked.orderBy("selection_rank", "source_index").limit(size)
     texts = problems.drop("problem_id")
-    chosen = content_hashes(texts.join(top, "source_index"))
-    return manifest_ordinal(chosen.select(*MANIFEST_COLUMNS)).select("manifest_ordinal", *MANIFEST_COLUMNS)
+    chosen = content_hashes(texts.join(top, "source_index")).select(*MANIFEST_COLUMNS)
+    checked = chosen.unionByName(_none_or_failure(problems, size, chosen))
+    return manifest_ordinal(checked).select("manifest_ordinal", *MANIFEST_COLUMNS)
+
+
+def _none_or_failure(problems: DataFrame, size: int, like: DataFrame) -> DataFrame:
+    """No rows, in the columns of ``like``; fails the job if ``size`` problems do not exist."""
+    text = F.concat(F.lit(f"{size} problems asked for, available: "), F.col("available").cast("string"))
+    short = F.when(F.col("is_valid"), F.lit(False)).otherwise(F.raise_error(text).cast("boolean"))
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in like.schema.fields]
+    return checked_selection_size(problems, size).where(short).select(*empty)
 
 
 def manifest_ordinal(selected: DataFrame) -> DataFrame:

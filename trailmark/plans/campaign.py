@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trailmark.functions.identity import checkpoint_id
 from trailmark.functions.tokens import termination_status
 from trailmark.operators import grading, planning, selection, trajectory
 from trailmark.params import CampaignPlan
@@ -32,9 +33,19 @@ def forced_requests(
     marker: Sequence[int],
     cue: Sequence[int],
     eos_ids: Sequence[int],
+    ledger: DataFrame | None = None,
 ) -> DataFrame:
-    """Forced-answer inputs for every available checkpoint of completed trajectories."""
+    """Forced-answer inputs for every available checkpoint of completed trajectories.
+
+    Rollouts whose ``status``, if there is one, is not COMPLETED are left out. With a ``ledger`` only
+    checkpoints whose intent was never started remain, and ``checkpoint_id`` is added.
+    """
+    if "status" in trajectories.columns:
+        trajectories = trajectories.where(F.col("status") == "COMPLETED")
     cut = trajectory.fixed_checkpoints(trajectories, plan.positions, marker, eos_ids)
+    if ledger is not None:
+        named = cut.withColumn("checkpoint_id", checkpoint_id(F.col("rollout_id"), F.col("checkpoint_token")))
+        cut = planning.pending_requests(named, ledger, "checkpoint_id")
     return trajectory.forced_input(cut, cue)
 
 

@@ -49,12 +49,16 @@ def append_once_status(incoming: DataFrame, existing: DataFrame, key: str) -> Da
 
 
 def append_once(incoming: DataFrame, path: str, key: str) -> None:
-    """Append records whose id is new; same content is a no-op, different content an error."""
+    """Append records whose id is new; same content is a no-op, different content an error.
+
+    Stored records are reduced to the incoming ids before any content is hashed.
+    """
     spark = incoming.sparkSession
     existing = read_or_empty(
         spark, lambda: spark.read.schema(incoming.schema).parquet(path), incoming.schema
     )
-    status = append_once_status(incoming, existing, key)
+    touched = existing.join(incoming.select(key).distinct(), key, "left_semi")
+    status = append_once_status(incoming, touched, key)
     conflicts = status.where(F.col("status") == "CONFLICT")
     sample = conflicts.head()
     if sample is not None:

@@ -12,10 +12,14 @@ from trailmark.sources.documents import parse_objects, read_json_lines, read_or_
 def read_ledger(spark: SparkSession, path: str, strict_mode: bool = True) -> DataFrame:
     """Ledger events; order is the written ``seq``, since a parallel scan has no line order.
 
-    In audit mode rejected lines are kept with their reason.
+    In audit mode rejected lines are kept with their reason. In strict mode an event without
+    ``seq`` fails the job, as no replay could place it.
     """
     lines = read_json_lines(spark, path, strict_mode)
     v = F.col("record")
+    if strict_mode:
+        unplaced = F.raise_error(F.lit("ledger event without a whole number seq")).cast("boolean")
+        lines = lines.where(F.when(strict.strict_int(v, "$.seq").isNotNull(), F.lit(True)).otherwise(unplaced))
     text = lambda key: strict.strict_string(v, f"$.{key}").alias(key)
     payload = lambda key: strict.strict_string(v, f"$.payload.{key}").alias(key)
     audit = [] if strict_mode else ["problem", "value"]

@@ -91,5 +91,12 @@ def receipt_content_hash(receipts: DataFrame) -> DataFrame:
 
 
 def land_receipts(typed: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
-    """Write typed receipts to Parquet once; later reports read only the columns they need."""
-    typed.write.mode("append").partitionBy(*partition_by).parquet(path)
+    """Write typed receipts to Parquet once; later reports read only the columns they need.
+
+    Landing again replaces the folder, or the partitions that come again (name the run in
+    ``partition_by``), so a repeated landing doubles no receipt.
+    """
+    writer = typed.write.mode("overwrite").partitionBy(*partition_by)
+    if partition_by:
+        writer = writer.option("partitionOverwriteMode", "dynamic")
+    writer.parquet(path)

@@ -11,23 +11,24 @@ from trailmark.operators.ledger import event_code, state_name
 def stream_intent_states(events: DataFrame) -> DataFrame:
     """State and validity per intent with constant state, for batch or streaming input.
 
-    The exact violation code needs the third event and is left to the batch replay.
+    The exact violation code needs the third event and is left to the batch replay. Events
+    without ``seq`` come last and ties are decided as in the batch replay.
     """
     coded = events.where(F.col("intent_id").isNotNull()).withColumn("code", event_code(F.col("event_type")))
     start, terminal = F.col("code") == 0, F.col("code") > 0
+    place = F.struct(F.col("seq").isNull().alias("none"), F.col("seq").alias("seq"), F.col("code").alias("code"))
     seen = coded.where(F.col("code").isNotNull()).groupBy("intent_id").agg(
         F.count_if(start).alias("starts"),
         F.count_if(terminal).alias("terminals"),
-        F.min(F.when(start, F.col("seq"))).alias("start_seq"),
-        F.min(F.when(terminal, F.col("seq"))).alias("terminal_seq"),
-        F.min_by("code", F.when(terminal, F.col("seq"))).alias("terminal_code"),
+        F.min(F.when(start, place)).alias("first_start"),
+        F.min(F.when(terminal, place)).alias("first_terminal"),
     )
     invalid = (
         (F.col("starts") != 1)
         | (F.col("terminals") > 1)
-        | F.coalesce(F.col("terminal_seq") < F.col("start_seq"), F.lit(False))
+        | F.coalesce(F.col("first_terminal") < F.col("first_start"), F.lit(False))
     )
-    state = F.when(F.col("terminals") == 0, "STARTED_UNKNOWN").otherwise(state_name(F.col("terminal_code")))
+    state = F.when(F.col("terminals") == 0, "STARTED_UNKNOWN").otherwise(state_name(F.col("first_terminal.code")))
     return seen.select("intent_id", F.when(~invalid, state).alias("state"), invalid.alias("is_violation"))
 
 
