@@ -67,6 +67,7 @@ class Encoder:
         self.ends_word[[i for token, i in tokens.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.letters: dict[str, bool] = dict.fromkeys("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", True)
 
     def learn(self, chunks: set[str]) -> None:
         """Make sure that ``known`` holds every chunk; what is not met for long is forgotten."""
@@ -80,9 +81,10 @@ class Encoder:
                     known[chunk] = older[chunk]
                 else:
                     new.append(chunk)
-        # A word and the punctuation after it are tokens apart, so a word is looked up without it.
+        # A word and the punctuation after it are tokens apart, so a word is looked up without it. This holds
+        # for words that are letters to the library and stay so in its normal form; others are encoded whole.
         cores = [(c, c.rstrip(TAIL)) for c in new]
-        words = {core for _, core in cores if core.isalpha()}
+        words = {core for _, core in cores if core.isalpha() and (core.isascii() or self._stays_letters(core))}
         self._words([w for w in words if w not in known])
         rest = [c for c, core in cores if c not in known and core not in words]
         tails = {c[len(core) :] for c, core in cores if core in words} - {""}
@@ -91,6 +93,14 @@ class Encoder:
             if chunk not in known:
                 known[chunk] = known[core] + known[chunk[len(core) :]]
 
+    def _stays_letters(self, word: str) -> bool:
+        """Whether the library's own split leaves every letter of the word in one piece, apart from a full stop."""
+        for c in set(word).difference(self.letters):
+            normal = self.library.normalizer.normalize_str(f"a{c}") if self.library.normalizer else f"a{c}"
+            pieces = self.library.pre_tokenizer.pre_tokenize_str(f"{normal}.")
+            self.letters[c] = len(pieces) == 2 and pieces[1][0] == "."
+        return all(map(self.letters.__getitem__, word))
+
     def _words(self, words: list[str]) -> None:
         """Words of letters only: each ends at the first token that ends a word."""
         width = self.kind().itemsize
