@@ -34,22 +34,34 @@ INLINE = frozenset(
 )
 CONTENT_TAGS = frozenset("article main".split())
 OTHER_TAGS = frozenset("nav header footer aside menu dialog fieldset".split())
-# Words of class, id and role attributes.
-CONTENT_WORDS = re.compile(r"article|main|content|post|story|entry|body|text|prose")
-OTHER_WORDS = re.compile(
-    r"nav|menu|header|masthead|footer|sidebar|aside|widget|advert|adsense|sponsor|promo|banner|notice|cookie|consent|gdpr|popup|modal"
-    r"|overlay|newsletter|subscribe|signup|sign-up|login|comment|disqus|reply|replies|respons|discussion|feedback|share|sharing|social"
-    r"|related|recommend|trending|popular|breadcrumb|crumb|pagination|pager|tagcloud|copyright|legal|disclaimer|toolbar|skip|search"
-    r"|complementary|contentinfo|navigation|alert|toc|author-bio|byline-box|outbrain|taboola"
+# Whole words of class, id and role attributes.
+CONTENT_WORDS = frozenset(
+    "article articles articlebody articlecontent articletext main maincontent mainbody content contents contentbody post posts postbody "
+    "postcontent posttext story stories storybody storycontent entry entries entrycontent body bodytext bodycontent text textbody prose "
+    "pagecontent blogpost".split()
 )
-OTHER_NAMES = frozenset("ad ads adv meta tags rail side foot head top-bar topbar bar tools links".split())
+OTHER_WORDS = frozenset(
+    "nav navs navbar navigation topnav subnav sidenav sitenav mainnav menu menus submenu mainmenu header headers siteheader pageheader masthead "
+    "footer footers sitefooter pagefooter sidebar sidebars leftsidebar rightsidebar aside widget widgets advert adverts advertisement "
+    "advertisements advertising advertorial adsense sponsor sponsors sponsored promo promos promotion promotions promoted banner banners notice "
+    "notices cookie cookies cookiebar cookiebanner consent gdpr popup popups modal modals overlay overlays newsletter newsletters subscribe "
+    "subscription signup login comment comments commentlist commentform disqus reply replies respond response responses discussion discussions "
+    "feedback share shares sharebar sharing sharebuttons social socials socialmedia related relatedposts recommend recommended recommendation "
+    "recommendations trending popular breadcrumb breadcrumbs crumb crumbs pagination pager tagcloud copyright legal disclaimer disclaimers "
+    "toolbar toolbars skip skiplink search searchbox searchform searchbar complementary contentinfo alert alerts toc outbrain taboola ad ads adv "
+    "meta tags rail side foot head topbar bar tools links".split()
+)
+OTHER_NAMES = frozenset("sign-up author-bio byline-box".split())  # words that count only together
+ASIDE_WORDS = frozenset("comment comments reply replies promo promos teaser teasers related".split())  # of an article that is not the page's
+LAYOUT = frozenset("has with no without".split())  # begin names that tell what else the page holds
 
 TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)",
     re.DOTALL,
 )
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+PART = re.compile(r"[_\W]+|(?<=[a-z])(?=[A-Z])")
 SPACE = re.compile(r"\s+")
 
 NONE, CONTENT, OTHER, GONE = 0, 1, 2, 3
@@ -69,25 +81,28 @@ def _role(tag: str, attributes: str) -> int:
     """What an element is for: nothing special, content, other matter, or not shown."""
     if tag in INVISIBLE:
         return GONE
-    words = []
+    names: list[list[str]] = []
     if attributes and ("=" in attributes or "hidden" in attributes.lower()):
         for name, value in ATTRIBUTE.findall(attributes):
-            name, value = name.lower(), value.strip("\"'").lower()
-            if name == "hidden" or name == "aria-hidden" and value == "true":
+            name, value = name.lower(), value.strip("\"'")
+            if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
                 return GONE
             if name == "style":
-                if "display:none" in value.replace(" ", ""):
+                if "display:none" in value.lower().replace(" ", ""):
                     return GONE
-            else:
-                words.append(value)
+            elif name in ("class", "id", "role"):
+                names += [[p.lower() for p in PART.split(one) if p] for one in value.split()]
+    if tag in ("html", "body"):
+        return NONE
+    names = [parts for parts in names if parts and parts[0] not in LAYOUT]
+    words = {p for parts in names for p in parts}
     if tag in OTHER_TAGS:
         return OTHER
     if tag in CONTENT_TAGS:
-        return CONTENT if not any(re.search(r"comment|reply|promo|teaser|related", w) for w in words) else OTHER
-    for value in words:
-        if OTHER_WORDS.search(value) or OTHER_NAMES & set(re.split(r"[\s_-]+", value)):
-            return OTHER
-    return CONTENT if any(CONTENT_WORDS.search(w) for w in words) else NONE
+        return OTHER if words & ASIDE_WORDS else CONTENT
+    if words & OTHER_WORDS or any("-".join(pair) in OTHER_NAMES for parts in names for pair in zip(parts, parts[1:])):
+        return OTHER
+    return CONTENT if words & CONTENT_WORDS else NONE
 
 
 def blocks(page: str) -> list[Block]:
@@ -183,6 +198,13 @@ LABELLED = np.array(
         (3, 0.0, 1, 1.0, 60, 0.0, 1, 0, 1, 1), (80, 0.05, 9, 0.0, 6, 0.2, 1, 0, 1, 1), (5, 0.0, 70, 0.0, 7, 0.1, 1, 0, 1, 1),
         (20, 0.4, 35, 0.0, 40, 0.0, 1, 0, 1, 1), (4, 0.5, 20, 0.0, 30, 0.0, 1, 0, 1, 1), (200, 0.0, 2, 0.0, 1, 0.0, 1, 0, 1, 1),
         (1, 0.0, 1, 0.0, 1, 0.0, 1, 0, 1, 1), (12, 0.0, 0, 0.0, 0, 0.0, 1, 0, 1, 1), (3, 1.0, 30, 0.0, 40, 0.0, 1, 0, 1, 1),
+        # links among links inside of an article; a single one between or above paragraphs is text of it
+        (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 1, 0), (2, 1.0, 3, 1.0, 2, 1.0, 1, 0, 1, 0), (7, 1.0, 6, 1.0, 8, 1.0, 1, 0, 1, 0),
+        (12, 1.0, 10, 1.0, 14, 0.9, 1, 0, 1, 0), (4, 0.9, 60, 0.0, 5, 1.0, 1, 0, 1, 0), (3, 1.0, 25, 0.1, 2, 1.0, 1, 0, 1, 0),
+        (5, 1.0, 4, 1.0, 0, 0.0, 1, 0, 1, 0), (3, 1.0, 4, 1.0, 50, 0.0, 1, 0, 1, 0), (2, 1.0, 2, 1.0, 9, 0.0, 1, 0, 1, 0),
+        (1, 1.0, 45, 0.0, 35, 0.0, 1, 0, 1, 1), (6, 1.0, 20, 0.1, 25, 0.0, 1, 0, 1, 1), (7, 1.0, 0, 0.0, 60, 0.0, 1, 0, 1, 1),
+        (2, 1.0, 40, 0.0, 0, 0.0, 1, 0, 1, 1), (30, 0.6, 2, 1.0, 2, 1.0, 1, 0, 1, 1), (50, 0.2, 3, 1.0, 4, 1.0, 1, 0, 1, 1),
+        (20, 0.0, 2, 1.0, 3, 1.0, 1, 0, 1, 1), (3, 0.0, 2, 1.0, 2, 1.0, 1, 0, 1, 1),
         # menus, headers, footers, sidebars, notices, adverts and comments, inside an article or not
         (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 1, 0), (2, 1.0, 1, 1.0, 2, 1.0, 0, 1, 1, 0), (7, 0.0, 1, 1.0, 9, 0.0, 0, 1, 1, 0),
         (40, 0.0, 2, 1.0, 10, 0.0, 0, 1, 1, 0), (25, 0.0, 50, 0.0, 30, 0.0, 1, 1, 1, 0), (60, 0.0, 45, 0.0, 50, 0.0, 1, 1, 1, 0),
