@@ -5,7 +5,10 @@ m characters found with at most k edits shares at least m - q + 1 - k * q of its
 it is found at, and all of them lie on diagonals (place in the text less place in the item) no
 more than k apart. Shared q-grams are therefore counted in bands of 2 * (k + 1) diagonals that overlap by
 half, so each such set of diagonals lies in one band. Bands that reach the bound are aligned; the alignment stays within
-the band and counts edits, with free ends in the text.
+the band and counts edits, with free ends in the text. q is the largest up to ``Q`` that leaves an item of m
+characters at least one shared q-gram at k = a tenth of m edits, q <= m / (k + 1); items are indexed by their q.
+Items of fewer than ``LEAST`` characters are looked for unchanged, between borders of words; in scripts that
+put no spaces between words every place is a border.
 
 Items are cut into blocks of bounded size; a block's q-gram index is broadcast and the texts pass once
 for each block, in Arrow batches with numpy. No text is split, so no match is lost at a border.
@@ -24,9 +27,9 @@ from pyspark.sql import types as T
 
 from trailmark.llm.shared import batches
 
-Q = 8
+Q = 8  # most characters of a gram
 ERRORS = 0.1  # edits for each character of an item
-LEAST = 24  # characters an item must have to be looked for
+LEAST = 24  # characters an item must have to be looked for with edits
 BLOCK_CHARS = 2_000_000  # normalised characters of items in one broadcast
 FILTER_BITS = 22
 
@@ -69,6 +72,7 @@ def qgrams(codes: np.ndarray, q: int = Q) -> np.ndarray:
 
 @dataclass
 class Index:
+    q: int
     ids: list  # item ids
     items: list[np.ndarray]
     lengths: np.ndarray
@@ -81,22 +85,73 @@ class Index:
     known: np.ndarray  # by the upper bits of a hash: is any gram there
 
 
-def build(items: list[tuple[object, str]], q: int = Q, errors: float = ERRORS, least: int = LEAST) -> Index:
-    """Index of items (id, text); null and short ones are left out, and no item gets more edits than the lemma allows."""
-    found = [(i, normalise(t)[0]) for i, t in items if t]
-    found = [(i, c) for i, c in found if len(c) >= max(least, q)]
+@dataclass
+class Items:
+    indexes: list[Index]  # one for each length of grams
+    short: dict[str, list]  # normalised text of short items, and their ids
+    lengths: dict[int, list[int]]  # lengths of short items by their first code
+
+
+def build(items: list[tuple[object, str]], errors: float = ERRORS, least: int = LEAST) -> Items:
+    """Indexes of items (id, text); null ones and those without a letter or digit are left out."""
+    groups: dict[int, list[tuple[object, np.ndarray]]] = {}
+    short: dict[str, list] = {}
+    lengths: dict[int, set[int]] = {}
+    for i, text in items:
+        codes = normalise(text)[0] if text else ()
+        if len(codes) >= least:
+            groups.setdefault(min(Q, len(codes) // (int(len(codes) * errors) + 1)), []).append((i, codes))
+        elif len(codes):
+            short.setdefault(_string(codes), []).append(i)
+            lengths.setdefault(int(codes[0]), set()).add(len(codes))
+    return Items([_index(found, q, errors) for q, found in sorted(groups.items())], short, {c: sorted(own) for c, own in lengths.items()})
+
+
+def _string(codes: np.ndarray) -> str:
+    return codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
+# Scripts written without spaces between words: Thai, Lao, Myanmar, Khmer, kana, ideographs.
+_UNSPACED = ((0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x312F), (0x31A0, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF))
+
+
+def borders(codes: np.ndarray) -> np.ndarray:
+    """Whether a word may begin or end before each code, and after the last."""
+    free = codes == 32
+    if len(codes) and codes.max() >= _UNSPACED[0][0]:
+        for low, high in _UNSPACED:
+            free |= (codes >= low) & (codes <= high)
+    found = np.ones(len(codes) + 1, bool)
+    found[1:-1] = free[1:] | free[:-1]
+    return found
+
+
+def exact(codes: np.ndarray, items: Items) -> list[tuple[object, int, int]]:
+    """(item id, start, end) of the first place of every short item in one normalised text."""
+    border = borders(codes)
+    starts = np.nonzero(border[:-1])[0]
+    text, found = _string(codes), {}
+    for start, code in zip(starts.tolist(), codes[starts].tolist()):
+        for length in items.lengths.get(code, ()):
+            piece = text[start : start + length]
+            if piece in items.short and piece not in found and border[start + len(piece)]:
+                found[piece] = start
+    return [(i, start, start + len(piece)) for piece, start in found.items() for i in items.short[piece]]
+
+
+def _index(found: list[tuple[object, np.ndarray]], q: int, errors: float) -> Index:
     lengths = np.array([len(c) for _, c in found], np.int64)
-    edits = np.minimum((lengths * errors).astype(np.int64), np.maximum(0, (lengths - q) // q)) if len(found) else lengths
+    edits = (lengths * errors).astype(np.int64)
     grams = [qgrams(c, q) for _, c in found]
-    every = np.concatenate(grams) if grams else np.empty(0, np.uint64)
+    every = np.concatenate(grams)
     owner = np.repeat(np.arange(len(found)), [len(g) for g in grams])
-    place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.empty(0, np.int64)
+    place = np.concatenate([np.arange(len(g)) for g in grams])
     order = np.argsort(every, kind="stable")
     distinct, first = np.unique(every[order], return_index=True)
     known = np.zeros(1 << FILTER_BITS, bool)
     known[(distinct >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
     return Index(
-        [i for i, _ in found], [c for _, c in found], lengths, edits, lengths - q + 1 - edits * q, distinct,
+        q, [i for i, _ in found], [c for _, c in found], lengths, edits, lengths - q + 1 - edits * q, distinct,
         np.append(first, len(every)), owner[order], place[order], known,
     )
 
@@ -198,7 +253,7 @@ def _find(region: np.ndarray, pattern: np.ndarray) -> int:
     return at // 4 if at >= 0 else -1
 
 
-def _blocks(spark, items: DataFrame) -> Iterator[Index]:
+def _blocks(spark, items: DataFrame) -> Iterator[Items]:
     """Indexes of all items, each of bounded size: the blocks are counted first, then read one by one."""
     rows = items.select("item_id", "text").where("text IS NOT NULL").distinct()
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -208,20 +263,24 @@ def _blocks(spark, items: DataFrame) -> Iterator[Index]:
         yield build([(r.item_id, r.text) for r in sorted(part.collect(), key=lambda r: (r.item_id is None, r.item_id or 0, r.text))])
 
 
-def _search(texts: list[str], index: Index) -> Iterator[list[tuple[int, int, int, int]]]:
-    """Matches of each text, with places in the text as given."""
-    least = max(1, int(index.bounds.min())) if len(index.items) else 1 << 62
+def _search(texts: list[str], items: Items) -> Iterator[list[tuple[object, int, int, int]]]:
+    """(item id, edits, start, end) of the matches of each text, with places in the text as given."""
+    least = [max(1, int(index.bounds.min())) for index in items.indexes]
     for text in texts:
         codes, place = normalise(text)
-        found = matches(codes, index, qgrams(codes), least) if len(index.items) else []
+        found = [
+            (index.ids[item], *rest) for index, bound in zip(items.indexes, least) for item, *rest in matches(codes, index, qgrams(codes, index.q), bound)
+        ]
+        if items.short and len(codes):
+            found += [(item, 0, a, b) for item, a, b in exact(codes, items)]
         yield [(item, edits, int(place[a]), int(place[b - 1]) + 1) for item, edits, a, b in found]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, edits, start, end: the best place of every benchmark item found in every whole text.
 
-    Among places with as few edits the first counts. Null and empty texts match nothing; items that are null or shorter
-    than ``LEAST`` normalised characters are not looked for; repeated rows give repeated results; null ids stay.
+    Among places with as few edits the first counts. Null and empty texts match nothing; items that are null or without
+    a letter or digit are not looked for; repeated rows give repeated results; null ids stay.
     """
     spark = docs.sparkSession
     schema = T.StructType(
@@ -239,7 +298,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for batch in batches(source, chars=1_000_000):
                 texts = [t or "" for t in batch.column("text").to_pylist()]
                 rows = [
-                    (doc_id, sent.value.ids[item], *rest)
+                    (doc_id, item, *rest)
                     for doc_id, own in zip(batch.column("doc_id").to_pylist(), _search(texts, sent.value))
                     for item, *rest in own
                 ]
