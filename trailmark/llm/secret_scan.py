@@ -7,7 +7,10 @@ serial correlation of neighbours. Each becomes a p-value of the hypothesis "rand
 the three, corrected for three tests, measures how far the token is from random. A token that
 looks random is no discovery yet: short ordinary words may look so too. So a second p-value, of
 the hypothesis "ordinary text of this length", bounds how often words and file names change
-between small letters, capitals and digits; the longer the token, the smaller it gets. It is
+between small letters, capitals and digits; the longer the token, the smaller it gets. A token of one class
+changes nowhere; there it bounds how likely ordinary neighbours are to be as unlike those of
+ordinary words and numbers as the token's, by the likelihood ratio of its pairs of neighbours under the
+corpus-wide counts of short tokens against uniform ones. The second p-value is
 controlled by the Benjamini-Hochberg rule within each encoding and length band, over all
 candidates of the corpus: the counts per band and p-value step are one small table whose size does
 not depend on the data.
@@ -49,6 +52,8 @@ ALPHABETS = (
     ("decimal", "0123456789"),
     ("hex", "0123456789abcdef"),
     ("HEX", "0123456789ABCDEF"),
+    ("letters", "abcdefghijklmnopqrstuvwxyz"),
+    ("LETTERS", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     ("base36", "0123456789abcdefghijklmnopqrstuvwxyz"),
     ("BASE36", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
@@ -81,12 +86,13 @@ def _tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
-def battery(token: str) -> tuple[str, float, float] | None:
+def battery(token: str, ordinary: Ordinary | None = None) -> tuple[str, float, float] | None:
     """Encoding, p-value of "random" and p-value of "ordinary text", None if no encoding fits.
 
     Wilson and Hilferty's cube root turns chi-squared into a normal value. Against ordinary text the
     number of changes between letters of either case and digits counts: words seldom change the
-    class of a symbol, random ones do at a rate known from the alphabet.
+    class of a symbol, random ones do at a rate known from the alphabet. A token of one class is
+    held against ``ordinary`` pairs of letters or digits.
     """
     found = inferred(token)
     if found is None:
@@ -115,7 +121,71 @@ def battery(token: str) -> tuple[str, float, float] | None:
 
     classes = np.array([0 if c.islower() else 1 if c.isupper() else 2 for c in token.rstrip("=")])
     changes = int((classes[1:] != classes[:-1]).sum())
-    return name, random_p, _changes_tail(changes, n - 1)
+    return name, random_p, ordinary.tail(token.rstrip("=")) if ordinary and not changes else _changes_tail(changes, n - 1)
+
+
+# Letters of either case are 0 to 25, digits 26 to 35, other symbols of a token 36, all else 37.
+_CODE = np.full(256, 37, np.uint8)
+_CODE[[*b"+/_-="]] = 36
+_CODE[[*b"abcdefghijklmnopqrstuvwxyz"]] = _CODE[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"]] = np.arange(26)
+_CODE[[*b"0123456789"]] = np.arange(26, 36)
+UNIFORM = 0.1  # least share of ordinary neighbours taken as uniform, so no pair is impossible
+PRIOR = 30.0  # uniform pairs of each kind that count beside those met, so a small corpus tells little
+
+
+class Ordinary:
+    """Log-ratios of uniform to ordinary for the pairs of neighbours, of letters and of digits apart."""
+
+    def __init__(self, pairs: np.ndarray):
+        self.ratio = np.zeros((36, 36))
+        for part in (slice(0, 26), slice(26, 36)):
+            met = pairs[part, part].astype(np.float64)
+            k = len(met)
+            single = (met.sum(axis=0) + PRIOR) / (met.sum() + PRIOR * k)
+            share = (met + PRIOR * single) / (met.sum(axis=1, keepdims=True) + PRIOR)
+            sure = (1 - UNIFORM) * met.sum() / (met.sum() + PRIOR * k * k)
+            self.ratio[part, part] = -np.log(k * (sure * share + (1 - sure) / k))
+
+    def tail(self, token: str) -> float:
+        """Bound of the chance that ordinary neighbours are so much likelier under uniform ones (Markov's inequality)."""
+        codes = _CODE[np.frombuffer(token.encode(), np.uint8)]
+        if codes.max() >= 36:  # digits parted by symbols
+            return 1.0
+        return math.exp(min(0.0, -float(self.ratio[codes[:-1], codes[1:]].sum())))
+
+
+def ordinary(docs: DataFrame) -> Ordinary:
+    """Counts of neighbours over all tokens of ``docs`` too short for a candidate; at most 38 * 38 rows reach the driver."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(38 * 38, np.int64)
+        for batch in batches(source):
+            column = pa.chunked_array([batch.column("text")]).cast(pa.large_binary()).combine_chunks()
+            column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+            if not len(column) or column.buffers()[2] is None:
+                continue
+            ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+            codes = _CODE[np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]]]
+            if not len(codes):
+                continue
+            cut = codes[1:] == 37  # between places: a run begins or ends
+            cut |= codes[:-1] == 37
+            inner = ends[1:-1] - ends[0]
+            cut[inner[(inner > 0) & (inner < len(codes))] - 1] = True
+            runs = np.diff(np.concatenate([[0], np.nonzero(cut)[0] + 1, [len(codes)]]))
+            use = ~cut & np.repeat(runs < LEAST, runs)[:-1]
+            for at in range(0, len(use), 1 << 20):
+                own = use[at : at + (1 << 20)]
+                first, second = codes[at : at + len(own)][own], codes[at + 1 : at + 1 + len(own)][own]
+                total += np.bincount(first.astype(np.int64) * 38 + second, minlength=38 * 38)
+        met = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(total[met])], names=["pair", "n"])
+
+    counted = docs.select("text").mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    pairs = np.zeros(38 * 38, np.int64)
+    for row in counted.collect():
+        pairs[row.pair] = row.n
+    return Ordinary(pairs.reshape(38, 38))
 
 
 ORDINARY_CHANGES = 0.06  # share of neighbours in ordinary text, file names and links that differ in class
@@ -144,6 +214,7 @@ def candidates(docs: DataFrame) -> DataFrame:
              T.StructField("band", T.IntegerType()), T.StructField("step", T.IntegerType()), T.StructField("random", T.BooleanType())]
         )
     )
+    null = ordinary(docs)  # some 10 KB
 
     def work(texts: list[str]) -> dict[str, object]:
         spans, tokens = [], []
@@ -152,7 +223,7 @@ def candidates(docs: DataFrame) -> DataFrame:
             spans.append([dict(zip(("kind", "start", "end"), s)) for s in base])
             row = []
             for match in _TOKEN.finditer(text):
-                tested = battery(match[0])
+                tested = battery(match[0], null)
                 if tested:
                     band = min(8, (match.end() - match.start()).bit_length())
                     row.append(dict(start=match.start(), end=match.end(), encoding=tested[0], band=band, step=_step(tested[2]), random=tested[1] >= RANDOM))
@@ -184,7 +255,7 @@ def scan(docs: DataFrame, rate: float = DISCOVERY_RATE) -> DataFrame:
     columns are left out.
     """
     found = materialise(candidates(docs), "secret_candidates")
-    limits = {f"{r.encoding}:{r.band}": r.least for r in thresholds(found, rate).collect()}  # at most 9 * 9 rows
+    limits = {f"{r.encoding}:{r.band}": r.least for r in thresholds(found, rate).collect()}  # at most 11 * 9 rows
     least = F.create_map(*[F.lit(x) for pair in (limits or {"": 0}).items() for x in pair])
     good = F.filter("tokens", lambda t: t.random & (t.step >= least[F.concat_ws(":", t.encoding, t.band.cast("string"))]))
     tokens = F.transform(good, lambda t: F.struct(t.start, t.end, t.encoding))
