@@ -4,7 +4,8 @@ The model is fitted on at most ``SAMPLE`` distinct labelled texts, chosen by a h
 numpy on the driver. A tenth of the sample is kept apart to calibrate: a temperature makes the
 softmax an honest probability, and a text is rejected if its calibrated score is lower than that
 of all but the share ``REJECTED`` of right calibration texts, or if its words are of
-a kind the model hardly knows. Prediction sees the text only and runs in Arrow batches.
+a kind the model hardly knows: if the share of their n-grams that the fit has met, and three standard errors
+more, lies below nine tenths of that of all but as many calibration texts of the language. Prediction sees the text only and runs in Arrow batches.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trailmark.llm.shared import batches, fold_column
-from trailmark.llm.subword import WORD, Model, WordScores, softmax, train
+from trailmark.llm.subword import MAX_CACHED_WORDS, WORD, Model, WordScores, buckets_of, softmax, train
 
 SAMPLE = 2000  # bound of the labelled texts that are fitted
 SIZES = (1, 2, 3, 4)
@@ -29,6 +30,10 @@ DIMENSION = 8
 EPOCHS = 3
 CALIBRATION = 10
 REJECTED = 0.0005
+KNOWN_SIZES = (2, 3)
+KNOWN_BITS = 1 << 22
+KNOWN_LEVEL = 0.9  # of the quantile: two hundred texts say little about the rarest words of a language
+LEAST_SPREAD = 0.1
 UNKNOWN = "und"
 
 
@@ -38,6 +43,37 @@ class LanguageModel:
     network: Model | None
     temperature: float = 1.0
     least: float = 0.0  # scores below are rejected
+    met: np.ndarray | None = None  # bitmap of the n-grams of the fit
+    spread: float = 0.0  # of the known share of single words
+    least_known: np.ndarray | None = None  # for each language
+
+
+class KnownShares(dict):
+    """word -> share of its n-grams that the fit has met; unknown words are added in batches by :meth:`learn`."""
+
+    def __init__(self, met: np.ndarray):
+        super().__init__()
+        self.met = np.unpackbits(met).astype(bool)
+
+    def learn(self, words: set[str]) -> None:
+        if len(self) > MAX_CACHED_WORDS:
+            self.clear()
+        new = [w for w in words if w not in self]
+        for begin in range(0, len(new), 20_000):
+            part = new[begin : begin + 20_000]
+            found, counts = buckets_of(part, KNOWN_SIZES, KNOWN_BITS)
+            ends = np.cumsum(counts)
+            self.update(zip(part, (np.add.reduceat(self.met[found], ends - counts, dtype=np.float64) / counts).tolist()))
+
+    def of(self, words) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.float64, len(words))
+
+
+def _met(words: list[str]) -> np.ndarray:
+    met = np.zeros(KNOWN_BITS, bool)
+    for begin in range(0, len(words), 20_000):
+        met[buckets_of(words[begin : begin + 20_000], KNOWN_SIZES, KNOWN_BITS)[0]] = True
+    return np.packbits(met)
 
 
 def words_of(text: str) -> list[str]:
@@ -95,17 +131,32 @@ def fit(labelled: DataFrame, bound: int = SAMPLE, seed: int = 7) -> LanguageMode
         good = p[np.arange(held), right][p.argmax(axis=1) == right]
         # The quantile of the right ones, and never more than what a clear majority reaches.
         model.least = float(min(np.quantile(good, REJECTED), 0.5)) if len(good) else 0.0
+        fitted = np.zeros(len(words), bool)
+        for bag in bags[held:]:
+            fitted[bag] = True
+        model.met = _met([w for w, use in zip(words, fitted) if use])
+        known = KnownShares(model.met)
+        known.learn(set(words))
+        shares = [known.of([words[w] for w in bag]) for bag in bags[:held]]
+        model.spread = max(LEAST_SPREAD, float(np.concatenate(shares).std()))
+        lengths = np.array([len(one) for one in shares])
+        level = np.array([one.mean() for one in shares]) + 3 * model.spread / np.sqrt(lengths)
+        own = [level[right == i] for i in range(len(languages))]
+        model.least_known = np.array([KNOWN_LEVEL * np.quantile(one if len(one) else level, REJECTED) for one in own])
     return model
 
 
 def predictor(model: LanguageModel):
     """Function from texts to (language, score, rejected); unknown for texts without a letter."""
     scores_of = WordScores(model.network) if model.network else None
+    known = KnownShares(model.met) if model.met is not None else None
 
     def predict(texts: list[str]) -> list[tuple[str, float, bool]]:
         counters = [Counter(words_of(text)) for text in texts] if scores_of is not None else [None] * len(texts)
         if scores_of is not None:
-            scores_of.learn(set().union(*counters))
+            scores_of.learn(words := set().union(*counters))
+            if known is not None:
+                known.learn(words)
         found = []
         for counted in counters:
             if not counted:
@@ -115,7 +166,11 @@ def predictor(model: LanguageModel):
             score = times @ scores_of.table[scores_of.rows(counted)] / times.sum() + model.network.bias
             p = softmax(score[None, :] / model.temperature)[0]
             best = int(p.argmax())
-            found.append((model.languages[best], float(p[best]), bool(p[best] < model.least)))
+            rejected = p[best] < model.least
+            if known is not None and not rejected:
+                n = times.sum()
+                rejected = times @ known.of(counted) / n + 3 * model.spread / np.sqrt(n) < model.least_known[best]
+            found.append((model.languages[best], float(p[best]), bool(rejected)))
         return found
 
     return predict
