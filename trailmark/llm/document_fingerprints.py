@@ -178,13 +178,13 @@ def _joined(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, one row a document.
 
-    Documents follow each other by descending doc_id (null last; rows of one id by their text), the first after the
-    last. Texts are shuffled once, into sorted ranges; each range compares its neighbours as they stream by and
+    Documents follow each other by descending doc_id (null last; rows of one id by the md5 of their text), the first
+    after the last. Texts are shuffled once, into sorted ranges; each range compares its neighbours as they stream by and
     leaves its first and last text, which meet those of the next range by a join. Only ranges' numbers are
     ordered in one task. One document follows itself; no documents give no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    chained = materialise(rows.orderBy(F.desc_nulls_last("doc_id"), "text").mapInArrow(_chained, FIELDS), "fingerprints")
+    chained = materialise(rows.orderBy(F.desc_nulls_last("doc_id"), F.md5("text")).mapInArrow(_chained, FIELDS), "fingerprints")
     result = _NAMES[:7]
     edges = chained.where("part is not null")
     numbers = edges.select("part").withColumn("following", F.lead("part").over(Window.orderBy("part")))
