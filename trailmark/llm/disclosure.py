@@ -78,7 +78,7 @@ def typed_spans(text: str) -> list[Span]:
     """Valid spans by kind, then start; code points, end exclusive."""
     found: list[Span] = [("email", a, b) for a, b in _emails(text)] if "@" in text else []
     for match in _IP.finditer(text):
-        if all(len(part.lstrip("0")) <= 3 and int(part) <= 255 for part in match[0].split(".")):
+        if all(len(part) <= 3 and int(part or "0") <= 255 for part in (p.lstrip("0") for p in match[0].split("."))):
             found.append(("ip", *match.span()))
     for match in _CARD.finditer(text):
         digits = _digits(match[0])
