@@ -11,6 +11,7 @@ from trailmark.llm import (
 )
 from trailmark.llm.shared import scratch_path
 
+SF = "/root/testdata/sf0.001"
 LONG = "word other third " * 40_000
 SCHEMA = (
     "doc_id bigint, text string, lang string, source string, n_chars bigint, key int, id string, row array<int>, bands map<string,int>, "
@@ -173,3 +174,46 @@ def test_held_out_accuracy(spark):
     held = scores.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2).collect()
     toxic, clean = [r.score for r in held if r.toxic], [r.score for r in held if not r.toxic]
     assert sum(a > b for a in toxic for b in clean) / (len(toxic) * len(clean)) >= 0.95
+
+
+def test_sample_does_not_follow_partitions(spark):
+    """The same rows after a reshuffle, within both bounds; copies count once."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("text", "lang")
+    rows = rows.unionAll(rows)
+    first = {tuple(r) for r in language_id.sample_rows(rows, 50, "text")}
+    again = language_id.sample_rows(rows.repartition(13), 50, "text")
+    assert {tuple(r) for r in again} == first and len(again) == len(first) == 50
+    fewer = language_id.sample_rows(rows.repartition(3), 50, "text", chars=20_000)
+    assert {tuple(r) for r in fewer} < first and sum(len(r.text) for r in fewer) <= 20_000
+    assert language_id.sample_rows(rows.limit(0), 50, "text") == []
+
+
+def test_toxic_sample_comes_from_the_labels(spark):
+    """At most the bound of labelled ids, and no exchange of the texts."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    part = toxicity.train_part(docs, labels, bound=20)
+    assert 0 < part.count() <= 20
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_numerals_are_no_letters(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language_id.fit(docs, 60)
+    odd = spark.createDataFrame([(1, "½ ² ³ ①"), (2, "12 ٣"), (3, "x² is a letter")], "doc_id long, text string")
+    found = {r.doc_id: r.lang_pred for r in language_id.predict(odd, model).collect()}
+    assert found[1] == found[2] == "und" and found[3] != "und"
+
+
+def test_long_runs_of_zeros_in_an_address():
+    text = "a 10.0.0." + "0" * 5000 + " b " + "0" * 5000 + ".1.1.1 c 1.2.3." + "9" * 5000
+    assert [(a, b - a) for k, a, b in disclosure.typed_spans(text) if k == "ip"] == [(2, 5007), (5012, 5006)]
+
+
+def test_token_folder_names(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "one two."), (2, None)], "doc_id long, text string")
+    for name in (f"file:{tmp_path}/a", f"file://{tmp_path}/b", f"{tmp_path}/c"):
+        files = token_store.write_tokens(docs, name)
+        assert [r.n_tokens for r in token_store.token_digests(files).orderBy("doc_id").collect()] == [4, 1]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a", "b", "c"]

@@ -1,7 +1,7 @@
 """Language of whole texts: averaged hashed subword vectors, linear softmax, calibrated rejection.
 
-The model is fitted on at most ``SAMPLE`` distinct labelled texts, chosen by a hash of the row, in
-numpy on the driver. A tenth of the sample is kept apart to calibrate: a temperature makes the
+The model is fitted on at most ``SAMPLE`` distinct labelled texts of ``SAMPLE_CHARS`` code points together, the first
+by a hash of the row, in numpy on the driver. A tenth of the sample is kept apart to calibrate: a temperature makes the
 softmax an honest probability, and a text is rejected if its calibrated score is lower than that
 of all but the share ``REJECTED`` of right calibration texts, or if its words are of
 a kind the model hardly knows: if the share of their n-grams that the fit has met, and three standard errors
@@ -24,6 +24,7 @@ from trailmark.llm.shared import batches, fold_column
 from trailmark.llm.subword import MAX_CACHED_WORDS, WORD, Model, WordScores, buckets_of, softmax, train
 
 SAMPLE = 2000  # bound of the labelled texts that are fitted
+SAMPLE_CHARS = 30_000_000  # and of their code points together
 SIZES = (1, 2, 3, 4)
 BUCKETS = 1 << 16
 DIMENSION = 8
@@ -77,20 +78,29 @@ def _met(words: list[str]) -> np.ndarray:
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """Lower-cased words; numerals that Python takes for word characters are none."""
+    return [w for w in WORD.findall(text.lower()) if w.isascii() or w.isalpha() or any(map(str.isalpha, w))]
 
 
-def sample_rows(rows: DataFrame, bound: int) -> list:
-    """At most ``bound`` distinct rows, chosen by a hash of their columns, so repeated rows count once.
+def sample_rows(rows: DataFrame, bound: int, text: str | None = None, chars: int = SAMPLE_CHARS) -> list:
+    """The first distinct rows by a hash of their columns: ``bound`` of them, and ``chars`` code points of ``text`` at most.
 
-    The share of the hash range to read comes from an exact count; both passes are distributed.
+    The hash and the rows alone decide, so every run finds the same ones. A count tells which share of the hash
+    range to look at; hashes of about four times the bound are shuffled, and texts only of rows that are taken.
     """
     total = rows.count()
-    if not total:
+    share = min(1.0, 4.0 * bound / total) if total else 0.0
+    size = F.length(text) if text else F.lit(0)
+    hashed = rows.select("*", F.xxhash64(*rows.columns).alias("_hash"), size.alias("_size"))
+    near = hashed.where(F.pmod("_hash", F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    first = near.select("_hash", "_size").distinct().orderBy("_hash", "_size").limit(bound).collect()
+    taken, used = 0, 0
+    while taken < len(first) and used + first[taken]["_size"] <= chars:
+        used += first[taken]["_size"]
+        taken += 1
+    if not taken:
         return []
-    share = min(1.0, 1.1 * bound / total)
-    hashed = F.pmod(F.xxhash64(*rows.columns), F.lit(1_000_000))
-    return rows.where(hashed < int(share * 1_000_000) + 1).distinct().limit(bound).collect()
+    return near.where(F.col("_hash") <= first[taken - 1]["_hash"]).drop("_hash", "_size").distinct().collect()
 
 
 def fit(labelled: DataFrame, bound: int = SAMPLE, seed: int = 7) -> LanguageModel:
@@ -98,7 +108,7 @@ def fit(labelled: DataFrame, bound: int = SAMPLE, seed: int = 7) -> LanguageMode
 
     Without a labelled row the model knows no language and rejects every text.
     """
-    rows = sample_rows(labelled.select("text", "lang").where("lang IS NOT NULL AND text IS NOT NULL"), bound)
+    rows = sample_rows(labelled.select("text", "lang").where("lang IS NOT NULL AND text IS NOT NULL"), bound, "text")
     rows = [(text, lang) for lang, text in sorted((r.lang, r.text) for r in rows) if WORD.search(text)]
     languages = sorted({lang for _, lang in rows})
     if not languages:

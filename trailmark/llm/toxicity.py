@@ -25,6 +25,7 @@ from trailmark.llm.shared import batches, fold_column
 from trailmark.llm.subword import WORD, Model, WordScores, train
 
 SAMPLE = 5000  # bound of the labelled texts that are fitted
+CLEAN_BAGS = 20_000  # bags of clean texts in a round, or six for each toxic bag if that is more
 BAG = 8
 SIZES = (3, 4, 5, 6)
 BUCKETS = 1 << 17
@@ -63,7 +64,7 @@ def bag_means(values: np.ndarray) -> np.ndarray:
 
 def fit(labelled: DataFrame, bound: int = SAMPLE, seed: int = 7) -> ToxicityModel:
     """Learn from columns text and toxic; without both labels every text scores 0."""
-    rows = sample_rows(labelled.select("text", "toxic").where("toxic IS NOT NULL AND text IS NOT NULL"), bound)
+    rows = sample_rows(labelled.select("text", "toxic").where("toxic IS NOT NULL AND text IS NOT NULL"), bound, "text")
     rows = sorted((int(r.toxic), r.text) for r in rows)
     rows = [(text, label) for label, text in rows if WORD.search(text)]
     if len({label for _, label in rows}) < 2:
@@ -88,7 +89,7 @@ def fit(labelled: DataFrame, bound: int = SAMPLE, seed: int = 7) -> ToxicityMode
     for number, epochs in enumerate(ROUNDS):
         # All chosen bags of toxic texts, and as many clean ones as keeps both sides near.
         clean = np.nonzero(~positive)[0]
-        clean = random.permutation(clean)[: max(20_000, 6 * int(chosen.sum()))]
+        clean = random.permutation(clean)[: max(CLEAN_BAGS, 6 * int(chosen.sum()))]
         use = np.concatenate([np.nonzero(chosen)[0], clean])
         model = train(
             words, [bags[i] for i in use], chosen[use].astype(np.int64), 2, epochs=epochs, rate=0.2, seed=seed + number, model=model, **options
@@ -167,7 +168,14 @@ def toxic_scores(docs: DataFrame, model: ToxicityModel, threshold: float = THRES
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def train_part(docs: DataFrame, labels: DataFrame, parts: int = 4, out: int = 2) -> DataFrame:
-    """text, toxic of the labelled rows whose fold is not ``out``."""
+def train_part(docs: DataFrame, labels: DataFrame, parts: int = 4, out: int = 2, bound: int = SAMPLE) -> DataFrame:
+    """text, toxic of ``bound`` labelled ids at most whose fold is not ``out``.
+
+    The sample is drawn from the labels alone, at once; its ids are few and are broadcast, so no text is shuffled. Ids
+    without a document or with a null text count against the bound. A null id is in fold 0 and joins nothing.
+    """
     own = labels.where(fold_column(F.col("doc_id"), parts) != out).select("doc_id", "toxic")
-    return docs.select("doc_id", "text").join(own, "doc_id").select("text", "toxic")
+    own = own.where("doc_id IS NOT NULL AND toxic IS NOT NULL")
+    spark = docs.sparkSession
+    ids = spark.createDataFrame(sample_rows(own, bound), own.schema)
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic")
