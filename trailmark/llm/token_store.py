@@ -24,6 +24,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,11 +34,13 @@ MAGIC = 0x31564B4F54
 BLOCK = 4_000_000
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-MAX_CACHED = 300_000
+MAX_CACHED = 200_000
+MAX_BYTES = 24_000_000
 MARK = "\x01"
 TAIL = ".,;:!?"
 
-_SEPARATOR = re.compile("[\x1c-\x1f]")  # white space to str.split(), characters to the library
+_SEPARATORS = "[\x1c-\x1f]"
+_SEPARATOR = re.compile(_SEPARATORS)  # white space to str.split(), characters to the library
 _CHUNK = re.compile(r"[^ \t\n\r\f\v]+")
 
 
@@ -48,11 +51,12 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class Encoder:
-    """The library's ids of whole texts, as unsigned 16- or 32-bit integers, with a memory of text chunks.
+    """The library's ids of whole texts, as unsigned 16- or 32-bit integers, with a memory of text pieces.
 
     This vocabulary drops white space and never joins across it, so a text's ids are those of its chunks one
-    after another. Chunks not met before go to the library in bulk, parted by a control character that is a token
-    of its own; chunks that hold it or a special token's text go alone.
+    after another. A chunk that is a word and punctuation is two pieces, any other is one; a batch of texts looks each
+    distinct piece up once, and pieces not met before go to the library in bulk. The memory holds ``MAX_CACHED``
+    pieces of ``MAX_BYTES`` at most; beyond that the half most often met stays.
     """
 
     def __init__(self, path: str):
@@ -65,78 +69,121 @@ class Encoder:
         tokens = self.library.get_vocab()
         self.ends_word = np.zeros(max(tokens.values()) + 1, bool)
         self.ends_word[[i for token, i in tokens.items() if token.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.letters: dict[str, bool] = dict.fromkeys("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", True)
-
-    def learn(self, chunks: set[str]) -> None:
-        """Make sure that ``known`` holds every chunk; what is not met for long is forgotten."""
-        if len(self.known) > MAX_CACHED:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        new = []
-        for chunk in chunks:
-            if chunk not in known:
-                if chunk in older:
-                    known[chunk] = older[chunk]
-                else:
-                    new.append(chunk)
-        # A word and the punctuation after it are tokens apart, so a word is looked up without it. This holds
-        # for words that are letters to the library and stay so in its normal form; others are encoded whole.
-        cores = [(c, c.rstrip(TAIL)) for c in new]
-        words = {core for _, core in cores if core.isalpha() and (core.isascii() or self._stays_letters(core))}
-        self._words([w for w in words if w not in known])
-        rest = [c for c, core in cores if c not in known and core not in words]
-        tails = {c[len(core) :] for c, core in cores if core in words} - {""}
-        self._chunks([*rest, *(t for t in tails if t not in known)])
-        for chunk, core in cores:
-            if chunk not in known:
-                known[chunk] = known[core] + known[chunk[len(core) :]]
-
-    def _stays_letters(self, word: str) -> bool:
-        """Whether the library's own split leaves every letter of the word in one piece, apart from a full stop."""
-        for c in set(word).difference(self.letters):
+        self.letters: dict[str, bool] = {}  # of other than ASCII letters
+        self.known = pa.array([""], pa.string())
+        self.table, self.sizes, self.met = np.zeros(0, self.kind), np.zeros(1, np.int64), np.ones(1, np.int64)
+
+    def _stays_letter(self, c: str) -> bool:
+        """Whether the library's own split leaves this letter and the word before it in one piece, apart from a full stop."""
+        if c not in self.letters:
             normal = self.library.normalizer.normalize_str(f"a{c}") if self.library.normalizer else f"a{c}"
             pieces = self.library.pre_tokenizer.pre_tokenize_str(f"{normal}.")
             self.letters[c] = len(pieces) == 2 and pieces[1][0] == "."
-        return all(map(self.letters.__getitem__, word))
-
-    def _words(self, words: list[str]) -> None:
-        """Words of letters only: each ends at the first token that ends a word."""
-        width = self.kind().itemsize
-        parts = [words[i : i + 500] for i in range(0, len(words), 500)]
-        for part, one in zip(parts, self._encoded([" ".join(p) for p in parts])):
-            ids = np.asarray(one.ids, self.kind)
-            ends = np.nonzero(self.ends_word[ids])[0] + 1
-            if len(ends) != len(part):  # letters to this library are not quite those of Python
-                self._chunks(part)
-                continue
-            raw, stops = ids.tobytes(), (ends * width).tolist()
-            self.known.update((w, raw[a:b]) for w, a, b in zip(part, [0, *stops], stops))
-
-    def _chunks(self, chunks: list[str]) -> None:
+        return self.letters[c]
+
+    def _words(self, chunks: pa.Array) -> pa.Array:
+        """Mask of what is letters to the library, and stays so in its normal form."""
+        words = pc.utf8_is_alpha(chunks)
+        other = chunks.filter(pc.and_(words, pc.invert(pc.string_is_ascii(chunks))))
+        odd = "".join(c for c in set("".join(other.to_pylist())) if not self._stays_letter(c))
+        return pc.and_(words, pc.invert(pc.match_substring_regex(chunks, f"[{odd}]"))) if odd else words
+
+    def _of_words(self, words: list[str]) -> tuple[list, list, list]:
+        """Parts of words, their ids and sizes: each word ends at the first token that ends a word."""
+        parts, ids, sizes = [], [], []
+        cut = [words[i : i + 500] for i in range(0, len(words), 500)]
+        for part, one in zip(cut, self._encoded([" ".join(p) for p in cut])):
+            found = np.asarray(one.ids, self.kind)
+            ends = np.nonzero(self.ends_word[found])[0] + 1
+            if len(ends) != len(part):  # letters to this library are not quite those of Arrow
+                found, ends = self._alone(part)
+            parts.append(part)
+            ids.append(found)
+            sizes.append(np.diff(ends, prepend=0))
+        return parts, ids, sizes
+
+    def _of_chunks(self, chunks: list[str]) -> tuple[list, list, list]:
+        """As for words, parted by a control character that is a token of its own; what holds it or a special token's text goes alone."""
         bulk = [c for c in chunks if MARK not in c and "<|" not in c]
         alone = [c for c in chunks if MARK in c or "<|" in c]
-        width = self.kind().itemsize
-        parts = [bulk[i : i + 500] for i in range(0, len(bulk), 500)]
-        for part, one in zip(parts, self._encoded([f" {MARK} ".join(p) for p in parts])):
-            ids = np.asarray(one.ids, self.kind)
-            cuts = np.nonzero(ids == self.mark_id)[0]
-            if len(cuts) != len(part) - 1:
+        parts, ids, sizes = [], [], []
+        cut = [bulk[i : i + 500] for i in range(0, len(bulk), 500)]
+        for part, one in zip(cut, self._encoded([f" {MARK} ".join(p) for p in cut])):
+            found = np.asarray(one.ids, self.kind)
+            marks = np.nonzero(found == self.mark_id)[0]
+            if len(marks) != len(part) - 1:
                 raise ValueError("the vocabulary joins tokens across white space")
-            raw = ids.tobytes()
-            for chunk, a, b in zip(part, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]):
-                self.known[chunk] = raw[a * width : b * width]
-        for chunk, one in zip(alone, self._encoded(alone)):
-            self.known[chunk] = np.asarray(one.ids, self.kind).tobytes()
+            parts.append(part)
+            ids.append(np.delete(found, marks))
+            sizes.append(np.diff(np.append(marks - np.arange(len(marks)), len(found) - len(marks)), prepend=0))
+        if alone:
+            found, ends = self._alone(alone)
+            parts.append(alone)
+            ids.append(found)
+            sizes.append(np.diff(ends, prepend=0))
+        return parts, ids, sizes
+
+    def _alone(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [one.ids for one in self._encoded(chunks)]
+        return np.array([i for one in found for i in one], self.kind), np.cumsum([len(one) for one in found])
 
     def _encoded(self, texts: list[str]):
         return self.library.encode_batch_fast(texts, add_special_tokens=False) if texts else []
 
+    def _rows(self, pieces: pa.Array) -> np.ndarray:
+        """Numbers of the pieces in the memory, where they are put if they are not there."""
+        found = pc.index_in(pieces, value_set=self.known)
+        if found.null_count:
+            new = pieces.filter(pc.is_null(found)).unique()
+            words = self._words(new)
+            parts, ids, sizes = self._of_words(new.filter(words).to_pylist())
+            more = self._of_chunks(new.filter(pc.invert(words)).to_pylist())
+            parts, ids, sizes = parts + more[0], ids + more[1], sizes + more[2]
+            self.known = pa.concat_arrays([self.known, *(pa.array(part, pa.string()) for part in parts)])
+            self.table = np.concatenate([self.table, *ids])
+            self.sizes = np.concatenate([self.sizes, *sizes])
+            self.met = np.concatenate([self.met, np.zeros(len(new), np.int64)])
+            found = pc.index_in(pieces, value_set=self.known)
+        return np.asarray(found)
+
+    def _forget(self) -> None:
+        if len(self.known) <= MAX_CACHED and self.known.nbytes + self.table.nbytes <= MAX_BYTES:
+            return
+        starts = np.cumsum(self.sizes) - self.sizes
+        order = np.argsort(-self.met, kind="stable")
+        size = np.cumsum(self.sizes[order] * self.table.itemsize + np.asarray(pc.binary_length(self.known))[order])
+        keep = order[: max(1, min(MAX_CACHED // 2, int(np.searchsorted(size, MAX_BYTES // 2))))]
+        self.table = np.concatenate([self.table[:0], *(self.table[a : a + n] for a, n in zip(starts[keep], self.sizes[keep]))])
+        self.known, self.sizes, self.met = self.known.take(pa.array(keep)), self.sizes[keep], self.met[keep] // 2
+
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and how many each has."""
+        self._forget()
+        texts = pc.fill_null(texts, "")
+        if pc.any(pc.match_substring_regex(texts, _SEPARATORS)).as_py():
+            split = [_CHUNK.findall(t) if _SEPARATOR.search(t) else t.split() for t in texts.to_pylist()]
+            split = pa.array(split, pa.list_(pa.string()))
+        else:
+            split = pc.utf8_split_whitespace(texts)  # with empty chunks at the ends of a text
+        chunks = split.flatten().dictionary_encode()
+        distinct = chunks.dictionary
+        cores = pc.utf8_rtrim(distinct, TAIL)
+        words = self._words(cores)
+        tails = pc.struct_field(pc.extract_regex(distinct, f"(?P<tail>[{TAIL}]*)$"), "tail")
+        cores, tails = pc.if_else(words, cores, distinct), pc.if_else(words, tails, "")
+        rows = self._rows(pa.concat_arrays([cores, tails])).reshape(2, -1)
+        self.met += np.bincount(rows.ravel(), minlength=len(self.met)) > 0
+        starts = np.cumsum(self.sizes) - self.sizes
+        index = rows[:, np.asarray(chunks.indices)].T.ravel()  # a core and its tail, chunk by chunk
+        count = self.sizes[index]
+        ends = np.cumsum(count)
+        ids = self.table[np.repeat(starts[index] - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)]
+        chunks_until = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(split)))])
+        return ids, np.diff(np.concatenate([[0], ends])[2 * chunks_until])
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_CHUNK.findall(t) if _SEPARATOR.search(t) else t.split() for t in texts]
-        self.learn(set().union(*split))
-        return [b"".join(map(self.known.__getitem__, chunks)) for chunks in split]
+        ids, counts = self.flat(pa.array(texts, pa.string()))
+        return [part.tobytes() for part in np.split(ids, np.cumsum(counts)[:-1])] if texts else []
 
 
 _ENCODERS: dict[str, Encoder] = {}  # one for each vocabulary, kept by the worker from task to task
@@ -177,9 +224,12 @@ def decompress(control: np.ndarray, data: np.ndarray, count: int) -> np.ndarray:
 
 
 def _filesystem(folder: str):
+    """File system and path of a folder as Spark names it: a plain path, ``file:/path`` or a URI."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+    if folder.startswith("file:") or ":/" not in folder:
+        return fs.LocalFileSystem(), re.sub("^file:/*", "/", folder)
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", folder))
 
 
 def _put(folder: str, name: str, parts: list[bytes]) -> str:
@@ -229,27 +279,32 @@ def _blocks(docs: DataFrame, path: str, end_id: int, block: int) -> DataFrame:
         from pyspark import TaskContext
 
         part, encoder, number = TaskContext.get().partitionId(), encoder_of(path), 0
-        end = np.array([end_id], encoder.kind).tobytes()
         ids: list[int | None] = []
-        held: list[bytes] = []
+        counts: list[int] = []
+        held: list[np.ndarray] = []
         size = 0
 
         def result() -> pa.RecordBatch:
-            counts = [len(h) // encoder.kind().itemsize for h in held]
             names = ["part", "number", "doc_ids", "counts", "ids", "wide"]
-            values = [[part], [number], [ids], [counts], [b"".join(held)], [encoder.kind is np.uint32]]
+            values = [[part], [number], [ids], [counts], [np.concatenate(held).tobytes()], [encoder.kind is np.uint32]]
             types = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.bool_()]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types)], names=names)
 
-        for batch in batches(source, chars=1_000_000):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for doc_id, found in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts)):
-                ids.append(doc_id)
-                held.append(found + end)
-                size += len(found) // len(end) + 1
+        for batch in batches(source, chars=2_000_000):
+            found, each = encoder.flat(batch.column("text"))
+            ended = np.insert(found, np.cumsum(each), np.array(end_id, encoder.kind))
+            ends, doc_ids, done = np.cumsum(each + 1), batch.column("doc_id").to_pylist(), 0
+            while done < len(doc_ids):
+                before = int(ends[done - 1]) if done else 0
+                stop = min(len(doc_ids), int(np.searchsorted(ends, before + block - size)) + 1)  # a block ends with the row that fills it
+                ids += doc_ids[done:stop]
+                counts += (each[done:stop] + 1).tolist()
+                held.append(ended[before : ends[stop - 1]])
+                size += int(ends[stop - 1]) - before
+                done = stop
                 if size >= block:
                     yield result()
-                    ids, held, size, number = [], [], 0, number + 1
+                    ids, counts, held, size, number = [], [], [], 0, number + 1
         if ids:
             yield result()
 
@@ -292,11 +347,8 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
     spark = docs.sparkSession
     blocks = materialise(_blocks(docs, path or tokenizer_path(), end_id, block), "token_blocks")
     id_of_rank = _ranking(blocks)
-    if "://" not in folder:
-        os.makedirs(folder, exist_ok=True)
-    else:
-        system, root = _filesystem(folder)
-        system.create_dir(root, recursive=True)
+    system, root = _filesystem(folder)
+    system.create_dir(root, recursive=True)
     _put(folder, "ranks.bin", [id_of_rank.tobytes()])
     rank_of = np.zeros(int(id_of_rank.max()) + 1 if len(id_of_rank) else 1, np.uint32)
     rank_of[id_of_rank] = np.arange(len(id_of_rank), dtype=np.uint32)
