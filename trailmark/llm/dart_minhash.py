@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -300,12 +300,19 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, weighting: str = "
     rows = near_duplicates(docs, similarity, weighting)
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("key").alias("key"))
     kept = rows.groupBy("root").agg(F.min(order).alias("best")).select("best.key", _id_text(F.col("best.id")).alias("id"))
-    sortable = [f.name for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    keyed = docs.select(
-        text_key(F.col("text")).alias("key"), _id_text(F.col("doc_id")).alias("id"), F.struct("*").alias("row"), F.struct(*sortable).alias("order")
+    # Columns go by number, so none can clash. Each row is shuffled once: the join uses the window's partitions.
+    names = {f"c{i}": f for i, f in enumerate(docs.schema.fields)}
+    keyed = docs.toDF(*names).select(
+        text_key(F.col(_of(names, "text"))).alias("key"), _id_text(F.col(_of(names, "doc_id"))).alias("id"), *names
     )
-    best = keyed.groupBy("key", "id").agg(F.min_by("row", "order").alias("row"))
-    return best.join(kept, ["key", "id"], "left_semi").select("row.*")
+    sortable = [c for c, f in names.items() if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    first = F.row_number().over(Window.partitionBy("key", "id").orderBy(*sortable))
+    one = keyed.withColumn("at", first).where("at = 1")
+    return one.join(kept, ["key", "id"], "left_semi").select(*(F.col(c).alias(f.name) for c, f in names.items()))
+
+
+def _of(names: dict[str, T.StructField], name: str) -> str:
+    return next(c for c, f in names.items() if f.name == name)
 
 
 def _id_text(doc_id: Column) -> Column:
