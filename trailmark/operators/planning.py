@@ -48,15 +48,15 @@ def pending_requests(planned: DataFrame, ledger: DataFrame, id_column: str = "ro
     )
 
 
-def unavailable_children(rollouts: DataFrame, positions: Sequence[int]) -> DataFrame:
-    """One UNAVAILABLE row per declared position of every parent that did not complete."""
+def unavailable_children(rollouts: DataFrame, positions: Sequence[int], keep: Sequence[str] = ()) -> DataFrame:
+    """One UNAVAILABLE row per declared position of every parent that did not complete, with its columns ``keep``."""
     stopped = rollouts.where(~F.col("status").eqNullSafe("COMPLETED"))
     parent_status = F.when(F.col("status").eqNullSafe("FAILED"), "PARENT_BASE_FAILED").otherwise(
         "PARENT_BASE_INTERRUPTED_UNKNOWN"
     )
     declared = F.array(*[F.lit(p) for p in declared_positions(positions)]).cast("array<bigint>")
     rows = stopped.select(
-        "rollout_id", "problem_id", "rollout_seed",
+        "rollout_id", "problem_id", "rollout_seed", *keep,
         F.explode(declared).alias("checkpoint_token"),
         F.lit("UNAVAILABLE").alias("status"),
         parent_status.alias("availability_status"),
@@ -65,5 +65,5 @@ def unavailable_children(rollouts: DataFrame, positions: Sequence[int]) -> DataF
         checkpoint_id(F.col("rollout_id"), F.col("checkpoint_token")).alias("checkpoint_id"),
         F.col("rollout_id").alias("parent_rollout_id"),
         "problem_id", "rollout_seed", "checkpoint_token", "status", "availability_status",
-        F.lit("no saved base trajectory is available for this child request").alias("reason"),
+        F.lit("no saved base trajectory is available for this child request").alias("reason"), *keep,
     )
