@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 from zlib import crc32
 
@@ -67,6 +69,16 @@ def word_hashes(words: list[str]) -> np.ndarray:
     return np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+def release() -> None:
+    """Give freed memory back to the system: Spark keeps idle Python workers, and one executor runs many."""
+    _HASHES.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def batches(source: Iterable[pa.RecordBatch], column: str = "text", chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of one hold about ``chars`` bytes, one row at least."""
     for batch in source:
@@ -78,6 +90,7 @@ def batches(source: Iterable[pa.RecordBatch], column: str = "text", chars: int =
             stop = max(start + 1, int(np.searchsorted(ends, base + chars, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    release()
 
 
 def map_text(

@@ -28,10 +28,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm.shared import batches, materialise, scratch_path
+from trailmark.llm.shared import batches, materialise, release, scratch_path
 
 MAGIC = 0x31564B4F54
 BLOCK = 4_000_000
+STEP = 1 << 18  # ranks, a multiple of four
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 MAX_CACHED = 200_000
@@ -196,7 +197,12 @@ def encoder_of(path: str) -> Encoder:
 
 
 def compress(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """Control bytes and data bytes of an array of uint32."""
+    """Control bytes and data bytes of an array of uint32, ``STEP`` ranks at a time."""
+    parts = [_compress(ranks[i : i + STEP]) for i in range(0, len(ranks), STEP)]
+    return b"".join(control for control, _ in parts), b"".join(data for _, data in parts)
+
+
+def _compress(ranks: np.ndarray) -> tuple[bytes, bytes]:
     ranks = ranks.astype(np.uint32, copy=False)
     lengths = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     codes = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
@@ -212,6 +218,18 @@ LENGTHS = np.array([[(byte >> shift & 3) + 1 for shift in (0, 2, 4, 6)] for byte
 
 
 def decompress(control: np.ndarray, data: np.ndarray, count: int) -> np.ndarray:
+    """The ranks of a file, ``STEP`` at a time: what is needed beside them does not grow with the file."""
+    found, at = np.empty(count, np.uint32), 0
+    for start in range(0, count, STEP):
+        size = min(STEP, count - start)
+        part = control[start // 4 : -(-(start + size) // 4)]
+        used = int(LENGTHS[part].reshape(-1)[:size].sum(dtype=np.int64))
+        found[start : start + size] = _decompress(part, data[at : at + used], size)
+        at += used
+    return found
+
+
+def _decompress(control: np.ndarray, data: np.ndarray, count: int) -> np.ndarray:
     lengths = LENGTHS[control].reshape(-1)[:count]
     starts = np.cumsum(lengths, dtype=np.int64) - lengths
     found = data[starts].astype(np.uint32)
@@ -355,7 +373,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
     sent = spark.sparkContext.broadcast(rank_of)  # 4 bytes for each id of the vocabulary
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
+        for batch in batches(source, "ids"):
             for row in range(batch.num_rows):
                 one = {name: batch.column(name)[row].as_py() for name in batch.schema.names}
                 ranks = sent.value[_ids(one["ids"], one["wide"])]
@@ -401,6 +419,8 @@ def _read(files: DataFrame, field: str, make, kind: pa.DataType) -> DataFrame:
                          pa.array(counts[span.start : span.stop]), pa.array(made, kind)],
                         names=["doc_id", "start", "n_tokens", field.split()[0]],
                     )
+                del counts, ids, ends
+        release()
 
     parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return files.repartition(parts).select("path", "start").mapInArrow(run, f"doc_id bigint, start bigint, n_tokens bigint, {field}")
