@@ -119,6 +119,16 @@ def _written_ledger(fx):
 query("read_ledger", "SELECT seq, intent_id, event_type FROM fx_ledger")(
     lambda fx: _written_ledger(fx).select("seq", "intent_id", "event_type"))
 
+
+@query("read_ledger_physical", "SELECT row_number() OVER (ORDER BY seq) AS seq, row_number() OVER (ORDER BY seq) AS line_number, intent_id, event_type FROM fx_ledger")
+def physical_ledger(fx):
+    """Events written one after another without a seq; the lines' places order them."""
+    path = scratch_path(fx.spark, "plain-ledger")
+    events = fx.view("fx_ledger").withColumn("payload", F.struct(F.lit("fixture").alias("reason")))
+    events.coalesce(1).sortWithinPartitions("seq").select("event_type", "intent_id", "payload").write.json(path)
+    return inputs.read_ledger(fx.spark, path, physical_order=True).select("seq", "line_number", "intent_id", "event_type")
+
+
 query("append_ledger", """
 SELECT event_type, CAST(count(*) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS stamped, 'fixture' AS reason FROM fx_ledger GROUP BY 1""")(
     lambda fx: _written_ledger(fx).groupBy("event_type").agg(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from suite.inputs import physical_ledger
 from suite.oracle_parts import EVAL
 from suite.registry import query
 from suite.views import CUE, EOS, MARKER, WORD_POSITIONS
@@ -162,6 +163,9 @@ for _name, _view in (("intent_states", "fx_ledger"), ("intent_states_valid", "fx
     query(_name, f"WITH {_STATES.format(_view)} SELECT intent_id, state, violation FROM states")(
         lambda fx, view=_view: ledger.intent_states(fx.view(view)))
 
+query("intent_states_physical", f"WITH {_STATES.format('fx_ledger')} SELECT intent_id, state, violation FROM states")(
+    lambda fx: ledger.intent_states(physical_ledger(fx)))
+
 query("interrupted_intents", f"""
 WITH {_STATES.format("fx_ledger_orders")} SELECT 'INTERRUPTED_UNKNOWN' AS event_type, intent_id, 'prior run ended without terminal receipt' AS reason
 FROM states WHERE state = 'STARTED_UNKNOWN'""")(

@@ -52,33 +52,59 @@ def selection_rank(problems: DataFrame, seed: int) -> DataFrame:
 def selection_manifest(problems: DataFrame, seed: int, size: int) -> DataFrame:
     """The ``size`` rows of lowest (rank, source_index); ``source_index`` is unique.
 
-    Only ids are ranked and cut, by a top-k per task instead of a full sort. The texts
-    of the selected rows are then fetched by joining the ``size`` ids back, so no text
-    travels through the final merge and only selected texts are hashed. Fewer rows than
-    asked for fail the job when it runs.
+    Only ids are ranked. Ranks are digests, so their first digits deal them into even ranges that are in order; the
+    counts of the ranges tell which ranges the selection needs, and only their ids are shuffled and numbered. No
+    task sees more than one range. The texts of the selected rows are then fetched by joining the ids back, so only
+    selected texts are hashed. Fewer rows than asked for fail the job when it runs.
     """
     if size <= 0:
         raise ValueError("manifest size must be positive")
-    ranked = selection_rank(problems.select("problem_id", "source_index"), seed)
-    top = ranked.orderBy("selection_rank", "source_index").limit(size)
+    ranked = _dealt(selection_rank(problems.select("problem_id", "source_index"), seed))
+    sizes = _range_sizes(ranked)
+    top = _numbered(ranked, sizes, size)
     texts = problems.drop("problem_id")
-    chosen = content_hashes(texts.join(top, "source_index")).select(*MANIFEST_COLUMNS)
-    checked = chosen.unionByName(_none_or_failure(problems, size, chosen))
-    return manifest_ordinal(checked).select("manifest_ordinal", *MANIFEST_COLUMNS)
+    chosen = content_hashes(texts.join(top, "source_index")).select("manifest_ordinal", *MANIFEST_COLUMNS)
+    return chosen.unionByName(_none_or_failure(sizes, size, chosen))
 
 
-def _none_or_failure(problems: DataFrame, size: int, like: DataFrame) -> DataFrame:
-    """No rows, in the columns of ``like``; fails the job if ``size`` problems do not exist."""
+def _none_or_failure(sizes: DataFrame, size: int, like: DataFrame) -> DataFrame:
+    """No rows, in the columns of ``like``; fails the job if the ranges do not hold ``size`` rows."""
     text = F.concat(F.lit(f"{size} problems asked for, available: "), F.col("available").cast("string"))
-    short = F.when(F.col("is_valid"), F.lit(False)).otherwise(F.raise_error(text).cast("boolean"))
+    short = F.when(F.col("available") >= size, F.lit(False)).otherwise(F.raise_error(text).cast("boolean"))
     empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in like.schema.fields]
-    return checked_selection_size(problems, size).where(short).select(*empty)
+    available = F.coalesce(F.sum("_rows"), F.lit(0)).alias("available")
+    return sizes.agg(available).where(short).select(*empty)
 
 
 def manifest_ordinal(selected: DataFrame) -> DataFrame:
-    """Position of each selected row; the input is a manifest of bounded size."""
-    order = Window.orderBy("selection_rank", "source_index")
-    return selected.withColumn("manifest_ordinal", F.row_number().over(order).cast("bigint"))
+    """Position of each selected row by (selection_rank, source_index), numbered range by range."""
+    dealt = _dealt(selected)
+    return _numbered(dealt, _range_sizes(dealt))
+
+
+RANGE_DIGITS = 3  # 16 ** 3 ranges
+
+
+def _dealt(ranked: DataFrame) -> DataFrame:
+    return ranked.withColumn("_range", F.coalesce(F.substring("selection_rank", 1, RANGE_DIGITS), F.lit("")))
+
+
+def _range_sizes(dealt: DataFrame) -> DataFrame:
+    """Rows of each range: 4,096 at most, if ranks are hex digests."""
+    return dealt.groupBy("_range").agg(F.count("*").alias("_rows"))
+
+
+def _numbered(dealt: DataFrame, sizes: DataFrame, size: int | None = None) -> DataFrame:
+    """Adds ``manifest_ordinal``: the rows of earlier ranges and the place in the own one; up to ``size`` if given."""
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    if size is not None:
+        offsets = offsets.where(F.col("_before") < size)
+    place = F.row_number().over(Window.partitionBy("_range").orderBy("selection_rank", "source_index"))
+    ordinal = (F.col("_before") + F.col("_place")).cast("bigint")
+    numbered = dealt.join(offsets, "_range").withColumn("_place", place).withColumn("manifest_ordinal", ordinal)
+    kept = numbered if size is None else numbered.where(F.col("manifest_ordinal") <= size)
+    return kept.drop("_range", "_before", "_place")
 
 
 def checked_selection_size(problems: DataFrame, size: int) -> DataFrame:

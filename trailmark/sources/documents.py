@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions import strict
@@ -46,18 +46,20 @@ def json_problem(text: Column, parsed: Column) -> Column:
 
 
 def parse_objects(lines: DataFrame, strict_mode: bool) -> DataFrame:
-    """From (file_name, value) to (file_name, record[, problem]).
+    """From (file_name, value) to (file_name, record[, problem]); numbered lines keep their numbers.
 
     Strict mode fails the job on the first bad text; audit mode keeps it with its reason.
     """
     parsed = parse_exact(lines)
     flagged = parsed.withColumn("problem", json_problem(F.col("value"), F.col("record")))
+    placed = [c for c in ("line_number", "position") if c in lines.columns]
     if not strict_mode:
-        return flagged.select("file_name", "record", "problem", "value")
-    message = F.concat(F.col("problem"), F.lit(" in "), F.col("file_name"))
+        return flagged.select("file_name", *placed, "record", "problem", "value")
+    where = [F.lit(":"), F.col("line_number").cast("string")] if placed else []
+    message = F.concat(F.col("problem"), F.lit(" in "), F.col("file_name"), *where)
     # A filter, so that no column pruning can drop the check.
     stop = F.when(F.col("problem").isNotNull(), F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
-    return flagged.where(stop).select("file_name", "record")
+    return flagged.where(stop).select("file_name", *placed, "record")
 
 
 def read_json_files(spark: SparkSession, directory: str, strict_mode: bool = True) -> DataFrame:
@@ -73,6 +75,42 @@ def read_json_files(spark: SparkSession, directory: str, strict_mode: bool = Tru
     return parse_objects(lines, strict_mode)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file_name, line_number, position, value) of every line below ``path``, blank ones too, in physical order.
+
+    ``line_number`` counts in the file; ``position`` goes on through all files, by modification time, then path. A
+    task reads the lines of a split one after another, so a line's place in its split is its distance from the
+    split's first row; what lies before the split is a sum over splits. Texts are neither shuffled nor sorted:
+    the first pass counts, the second numbers, and a place outside of its split fails the job.
+    """
+    meta = lambda name: F.col(f"_metadata.{name}").alias(f"_{name}")
+
+    def scan() -> DataFrame:
+        found = spark.read.text(path).select(
+            "value", meta("file_path"), meta("file_name"), meta("file_modification_time"), meta("file_block_start")
+        )
+        return found.withColumn("_row", F.monotonically_increasing_id())
+
+    empty = "value string, _file_path string, _file_name string, _file_modification_time timestamp, _file_block_start long, _row long"
+    lines = read_or_empty(spark, scan, empty)
+    split = ["_file_path", "_file_block_start"]
+    sizes = lines.groupBy(*split, "_file_modification_time").agg(F.count("*").alias("_rows"), F.min("_row").alias("_first"))
+    in_file = Window.partitionBy("_file_path").orderBy("_file_block_start").rowsBetween(Window.unboundedPreceding, -1)
+    in_all = Window.orderBy("_file_modification_time", *split).rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    none = F.lit(0).cast("bigint")
+    offsets = sizes.select(
+        *split, "_rows", "_first", F.coalesce(F.sum("_rows").over(in_file), none).alias("_in_file"),
+        F.coalesce(F.sum("_rows").over(in_all), none).alias("_in_all"),
+    )
+    place = F.col("_row") - F.col("_first")
+    moved = F.raise_error(F.lit("the splits of the files changed between two passes")).cast("bigint")
+    placed = lines.join(offsets, split).withColumn("_place", F.when((place >= 0) & (place < F.col("_rows")), place + 1).otherwise(moved))
+    return placed.select(
+        F.col("_file_name").alias("file_name"), (F.col("_in_file") + F.col("_place")).alias("line_number"),
+        (F.col("_in_all") + F.col("_place")).alias("position"), "value",
+    )
+
+
 def read_json_lines(spark: SparkSession, path: str, strict_mode: bool = True) -> DataFrame:
     def scan() -> DataFrame:
         return spark.read.text(path).select(F.col("_metadata.file_name").alias("file_name"), "value")

@@ -6,25 +6,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.functions import strict
-from trailmark.sources.documents import parse_objects, read_json_lines, read_or_empty
+from trailmark.sources.documents import numbered_lines, parse_objects, read_json_lines, read_or_empty
 
 
-def read_ledger(spark: SparkSession, path: str, strict_mode: bool = True) -> DataFrame:
-    """Ledger events; order is the written ``seq``, since a parallel scan has no line order.
+def read_ledger(spark: SparkSession, path: str, strict_mode: bool = True, physical_order: bool = False) -> DataFrame:
+    """Ledger events; order is the written ``seq``, or with ``physical_order`` the place of the line.
 
-    In audit mode rejected lines are kept with their reason. In strict mode an event without
-    ``seq`` fails the job, as no replay could place it.
+    In audit mode rejected lines are kept with their reason. In strict mode an event without a written
+    ``seq`` fails the job, as no replay could place it, unless lines are numbered. Numbered events carry
+    ``file_name`` and ``line_number`` too, and a strict fault names both.
     """
-    lines = read_json_lines(spark, path, strict_mode)
+    lines = parse_objects(numbered_lines(spark, path), strict_mode) if physical_order else read_json_lines(spark, path, strict_mode)
     v = F.col("record")
-    if strict_mode:
+    if strict_mode and not physical_order:
         unplaced = F.raise_error(F.lit("ledger event without a whole number seq")).cast("boolean")
         lines = lines.where(F.when(strict.strict_int(v, "$.seq").isNotNull(), F.lit(True)).otherwise(unplaced))
     text = lambda key: strict.strict_string(v, f"$.{key}").alias(key)
     payload = lambda key: strict.strict_string(v, f"$.payload.{key}").alias(key)
-    audit = [] if strict_mode else ["problem", "value"]
+    audit = ["file_name", "line_number"] if physical_order else []
+    audit += [] if strict_mode else ["problem", "value"]
     return lines.select(
-        strict.strict_int(v, "$.seq").alias("seq"),
+        (F.col("position") if physical_order else strict.strict_int(v, "$.seq")).alias("seq"),
         F.to_timestamp(strict.strict_string(v, "$.timestamp_utc")).alias("timestamp_utc"),
         text("event_type"), text("intent_id"),
         payload("invocation_id"), payload("outcome"), payload("error_type"),
