@@ -118,6 +118,24 @@ SELECT o_orderkey, form, correct FROM (
     ]))), "n", "given").select("o_orderkey", "form", "evaluation.correct"))
 
 
+query("evaluate_long_fractions", """
+SELECT o_orderkey, form, correct FROM (
+  SELECT o_orderkey, unnest(['cancelled', 'halves', 'thirds', 'zero', 'text']) AS form,
+    unnest([TRUE, TRUE, o_orderkey % 3 = 0, FALSE, TRUE]) AS correct FROM orders) s""")(
+    lambda fx: grading.evaluate_pairs(fx.table("orders").select("o_orderkey", F.inline(F.array(*[
+        F.struct(F.lit(name).alias("form"), reference.alias("reference"), given.alias("given")) for name, reference, given in (
+            ("cancelled", F.concat(_key(), F.lit("/2")), F.concat(F.lit("\\boxed{\\frac{"), _key(), F.lit("0000000000000}{20000000000000}}"))),
+            ("halves", F.concat((F.col("o_orderkey") * 2 + 1).cast("string"), F.lit("/2")), F.concat(_key(), F.lit(".50000000"))),
+            ("thirds", F.concat(_key(), F.lit("0000000000000/3")), F.concat(F.floor(F.col("o_orderkey") / 3).cast("string"), F.lit("0000000000000.0000000"))),
+            ("zero", F.concat(_key(), F.lit("0000000000000/0")), F.concat(_key(), F.lit("0000000000001/0"))),
+            ("text", F.concat(_key(), F.lit("0000000000000/0")), F.concat(_key(), F.lit("0000000000000/0"))))
+    ]))), "reference", "given").select("o_orderkey", "form", "evaluation.correct"))
+
+
+def _key():
+    return F.col("o_orderkey").cast("string")
+
+
 def _forced_results(fx):
     """Returned forced completions with their parent's facts attached."""
     part = fx.table("part").select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import sys
+from fractions import Fraction
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -114,7 +115,7 @@ def normalise_answer(answer: Column) -> Column:
     return F.regexp_replace(plain, r"\.$", "")
 
 
-# At most 12 integer and 6 fractional digits, so that cross products stay exact.
+# At most 12 integer and 6 fractional digits, so that cross products stay exact; longer ones see same_long_fraction.
 _NUMBER = r"[+-]?(?:[0-9]{1,12}(?:\.[0-9]{1,6})?|\.[0-9]{1,6})"
 _RATIONAL = rf"^({_NUMBER})(?:/({_NUMBER}))?$"
 EXACT = "decimal(18,6)"
@@ -128,6 +129,43 @@ def rational_part(normalised: Column, group: int) -> Column:
     return F.nullif(F.coalesce(found, F.lit("1")).try_cast(EXACT), F.lit(0).cast(EXACT))
 
 
+_LONG_NUMBER = r"[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)"
+_LONG_RATIONAL = rf"^{_LONG_NUMBER}(?:/{_LONG_NUMBER})?$"
+
+
+def _value(text: str) -> Fraction | None:
+    above, _, below = text.partition("/")
+    divisor = Fraction(below or "1")
+    return Fraction(above) / divisor if divisor else None
+
+
+def _same_values(left: pd.Series, right: pd.Series) -> pd.Series:
+    sys.set_int_max_str_digits(0)  # answers of any length
+    known: dict[str, Fraction | None] = {}
+    found = []
+    for pair in zip(left, right):
+        if pair[0] is None or pair[1] is None:
+            found.append(None)
+            continue
+        for text in pair:
+            if text not in known:
+                known[text] = _value(text)
+        a, b = known[pair[0]], known[pair[1]]
+        found.append(None if a is None or b is None else a == b)
+    return pd.Series(found, dtype="boolean")
+
+
+def same_long_fraction(left: Column, right: Column, settled: Column) -> Column:
+    """Whether two numbers, one of them a fraction, are equal, for parts of any length.
+
+    Only pairs that are numbers and not ``settled`` by decimals reach Python; NULL for all others and where a
+    divisor is 0.
+    """
+    number = left.rlike(_LONG_RATIONAL) & right.rlike(_LONG_RATIONAL) & (F.contains(left, F.lit("/")) | F.contains(right, F.lit("/")))
+    open_ = number & settled.isNull()
+    return F.pandas_udf(_same_values, T.BooleanType())(F.when(open_, left), F.when(open_, right))
+
+
 def canonical_number(normalised: Column) -> Column:
     """An integer or decimal of any length as sign, digits and fraction without idle zeros; else NULL.
 

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.functions.answers import REASONS, canonical_number, extract_boxed, normalise_answer, rational_part
+from trailmark.functions.answers import (
+    REASONS, canonical_number, extract_boxed, normalise_answer, rational_part, same_long_fraction,
+)
 from trailmark.functions.labels import apply_eligibility, classify_transition
 from trailmark.functions.receipts import is_evaluated
 from trailmark.functions.strict import is_blank
@@ -66,7 +68,9 @@ def evaluate_pairs(
         )
         same_number = F.col("_a") * F.col("_d") == F.col("_c") * F.col("_b")
         same_digits = canonical_number(F.col("_left")) == canonical_number(F.col("_right"))
-        judged = parts.withColumn("_equal", F.coalesce(same_number, same_digits, F.col("_left") == F.col("_right")))
+        settled = parts.withColumn("_settled", F.coalesce(same_number, same_digits))
+        long = same_long_fraction(F.col("_left"), F.col("_right"), F.col("_settled"))
+        judged = settled.withColumn("_equal", F.coalesce("_settled", long, F.col("_left") == F.col("_right")))
     else:
         judged = plain.withColumn("_equal", equal(F.col(reference), F.col(candidate)))
     case = (
@@ -101,7 +105,7 @@ def evaluate_pairs(
         .when(outcome.isin("NO_VERDICT", "GRADED"), 1)
         .alias("parsed_candidate_count"),
     )
-    helpers = ("_extraction", "_left", "_right", "_a", "_b", "_c", "_d", "_equal", "_case")
+    helpers = ("_extraction", "_left", "_right", "_a", "_b", "_c", "_d", "_settled", "_equal", "_case")
     return known.withColumn("evaluation", evaluation).drop(*helpers)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trailmark.functions import strict
 from trailmark.operators.eligibility import read_eligibility
-from trailmark.sources.documents import read_json_files
+from trailmark.sources.documents import read_json_files, read_or_empty
 
 
 def read_receipts(spark: SparkSession, directory: str, strict_mode: bool = True) -> DataFrame:
@@ -93,10 +93,20 @@ def receipt_content_hash(receipts: DataFrame) -> DataFrame:
 def land_receipts(typed: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
     """Write typed receipts to Parquet once; later reports read only the columns they need.
 
-    Landing again replaces the folder, or the partitions that come again (name the run in
-    ``partition_by``), so a repeated landing doubles no receipt.
+    Name the run in ``partition_by``: landing again then replaces the partitions that come again, so a repeated
+    landing doubles no receipt and deletes no other. Without it a folder is landed once: a second landing of the
+    same receipts leaves it as it is, and one of other receipts fails instead of deleting the first.
     """
-    writer = typed.write.mode("overwrite").partitionBy(*partition_by)
     if partition_by:
-        writer = writer.option("partitionOverwriteMode", "dynamic")
-    writer.parquet(path)
+        writer = typed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy(*partition_by).parquet(path)
+        return
+    spark = typed.sparkSession
+    landed = read_or_empty(spark, lambda: spark.read.schema(typed.schema).parquet(path), typed.schema)
+    if landed.isEmpty():
+        typed.write.mode("append").parquet(path)
+        return
+    digest = F.xxhash64(F.to_json(F.struct(*sorted(typed.columns)), {"ignoreNullFields": "false"})).cast("decimal(20,0)")
+    sums = [df.agg(F.count("*").alias("rows"), F.sum(digest).alias("digest")).head() for df in (landed, typed)]
+    if sums[0] != sums[1]:
+        raise ValueError(f"{path} holds other receipts; name the run in partition_by to land beside them")
