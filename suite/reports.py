@@ -262,6 +262,24 @@ query("length_distribution", distribution(
     {"length_tokens": ("generated_token_count", "fx_rollouts WHERE status = 'COMPLETED'")}))(
     lambda fx: stages.length_distribution(fx.rollouts))
 
+# The exact total of doubles in units of 2 ** -62 as a HUGEINT; cut to 60 bits, with a bit for what is cut off, it
+# rounds once, to the nearest double.
+_UNITS = "sum(CAST(x * 4611686018427387904e0 AS HUGEINT))"
+_CUT = f"CAST(pow(2, greatest(0, CAST(floor(log2(greatest(CAST({_UNITS} AS DOUBLE), 1e0))) AS INTEGER) - 60)) AS HUGEINT)"
+_EXACT = (f"CAST(CAST({_UNITS} // {_CUT} AS BIGINT) | CASE WHEN {_UNITS} % {_CUT} <> 0 THEN 1 ELSE 0 END AS DOUBLE)"
+          f" * CAST({_CUT} AS DOUBLE) / 4611686018427387904e0")
+
+query("exact_distribution", f"""
+WITH t AS (
+  SELECT 'speed' AS metric, {_EXACT} AS total, count(*) AS n, min(x) AS lo, max(x) AS hi FROM (SELECT CAST(l_extendedprice AS DOUBLE) / (l_partkey + 1) AS x FROM lineitem) s
+  UNION ALL SELECT 'huge', CAST(sum(CAST(l_quantity AS HUGEINT)) * 10000000000000000 AS DOUBLE), count(*), min(CAST(l_quantity AS DOUBLE)) * 1e16, max(CAST(l_quantity AS DOUBLE)) * 1e16 FROM lineitem
+  UNION ALL SELECT 'tiny', count(*) * 3e-12, count(*), 3e-12, 3e-12 FROM lineitem
+  UNION ALL SELECT 'vast', count(*) * 1e300, count(*), 1e300, 1e300 FROM lineitem)
+SELECT metric, CAST(n AS BIGINT) AS count, total, total / CAST(n AS DOUBLE) AS mean, lo AS min, hi AS max FROM t""")(
+    lambda fx: stages.numeric_distribution(fx.table("lineitem"), {
+        "speed": F.col("l_extendedprice").cast("double") / (F.col("l_partkey") + 1), "huge": F.col("l_quantity").cast("double") * 1e16,
+        "tiny": F.lit(3e-12), "vast": F.lit(1e300)}).select("metric", "count", "total", "mean", "min", "max"))
+
 query("runtime_mean_median", """
 SELECT CAST(sum(CAST(elapsed_seconds AS DECIMAL(28,12))) AS DOUBLE) / CAST(count(elapsed_seconds) AS DOUBLE) AS mean_seconds,
   quantile_cont(elapsed_seconds, 0.5) AS median_seconds FROM fx_rollouts WHERE status = 'COMPLETED'""")(

@@ -18,6 +18,7 @@ from trailmark.functions.receipts import (
     normalise_evaluation,
     ratio,
 )
+from trailmark.operators.exact import exact_totals
 from trailmark.operators.quantiles import (
     median_ranks,
     nearest_rank_quantiles,
@@ -216,18 +217,18 @@ def _metric_values(df: DataFrame, metrics: dict[str, Column]) -> DataFrame:
 
 def _with_ranks(df: DataFrame, counts: DataFrame, metrics: dict[str, Column], ranks: dict[str, Column]) -> DataFrame:
     """One row per declared metric: count, total, min, max and the values at ``ranks``."""
-    # 15 + 10 value digits times 12 count digits fit a decimal(38,10) without rounding.
-    subtotal = F.col("value").cast("decimal(25,10)") * F.col("copies").cast("decimal(12,0)")
-    summary = counts.withColumn("subtotal", subtotal).groupBy("metric").agg(
+    summary = counts.groupBy("metric").agg(
         F.sum("copies").alias("count"),
-        F.sum("subtotal").cast("double").alias("total"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
+    totals = exact_totals(counts, ["metric"], "value", "copies")
     picked = values_at_ranks(counts, ranks)
     names = literal_rows(df.sparkSession, "metric", list(metrics), "string")
-    # Both sides hold at most one row per declared metric.
-    return names.join(F.broadcast(summary), "metric", "left").join(F.broadcast(picked), "metric", "left")
+    # Each side holds at most one row per declared metric.
+    for one in (summary, totals, picked):
+        names = names.join(F.broadcast(one), "metric", "left")
+    return names
 
 
 def numeric_distribution(df: DataFrame, metrics: dict[str, Column]) -> DataFrame:
