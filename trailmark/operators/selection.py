@@ -54,14 +54,18 @@ def selection_manifest(problems: DataFrame, seed: int, size: int) -> DataFrame:
 
     Only ids are ranked. Ranks are digests, so their first digits deal them into even ranges that are in order; the
     counts of the ranges tell which ranges the selection needs, and only their ids are shuffled and numbered. No
-    task sees more than one range. The texts of the selected rows are then fetched by joining the ids back, so only
+    task sees more than one range. Up to ``TOP_K`` rows are first cut by a top-k per task, which shuffles fewer ids
+    and selects the same rows. The texts of the selected rows are then fetched by joining the ids back, so only
     selected texts are hashed. Fewer rows than asked for fail the job when it runs.
     """
     if size <= 0:
         raise ValueError("manifest size must be positive")
     ranked = _dealt(selection_rank(problems.select("problem_id", "source_index"), seed))
     sizes = _range_sizes(ranked)
-    top = _numbered(ranked, sizes, size)
+    if size <= TOP_K:
+        top = manifest_ordinal(ranked.orderBy("selection_rank", "source_index").limit(size))
+    else:
+        top = _numbered(ranked, sizes, size)
     texts = problems.drop("problem_id")
     chosen = content_hashes(texts.join(top, "source_index")).select("manifest_ordinal", *MANIFEST_COLUMNS)
     return chosen.unionByName(_none_or_failure(sizes, size, chosen))
@@ -83,6 +87,7 @@ def manifest_ordinal(selected: DataFrame) -> DataFrame:
 
 
 RANGE_DIGITS = 3  # 16 ** 3 ranges
+TOP_K = 1000
 
 
 def _dealt(ranked: DataFrame) -> DataFrame:
