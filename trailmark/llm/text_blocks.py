@@ -4,8 +4,9 @@ A page is read once by a tokenizer for tags, comments and text. Block-level tags
 into flat blocks. Each block is described by its own word count and link density, those of the
 blocks before and after it, and what encloses it: how near the closest container is that is meant
 for content, and whether a container is meant for something else (by tag name, role or a word of
-its class or id). A decision tree, grown at start from the small labelled table ``LABELLED``,
-keeps or drops each block. Scripts, styles, forms, comments and markup never become blocks.
+its class or id), or only named by a word that may as well be its topic. A decision tree, grown at
+start from the small labelled table ``LABELLED``, keeps or drops each block. Scripts, styles, forms,
+comments and markup never become blocks.
 """
 
 from __future__ import annotations
@@ -53,6 +54,13 @@ OTHER_WORDS = frozenset(
 )
 OTHER_NAMES = frozenset("sign-up author-bio byline-box".split())  # words that count only together
 ASIDE_WORDS = frozenset("comment comments reply replies promo promos teaser teasers related".split())  # of an article that is not the page's
+# Of OTHER_WORDS those that may name a topic: as the id of a section or heading, or beside a class for content.
+TOPIC_WORDS = frozenset(
+    "discussion discussions tools links related response responses respond legal feedback search popular trending recommended "
+    "recommendation recommendations share shares sharing social meta tags rail side foot head bar alert alerts".split()
+)
+TITLED = frozenset("section h1 h2 h3 h4 h5 h6".split())
+TEASER_WORDS = frozenset("promo promos teaser teasers related".split())  # a page's only article is its own all the same
 LAYOUT = frozenset("has with no without".split())  # begin names that tell what else the page holds
 
 TOKEN = re.compile(
@@ -64,7 +72,8 @@ ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?
 PART = re.compile(r"[_\W]+|(?<=[a-z])(?=[A-Z])")
 SPACE = re.compile(r"\s+")
 
-NONE, CONTENT, OTHER, GONE = 0, 1, 2, 3
+NONE, CONTENT, OTHER, GONE, TOPIC, TEASER = range(6)
+PLACES = (CONTENT, OTHER, TOPIC, TEASER)  # roles that hold for what is inside, the nearest one first
 
 
 @dataclass
@@ -73,15 +82,18 @@ class Block:
     words: int
     linked: int
     content: bool  # inside a container for content
-    other: bool  # inside a container for something else, nearer than the one for content
+    other: float  # the nearest container is for something else: 1, may be: 0.5, is not: 0
     heading: bool
+    item: bool  # of a list
+    teaser: bool  # the nearest container is an article that seems to point to another page
 
 
 def _role(tag: str, attributes: str) -> int:
-    """What an element is for: nothing special, content, other matter, or not shown."""
+    """What an element is for: nothing special, content, other matter (surely or perhaps), a teaser, or not shown."""
     if tag in INVISIBLE:
         return GONE
     names: list[list[str]] = []
+    ids: list[list[str]] = []
     if attributes and ("=" in attributes or "hidden" in attributes.lower()):
         for name, value in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
@@ -91,39 +103,97 @@ def _role(tag: str, attributes: str) -> int:
                 if "display:none" in value.lower().replace(" ", ""):
                     return GONE
             elif name in ("class", "id", "role"):
-                names += [[p.lower() for p in PART.split(one) if p] for one in value.split()]
-    if tag in ("html", "body"):
+                (ids if name == "id" else names).extend([p.lower() for p in PART.split(one) if p] for one in value.split())
+    if tag in ("html", "body", "pre"):
         return NONE
     names = [parts for parts in names if parts and parts[0] not in LAYOUT]
-    words = {p for parts in names for p in parts}
+    ids = [parts for parts in ids if parts and parts[0] not in LAYOUT]
+    classes = {p for parts in names for p in parts}
+    words = classes | {p for parts in ids for p in parts}
     if tag in OTHER_TAGS:
         return OTHER
     if tag in CONTENT_TAGS:
-        return OTHER if words & ASIDE_WORDS else CONTENT
-    if words & OTHER_WORDS or any("-".join(pair) in OTHER_NAMES for parts in names for pair in zip(parts, parts[1:])):
+        aside = words & ASIDE_WORDS
+        return (TEASER if aside <= TEASER_WORDS else OTHER) if aside else CONTENT
+    other = words & OTHER_WORDS
+    if any("-".join(pair) in OTHER_NAMES for parts in names + ids for pair in zip(parts, parts[1:])):
         return OTHER
+    if other:
+        named = tag in TITLED and not classes & OTHER_WORDS
+        beside = any(CONTENT_WORDS.issuperset(parts) for parts in names)
+        return TOPIC if other <= TOPIC_WORDS and (named or beside) else OTHER
     return CONTENT if words & CONTENT_WORDS else NONE
 
 
+class _Open:
+    """Open elements, innermost last; what a block needs to know of them takes no walk."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int, int, int]] = []  # name ("" once closed early), role, nearest place, content containers
+        self.at: dict[str, list[int]] = {}  # name -> its places in the stack
+        self.outer: list[int] = []  # places of elements that are not inline
+        self.gone = self.links = 0
+
+    def place(self) -> int:
+        return self.stack[-1][2] if self.stack else NONE
+
+    def content(self) -> bool:
+        return bool(self.stack and self.stack[-1][3])
+
+    def add(self, tag: str, role: int) -> None:
+        if tag in ("p", "li"):
+            self._close_open(tag)
+        place = role if role in PLACES else self.place()
+        held = (self.stack[-1][3] if self.stack else 0) + (role == CONTENT)
+        self.at.setdefault(tag, []).append(len(self.stack))
+        if tag not in INLINE:
+            self.outer.append(len(self.stack))
+        self.stack.append((tag, role, place, held))
+        self.gone += role == GONE
+        self.links += tag == "a"
+
+    def end(self, tag: str) -> None:
+        """Close the innermost ``tag`` and all inside of it; an inline one only if nothing else is inside."""
+        if not self.at.get(tag):
+            return
+        depth = self.at[tag][-1]
+        if tag in INLINE and self.outer and self.outer[-1] > depth:
+            return
+        while len(self.stack) > depth:
+            name, role, _, _ = self.stack.pop()
+            if name:
+                self.at[name].pop()
+                if name not in INLINE:
+                    self.outer.pop()
+                self.gone -= role == GONE
+                self.links -= name == "a"
+
+    def _close_open(self, tag: str) -> None:
+        """Forget an open ``tag``, which never holds itself, if only inline elements lie above it."""
+        if self.at.get(tag) and self.outer[-1] == self.at[tag][-1] and self.stack[self.outer[-1]][1] == NONE:
+            self.at[tag].pop()
+            depth = self.outer.pop()
+            self.stack[depth] = ("", *self.stack[depth][1:])
+
+
 def blocks(page: str) -> list[Block]:
     """Flat text blocks in page order; white space inside a block is one space."""
     found: list[Block] = []
-    stack: list[tuple[str, int]] = []  # open elements with a role, and all others, by name
+    opened = _Open()
     held: list[str] = []
     linked: list[str] = []
-    links = gone = 0
     heading = False
+    teasers = 0
 
     def flush() -> None:
-        nonlocal heading
         if held:
             text = SPACE.sub(" ", html.unescape("".join(held))).strip()
             if text:
                 inner = SPACE.sub(" ", html.unescape(" ".join(linked))).split()
-                role = next((r for _, r in reversed(stack) if r in (CONTENT, OTHER)), NONE)
-                content = any(r == CONTENT for _, r in stack)
-                words = text.count(" ") + 1
-                found.append(Block(text, words, min(len(inner), words), content, role == OTHER, heading))
+                place, words = opened.place(), text.count(" ") + 1
+                other = {OTHER: 1.0, TEASER: 1.0, TOPIC: 0.5}.get(place, 0.0)
+                listed = bool(opened.at.get("li"))
+                found.append(Block(text, words, min(len(inner), words), opened.content(), other, heading, listed, place == TEASER))
             held.clear()
             linked.clear()
 
@@ -131,66 +201,45 @@ def blocks(page: str) -> list[Block]:
     while at < size:
         cut = page.find("<", at)
         cut = size if cut < 0 else cut
-        if cut > at and not gone:
+        if cut > at and not opened.gone:
             held.append(page[at:cut])
-            if links:
+            if opened.links:
                 linked.append(page[at:cut])
         if cut == size:
             break
         token = TOKEN.match(page, cut)
         if token is None:  # a bare "<" is text
-            if not gone:
+            if not opened.gone:
                 held.append("<")
             at = cut + 1
             continue
         at, tag = token.end(), (token[2] or "").lower()
         if not tag:
             continue
-        if not token[1]:
+        if tag not in INLINE:
+            flush()
+            heading = not token[1] and len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
+        if token[1]:
+            opened.end(tag)
+        elif tag in RAW:
+            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
+            at = end.end() if end else size
+        elif tag not in VOID and not token[3].endswith("/"):
             role = _role(tag, token[3])
-            if tag not in INLINE:
-                flush()
-                heading = len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
-            if tag in RAW:
-                end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
-                at = end.end() if end else size
-            elif tag not in VOID and not token[3].endswith("/"):
-                stack.append((tag, role))
-                gone += role == GONE
-                links += tag == "a"
-        else:
-            if tag not in INLINE:
-                flush()
-                heading = False
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-            if depth >= 0 and (tag not in INLINE or all(n in INLINE for n, _ in stack[depth:])):
-                for name, role in stack[depth:]:
-                    gone -= role == GONE
-                    links -= name == "a"
-                del stack[depth:]
-        if tag == "p" or tag == "li":  # both may be left open: they never hold themselves
-            _close_open(stack, tag, token[1])
+            teasers += role == TEASER
+            opened.add(tag, role)
     flush()
+    if teasers == 1 and not any(b.content and not b.other for b in found):  # the page's only article
+        for block in found:
+            if block.teaser:
+                block.content, block.other = True, 0.0
     return found
 
 
-def _close_open(stack: list[tuple[str, int]], tag: str, ending: str) -> None:
-    """Forget an earlier open ``tag`` under the one just opened, if only inline elements lie between."""
-    if ending or len(stack) < 2:
-        return
-    for i in range(len(stack) - 2, -1, -1):
-        if stack[i][0] == tag:
-            if stack[i][1] == NONE:
-                del stack[i]
-            return
-        if stack[i][0] not in INLINE:
-            return
-
-
-FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "content", "other", "page_has_content")
+FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "content", "other", "page_has_content", "heading")
 
-# Small labelled table: one block per row, FEATURES in order, then 1 for main text.
-LABELLED = np.array(
+# Small labelled table: one block per row, FEATURES in order but for the last, then 1 for main text.
+PLAIN = np.array(
     [
         # paragraphs of an article, long, short, first, last, with links
         (60, 0.0, 12, 0.0, 45, 0.0, 1, 0, 1, 1), (35, 0.1, 60, 0.0, 50, 0.0, 1, 0, 1, 1), (8, 0.0, 40, 0.0, 33, 0.0, 1, 0, 1, 1),
@@ -210,6 +259,12 @@ LABELLED = np.array(
         (40, 0.0, 2, 1.0, 10, 0.0, 0, 1, 1, 0), (25, 0.0, 50, 0.0, 30, 0.0, 1, 1, 1, 0), (60, 0.0, 45, 0.0, 50, 0.0, 1, 1, 1, 0),
         (6, 0.5, 50, 0.0, 3, 1.0, 1, 1, 1, 0), (4, 0.0, 40, 0.0, 0, 0.0, 0, 1, 1, 0), (90, 0.0, 4, 0.0, 70, 0.0, 0, 1, 0, 0),
         (50, 0.1, 6, 0.2, 20, 0.0, 0, 1, 0, 0), (1, 0.0, 3, 1.0, 40, 0.0, 0, 1, 0, 0), (15, 0.0, 1, 0.0, 12, 0.0, 1, 1, 1, 0),
+        # in the article, under a name that may be its topic: paragraphs are text, links and notes beside links are not
+        (40, 0.0, 30, 0.0, 35, 0.0, 1, 0.5, 1, 1), (2, 0.0, 30, 0.0, 40, 0.0, 1, 0.5, 1, 1), (12, 0.1, 3, 0.0, 0, 0.0, 1, 0.5, 1, 1),
+        (25, 0.2, 2, 0.0, 60, 0.0, 1, 0.5, 1, 1), (60, 0.0, 1, 0.0, 2, 1.0, 1, 0.5, 1, 1), (1, 0.0, 40, 0.0, 15, 0.0, 1, 0.5, 1, 1),
+        (3, 1.0, 2, 1.0, 4, 1.0, 1, 0.5, 1, 0), (2, 1.0, 40, 0.0, 3, 1.0, 1, 0.5, 1, 0), (2, 0.0, 40, 0.0, 3, 1.0, 1, 0.5, 1, 0),
+        (4, 0.9, 3, 1.0, 0, 0.0, 1, 0.5, 1, 0), (9, 0.7, 20, 0.0, 8, 0.8, 1, 0.5, 1, 0), (30, 0.0, 4, 1.0, 3, 0.0, 0, 0.5, 1, 0),
+        (40, 0.0, 30, 0.0, 20, 0.0, 0, 0.5, 0, 0), (3, 0.0, 25, 0.0, 40, 0.0, 0, 0.5, 0, 0), (15, 0.1, 9, 0.0, 9, 0.0, 0, 0.5, 1, 0),
         # outside of the article of a page that has one
         (30, 0.0, 4, 1.0, 30, 0.0, 0, 0, 1, 0), (8, 0.0, 1, 1.0, 6, 0.0, 0, 0, 1, 0), (3, 0.0, 60, 0.0, 0, 0.0, 0, 0, 1, 0),
         (45, 0.0, 3, 0.0, 60, 0.0, 0, 0, 1, 0), (25, 0.1, 35, 0.0, 30, 0.0, 0, 0, 1, 0), (90, 0.0, 70, 0.0, 80, 0.0, 0, 0, 1, 0),
@@ -228,10 +283,39 @@ LABELLED = np.array(
         (12, 0.7, 12, 0.8, 12, 0.9, 0, 0, 0, 0), (2, 0.0, 3, 1.0, 1, 0.0, 0, 0, 0, 0), (6, 0.0, 1, 0.0, 3, 0.6, 0, 0, 0, 0),
     ]
 )
+HEADINGS = np.array(
+    [
+        # of an article, above text, lists or other headings; above links only
+        (3, 0.0, 20, 0.0, 50, 0.0, 1, 0, 1, 1), (2, 0.0, 1, 0.0, 3, 0.0, 1, 0, 1, 1), (6, 0.0, 0, 0.0, 30, 0.1, 1, 0, 1, 1),
+        (4, 0.0, 60, 0.0, 8, 0.2, 1, 0, 1, 1), (1, 0.0, 2, 1.0, 40, 0.0, 1, 0, 1, 1), (8, 0.5, 3, 1.0, 60, 0.0, 1, 0, 1, 1),
+        (5, 1.0, 4, 1.0, 70, 0.0, 1, 0, 1, 1), (2, 0.0, 30, 0.0, 0, 0.0, 1, 0, 1, 1), (7, 0.1, 45, 0.0, 20, 0.0, 1, 0, 1, 1),
+        (3, 0.0, 30, 0.0, 40, 0.0, 1, 0.5, 1, 1), (2, 0.0, 40, 0.0, 6, 0.0, 1, 0.5, 1, 1), (1, 0.0, 20, 0.0, 25, 0.1, 1, 0.5, 1, 1),
+        (1, 0.0, 40, 0.0, 2, 1.0, 1, 0.5, 1, 0), (2, 0.0, 30, 0.0, 3, 1.0, 1, 0.5, 1, 0), (2, 0.0, 15, 0.0, 7, 0.9, 1, 0.5, 1, 0),
+        # of other matter, with and without an article on the page
+        (2, 0.0, 1, 1.0, 30, 0.0, 0, 1, 1, 0), (2, 0.0, 30, 0.0, 30, 0.0, 0, 1, 0, 0), (1, 0.0, 60, 0.0, 20, 0.0, 1, 1, 1, 0),
+        (3, 0.0, 40, 0.0, 50, 0.0, 1, 1, 1, 0), (4, 1.0, 2, 1.0, 3, 1.0, 0, 1, 0, 0), (2, 0.0, 0, 0.0, 60, 0.0, 0, 1, 0, 0),
+        (2, 0.0, 30, 0.0, 30, 0.0, 0, 0.5, 1, 0), (3, 0.0, 30, 0.0, 40, 0.0, 0, 0, 1, 0), (5, 0.0, 1, 1.0, 60, 0.0, 0, 0, 1, 0),
+        (4, 0.0, 2, 0.0, 20, 0.0, 0, 0, 1, 0), (1, 0.0, 30, 0.0, 0, 0.0, 0, 0, 1, 0), (6, 1.0, 20, 0.0, 30, 0.0, 0, 0, 1, 0),
+        # of pages that mark no article: above text they belong to it, above links or a few words they do not
+        (2, 0.0, 1, 1.0, 40, 0.0, 0, 0, 0, 1), (2, 0.0, 0, 0.0, 40, 0.0, 0, 0, 0, 1), (5, 0.0, 2, 1.0, 70, 0.1, 0, 0, 0, 1),
+        (9, 0.0, 3, 0.0, 25, 0.0, 0, 0, 0, 1), (1, 0.0, 3, 0.8, 28, 0.0, 0, 0, 0, 1), (4, 0.0, 30, 0.0, 90, 0.2, 0, 0, 0, 1),
+        (1, 0.0, 40, 0.0, 2, 1.0, 0, 0, 0, 0), (2, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0), (2, 1.0, 4, 0.0, 8, 0.0, 0, 0, 0, 0),
+        (3, 0.0, 4, 0.0, 2, 0.0, 0, 0, 0, 0), (4, 0.0, 50, 0.0, 0, 0.0, 0, 0, 0, 0), (2, 0.0, 30, 0.0, 30, 0.0, 0, 0.5, 0, 0),
+    ]
+)
+LABELLED = np.vstack([np.insert(PLAIN, -1, 0, axis=1), np.insert(HEADINGS, -1, 1, axis=1)])
 
 
 def grow(table: np.ndarray, depth: int = 6):
-    """Binary tree by Gini impurity: a leaf is the share of ones, a node (feature, threshold, left, right)."""
+    """Binary tree by Gini impurity: a leaf is the share of ones, a node (feature, threshold, left, right).
+
+    Headings, which are short, are set apart before the greedy splits, as these would part them from other
+    blocks by chance.
+    """
+    kind = len(FEATURES) - 1
+    headings = table[:, kind] > 0.5
+    if headings.any() and not headings.all():
+        return kind, 0.5, grow(table[~headings], depth), grow(table[headings], depth)
     x, y = table[:, :-1], table[:, -1]
     if depth == 0 or y.min() == y.max():
         return float(y.mean())
@@ -255,14 +339,25 @@ def is_main(tree, row: tuple) -> bool:
 
 
 def features(found: list[Block]) -> list[tuple]:
+    """One row per block. A heading's next block is the first that is none; the neighbours of a list's plain items are the list's."""
     marked = any(b.content and not b.other for b in found)
     sizes = [(b.words, b.linked / b.words) for b in found]
-    rows = []
-    for i, block in enumerate(found):
-        before = sizes[i - 1] if i else (0, 0.0)
-        after = sizes[i + 1] if i + 1 < len(sizes) else (0, 0.0)
-        rows.append((*sizes[i], *before, *after, int(block.content), int(block.other), int(marked)))
-    return rows
+    plain = [b.item and density < 0.5 for b, (_, density) in zip(found, sizes)]
+
+    def neighbours(order: range) -> list[tuple[int, float]]:
+        """The block met before each one in this order."""
+        met: list[tuple[int, float]] = [(0, 0.0)] * len(found)
+        last = None
+        for i in order:
+            if last is not None:
+                passed = plain[i] and plain[last] or order.step < 0 and found[i].heading and found[last].heading
+                met[i] = met[last] if passed else sizes[last]
+            last = i
+        return met
+
+    before, after = neighbours(range(len(found))), neighbours(range(len(found) - 1, -1, -1))
+    places = [(int(b.content), b.other, int(marked), int(b.heading)) for b in found]
+    return [(*size, *b, *a, *place) for size, b, a, place in zip(sizes, before, after, places)]
 
 
 def main_text(page: str, tree) -> tuple[str, int, int]:
