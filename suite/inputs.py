@@ -12,8 +12,10 @@ from trailmark.functions.receipts import failure_payload, memory_delta
 from trailmark.functions.tokens import (
     context_limit_exceeded, preserves_prefix, strip_prefix, termination_status,
 )
-from trailmark.operators import planning, selection, stages
+from trailmark.operators import manifest_out, planning, selection, stages
 from trailmark.operators.eligibility import read_eligibility
+from trailmark.operators.selection import MANIFEST_COLUMNS
+from trailmark.params import ManifestHeader
 from trailmark.plans.analysis import report_rows
 from trailmark.session import scratch_path
 from trailmark.sinks import writers
@@ -201,6 +203,62 @@ def _read_manifest(fx):
     return inputs.manifest_records(inputs.read_document(fx.spark, path))
 
 
+HEADER = ManifestHeader("protocol-1", "c" * 64, "data/set", "train", "rev-1", "hash-rank", SELECTION_SEED)
+_RECORD = " || ',' || ".join(
+    f"""'"{n}":' || {"CAST(source_index AS VARCHAR)" if n == "source_index" else f"'{chr(34)}' || {n} || '{chr(34)}'"}""" for n in sorted(MANIFEST_COLUMNS))
+
+
+def _tree(name: str, text: str) -> str:
+    """CTEs whose last, ``name``, is the digest of the manifest's texts in order, 1,024 children to a node."""
+    fold = lambda to, of: f"{to} AS (SELECT place // 1024 AS place, sha256(string_agg(node, '' ORDER BY place)) AS node FROM {of} GROUP BY 1)"
+    return f"""{name}_0 AS (SELECT manifest_ordinal - 1 AS place, sha256({text}) AS node FROM manifest),
+{fold(name + '_1', name + '_0')}, {fold(name + '_2', name + '_1')}, {fold(name + '_3', name + '_2')},
+{name} AS (SELECT sha256(string_agg(node, '' ORDER BY place)) AS digest FROM {name}_3)"""
+
+
+_HEADER_CTE = f"""{_tree('records', f"'{{' || {_RECORD} || '}}'")}, head AS (
+  SELECT '{{"config_hash":"{HEADER.config_hash}","dataset":{{"id":"data/set","observed_fingerprint":null,"requested_revision":null,"resolved_revision":"rev-1","selection_method":"hash-rank","selection_seed":{SELECTION_SEED},"split":"train"}},"records_digest":"'
+    || digest || '","schema_version":1,"selection_size":' || (SELECT CAST(count(*) AS VARCHAR) FROM manifest) || ',"study_protocol_id":"protocol-1"}}' AS header FROM records)"""
+
+query("manifest_document", f"WITH {_MANIFEST}, {_HEADER_CTE} SELECT header, sha256(header) AS manifest_hash FROM head")(
+    lambda fx: manifest_out.manifest_header(_manifest(fx), HEADER))
+
+query("campaign_identity", f"""
+WITH {_MANIFEST}, {_HEADER_CTE}, {_tree('ids', 'problem_id')}, {_tree('indexes', 'CAST(source_index AS VARCHAR)')}, scope AS (
+  SELECT sha256(header) AS manifest_hash, sha256('{{"checkpoint_token_positions":[{','.join(map(str, POSITIONS))}],"problem_ids":"' || (SELECT digest FROM ids)
+    || '","rollout_seeds":[{','.join(map(str, SEEDS))}],"selection_manifest_sha256":"' || sha256(header) || '","source_indexes":"' || (SELECT digest FROM indexes) || '"}}') AS campaign_scope_hash FROM head)
+SELECT manifest_hash, '{HEADER.config_hash}' AS config_hash, campaign_scope_hash, 'run-' || left(sha256('{{"campaign_scope_hash":"' || campaign_scope_hash
+  || '","config_hash":"{HEADER.config_hash}","manifest_hash":"' || manifest_hash || '"}}'), 20) AS run_id FROM scope""")(
+    lambda fx: manifest_out.campaign_identity(_manifest(fx), HEADER, SEEDS, POSITIONS))
+
+
+@query("write_manifest", f"WITH {_MANIFEST} SELECT *, CAST(NULL AS VARCHAR) AS field FROM manifest UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'dataset.split'")
+def _write_manifest(fx):
+    """Written twice and read back, with the header fields that differ from a configuration of another split."""
+    path = scratch_path(fx.spark, "manifest")
+    assert writers.write_manifest(_manifest(fx), HEADER, path) == writers.write_manifest(_manifest(fx), HEADER, path)
+    document, records = inputs.read_manifest(fx.spark, path)
+    expected = {"config_hash": HEADER.config_hash, "dataset.id": "data/set", "dataset.split": "test", "dataset.selection_seed": SELECTION_SEED}
+    return records.unionByName(inputs.manifest_header_violations(document, expected, records), allowMissingColumns=True)
+
+
+@query("manifest_header_violations", """
+SELECT field, CAST(count(*) AS BIGINT) AS n FROM (
+  SELECT 'config_hash' AS field FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT 'dataset.id' FROM customer WHERE c_mktsegment <> 'BUILDING'
+  UNION ALL SELECT 'dataset.resolved_revision' FROM customer WHERE c_custkey % 5 = 0
+  UNION ALL SELECT 'selection_size' FROM customer WHERE c_custkey % 7 <> 2) v GROUP BY 1""")
+def _manifest_header_violations(fx):
+    """One document per customer, with two records each."""
+    key = F.col("c_custkey")
+    document = F.struct(
+        F.when(key % 3 == 0, "other").otherwise("config").alias("config_hash"),
+        F.struct(F.col("c_mktsegment").alias("id"), F.when(key % 5 != 0, F.col("c_name")).otherwise("").alias("resolved_revision")).alias("dataset"),
+        (key % 7).alias("selection_size"), F.array(F.struct(key.alias("source_index")), F.struct(key.alias("source_index"))).alias("records"))
+    documents = fx.table("customer").select(F.lit("f").alias("file_name"), F.parse_json(F.to_json(document)).alias("record"))
+    found = inputs.manifest_header_violations(documents, {"config_hash": "config", "dataset.id": "BUILDING"})
+    return found.groupBy("field").agg(F.count("*").alias("n"))
+
+
 @query("verify_manifest", f"""
 WITH {_MANIFEST} SELECT CASE WHEN manifest_ordinal % 5 = 0 THEN source_index + 1000000 ELSE source_index END AS source_index,
   CASE WHEN manifest_ordinal % 5 = 0 THEN 'SOURCE_INDEX_OUT_OF_RANGE' ELSE 'MISMATCH:problem_sha256' END AS violation
@@ -243,7 +301,15 @@ def _read_runtime_contract(fx):
     return inputs.read_runtime_contract(fx.spark, path)
 
 
-query("artifact_disk_usage")(lambda fx: inputs.artifact_disk_usage(fx.spark, fx.sf_dir))
+@query("artifact_disk_usage", """
+SELECT CAST(sum(octet_length(encode(line)) + 1) AS BIGINT) AS bytes FROM (
+  SELECT replace(replace(text, chr(10), ' '), chr(13), ' ') AS line FROM documents) d""")
+def _artifact_disk_usage(fx):
+    """Texts written one per line, a folder for each language: their bytes and one for each line's end."""
+    path = scratch_path(fx.spark, "usage")
+    line = F.translate("text", "\n\r", "  ").alias("value")
+    fx.table("documents").select("lang", line).write.partitionBy("lang").text(path)
+    return inputs.artifact_disk_usage(fx.spark, path).select("bytes")
 
 # --- sinks -------------------------------------------------------------------
 

@@ -8,11 +8,13 @@ from suite.oracle_parts import (
     EVAL, POS, UNIQ, concentration, contrasts, distribution, facts, funnel, positions_of, rates,
 )
 from suite.registry import RAW_ORACLES, query
-from suite.views import POSITIONS
+from suite.views import MANIFEST_HASH, POSITIONS
 from trailmark.functions.labels import derived_code, label_of_code, verdict
 from trailmark.functions.receipts import normalise_evaluation
 from trailmark.operators import accounting, grading, planning, stages, summary, transitions
+from trailmark.params import RunContext
 from trailmark.plans.analysis import analysis_sections, report_rows
+from trailmark.plans.run_summary import receipts_digest, run_summary_sections
 from trailmark.session import materialise
 
 
@@ -484,6 +486,93 @@ def _analysis_report(fx):
     return report.withColumn("value", F.round(F.col("value").cast("double"), 4))
 
 
+# --- run summary -------------------------------------------------------------
+
+RUN = RunContext("run-1", MANIFEST_HASH, "c" * 64, "d" * 64)
+_TEXTS = ("rollout_id", "problem_id", "status", "final_status", "termination_status", "error_type", "eligibility_status")
+_OTHERS = ("rollout_seed", "final_correct", "generation_recorded", "generated_token_count", "elapsed_seconds", "peak_allocated_bytes",
+           "peak_reserved_bytes", "cuda_oom", "eligible")
+
+
+def _digest_sql(view: str, key: str, texts, others) -> str:
+    """The hash tree over the canonical JSON of whole rows, whose texts need no escapes."""
+    fields = {n: f"coalesce('\"' || {n} || '\"', 'null')" for n in texts} | {n: f"coalesce(CAST({n} AS VARCHAR), 'null')" for n in others}
+    fields["reason_codes"] = "CASE WHEN reason_code IS NULL THEN '[]' ELSE '[\"' || reason_code || '\"]' END"
+    record = " || ',' || ".join(f"'\"{n}\":' || {fields[n]}" for n in sorted(fields))
+    return f"""WITH leaf AS (SELECT sha256({key} || '|' || hash || '|' || CAST(count(*) AS VARCHAR)) AS node
+  FROM (SELECT {key}, sha256('{{' || {record} || '}}') AS hash FROM {view}) h GROUP BY {key}, hash),
+l1 AS (SELECT left(node, 4) AS slot, sha256(left(node, 4) || ':' || string_agg(node, '' ORDER BY node)) AS node FROM leaf GROUP BY 1),
+l2 AS (SELECT left(slot, 2) AS slot2, sha256(left(slot, 2) || ':' || string_agg(node, '' ORDER BY node)) AS node FROM l1 GROUP BY 1)
+SELECT sha256('root:' || string_agg(node, '' ORDER BY node)) AS digest, (SELECT CAST(count(*) AS BIGINT) FROM {view}) AS record_count FROM l2"""
+
+
+query("receipt_batch_digest_whole_rows", _digest_sql("fx_rollouts", "rollout_id", _TEXTS, _OTHERS))(
+    lambda fx: receipts_digest(fx.rollouts, "rollout_id"))
+
+_FORCED_TEXTS = (
+    "parent_rollout_id", "problem_id", "status", "availability_status", "forced_status", "own_ref_status", "own_observed_label",
+    "transition_label", "termination_status", "error_type", "eligibility_status", "final_ref_status", "observed_transition_label")
+_FORCED_OTHERS = (
+    "checkpoint_token", "forced_correct", "own_ref_correct", "generation_recorded", "generated_token_count", "elapsed_seconds",
+    "peak_allocated_bytes", "peak_reserved_bytes", "cuda_oom", "eligible", "final_ref_correct")
+query("receipt_batch_digest_whole_rows_forced", _digest_sql("fx_checkpoints", "parent_rollout_id", _FORCED_TEXTS, _FORCED_OTHERS))(
+    lambda fx: receipts_digest(fx.checkpoints, "parent_rollout_id"))
+
+_PLANNED = """SELECT DISTINCT problem_id, rollout_id FROM fx_rollouts
+UNION ALL SELECT 'p-' || CAST(c_custkey AS VARCHAR), 'planned-' || CAST(c_custkey AS VARCHAR) FROM customer"""
+
+
+def _planned_scope(fx):
+    """All rollouts and one more of every customer, most of them never run."""
+    customer = F.col("c_custkey").cast("string")
+    more = fx.table("customer").select(F.concat(F.lit("p-"), customer).alias("problem_id"), F.concat(F.lit("planned-"), customer).alias("rollout_id"))
+    return fx.rollouts.select("problem_id", "rollout_id").distinct().unionByName(more)
+
+
+def _run_summary_oracle() -> str:
+    totals = RAW_ORACLES["operational_summary"]
+    for name, column in (("problems_planned", "problem_id"), ("trajectories_planned", "rollout_id")):
+        totals = totals.replace(f"CAST(NULL AS BIGINT) AS {name}", f"(SELECT CAST(count(DISTINCT {column}) AS BIGINT) FROM ({_PLANNED}) p) AS {name}")
+    digest = _digest_sql("fx_rollouts", "rollout_id", _TEXTS, _OTHERS)
+    run = f"SELECT 'run-1' AS run_id, '{MANIFEST_HASH}' AS manifest_hash, '{RUN.config_hash}' AS config_hash, CAST(NULL AS VARCHAR) AS source_git_commit"
+    counts = lambda view, column, missing, name: f"SELECT coalesce({column}, '{missing}') AS {name}, count(*) AS n FROM {view} GROUP BY 1"
+    parts = [
+        ("run", run, (), ("run_id", "manifest_hash", "config_hash", "source_git_commit")),
+        ("trajectory_inputs", digest, (), ("digest", "record_count")),
+        ("checkpoint_inputs", _digest_sql("fx_checkpoints", "parent_rollout_id", _FORCED_TEXTS, _FORCED_OTHERS), (), ("digest", "record_count")),
+        ("totals", totals, (), (
+            "problems_attempted", "problems_completed", "problems_planned", "trajectories_planned", "trajectories_recorded",
+            "trajectories_completed", "checkpoints_recorded", "base_generated_tokens", "forced_generated_tokens", "total_generated_tokens",
+            "w_to_c", "w_to_w", "c_to_c", "c_to_w", "non_evaluable", "evaluation_errors", "failures", "interrupted_unknown",
+            "mean_seconds", "median_seconds", "peak_allocated_bytes", "peak_reserved_bytes")),
+        ("trajectory_status_counts", counts("fx_rollouts", "status", "UNKNOWN", "status"), ("status",), ("n",)),
+        ("checkpoint_receipt_status_counts", counts("fx_checkpoints", "status", "UNKNOWN", "status"), ("status",), ("n",)),
+        ("final_evaluation_status_counts", counts("fx_rollouts", "final_status", "NOT_RECORDED", "evaluation_status"), ("evaluation_status",), ("n",)),
+        ("checkpoint_evaluation_status_counts", counts("fx_checkpoints", "forced_status", "NOT_RECORDED", "evaluation_status"),
+         ("evaluation_status",), ("n",)),
+        ("failure_counts_by_kind", RAW_ORACLES["failure_counts_by_kind"], ("error_type",), ("n",)),
+        ("checkpoint_counts_by_position", RAW_ORACLES["availability_by_position"], ("checkpoint_token", "metric"), ("n",)),
+    ]
+    selects = []
+    for section, sql, keys, measures in parts:
+        key = f"concat_ws('/', {', '.join(f'CAST({k} AS VARCHAR)' for k in keys)})" if keys else "''"
+        texts = ", ".join(f"CAST({m} AS VARCHAR)" for m in measures)
+        selects.append(f"SELECT '{section}' AS section, {key} AS key, unnest({list(measures)}) AS metric, unnest([{texts}]) AS text FROM ({sql}) q")
+    every = " UNION ALL ".join(selects)
+    return f"""SELECT section, key, metric, round(TRY_CAST(text AS DOUBLE), 4) AS value,
+  CASE WHEN TRY_CAST(text AS DOUBLE) IS NULL THEN text END AS text FROM ({every}) r"""
+
+
+@query("run_summary", _run_summary_oracle())
+def _run_summary(fx):
+    """Numbers as doubles, other values as text."""
+    rollouts, checkpoints = materialise(fx.rollouts, "rollouts"), materialise(fx.checkpoints, "checkpoints")
+    sections = run_summary_sections(rollouts, checkpoints, _planned_scope(fx), POSITIONS, RUN)
+    number = F.col("value").try_cast("double")
+    return report_rows(sections).select("section", "key", "metric", F.round(number, 4).alias("value"),
+                                        F.when(number.isNull(), F.col("value")).alias("text"))
+
+
 # --- plans and children ------------------------------------------------------
 
 query("plan_validation", """

@@ -20,11 +20,12 @@ def _stack(parts: list[DataFrame]) -> DataFrame:
 
 def operational_summary(
     rollouts: DataFrame, checkpoints: DataFrame, planned_problems: int | None = None,
-    planned_rollouts: int | None = None,
+    planned_rollouts: int | None = None, planned: DataFrame | None = None,
 ) -> DataFrame:
     """One row: attempts, completions, tokens, transitions, faults, runtime, peak memory.
 
-    Token totals cover receipts of every status, as recorded.
+    Token totals cover receipts of every status, as recorded. What was planned is given as two numbers, or as
+    the plan itself (problem_id, rollout_id), whose distinct ids are counted.
     """
     done = is_completed()
     tokens = lambda: F.coalesce(F.sum("generated_token_count"), F.lit(0)).cast("bigint")
@@ -57,12 +58,20 @@ def operational_summary(
     distinct = rollouts.where(done).groupBy("rollout_id").agg(F.lit(1).alias("one")).agg(
         F.count("*").alias("trajectories_completed")
     )
-    row = _stack([base, forced, problems, distinct, runtime_mean_median(rollouts)])
+    scope = [] if planned is None else [
+        distinct_count(planned, "problem_id").withColumnRenamed("n", "problems_planned"),
+        distinct_count(planned, "rollout_id").withColumnRenamed("n", "trajectories_planned"),
+    ]
+    row = _stack([base, forced, problems, distinct, runtime_mean_median(rollouts), *scope])
+    if planned is None:
+        row = row.withColumns({
+            "problems_planned": F.lit(planned_problems).cast("bigint"),
+            "trajectories_planned": F.lit(planned_rollouts).cast("bigint"),
+        })
     add = lambda name: F.col(f"base_{name}") + F.col(f"forced_{name}")
     return row.select(
         "problems_attempted", "problems_completed",
-        F.lit(planned_problems).cast("bigint").alias("problems_planned"),
-        F.lit(planned_rollouts).cast("bigint").alias("trajectories_planned"),
+        "problems_planned", "trajectories_planned",
         "trajectories_recorded", "trajectories_completed", "checkpoints_recorded",
         "base_generated_tokens", "forced_generated_tokens",
         add("generated_tokens").alias("total_generated_tokens"),
@@ -77,6 +86,11 @@ def operational_summary(
     )
 
 
+def distinct_count(rows: DataFrame, name: str) -> DataFrame:
+    """One row, ``n``: the distinct values of a column that are not NULL, counted in two levels."""
+    return rows.where(F.col(name).isNotNull()).groupBy(name).agg(F.lit(1)).agg(F.count("*").alias("n"))
+
+
 def campaign_rates(rollouts: DataFrame, checkpoints: DataFrame) -> DataFrame:
     """Published ratios: conditional accuracy, non-evaluable shares, throughput."""
     paired = F.col("generated_token_count").isNotNull() & F.col("elapsed_seconds").isNotNull()

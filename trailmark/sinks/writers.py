@@ -7,7 +7,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.functions.identity import canonical_json
+from trailmark.operators.manifest_out import manifest_header
+from trailmark.operators.selection import MANIFEST_COLUMNS
 from trailmark.operators.summary import batch_digest
+from trailmark.params import ManifestHeader
 from trailmark.session import materialise
 from trailmark.sources.documents import read_or_empty
 
@@ -81,8 +84,9 @@ def report_digest(report: DataFrame) -> DataFrame:
 def write_summary(report: DataFrame, root: str) -> str:
     """Write a report under its own digest; the same report always lands at the same path.
 
-    The report is computed once, into the shared folder, before it is hashed. A folder
-    left by an interrupted write does not match its name and is written again.
+    The report is computed once, into the shared folder, before it is hashed. A folder left by an
+    interrupted write (without the commit's ``_SUCCESS``) is written again; a finished one whose content does not
+    match its name is an error and stays as it is.
     """
     spark: SparkSession = report.sparkSession
     report = materialise(report, "report")
@@ -92,6 +96,8 @@ def write_summary(report: DataFrame, root: str) -> str:
         stored = spark.read.schema(report.schema).parquet(path)
         if report_digest(stored).head()["digest"] == digest:
             return path
+        if _exists(spark, f"{path}/_SUCCESS"):
+            raise ConflictError(f"refusing to replace a report that differs from its name: {path}")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -99,6 +105,30 @@ def write_summary(report: DataFrame, root: str) -> str:
     return path
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place)
+
+
+def write_manifest(manifest: DataFrame, header: ManifestHeader, path: str) -> str:
+    """Write header and records once and return the manifest's hash; the same again is a no-op, another an error.
+
+    Records are JSON lines in manifest order over as many files as the rows need. The header is written
+    last: a folder without one was left by an interrupted write and is written anew.
+    """
+    spark, root = manifest.sparkSession, path.rstrip("/")
+    manifest = materialise(manifest.select("manifest_ordinal", *MANIFEST_COLUMNS), "manifest")
+    found = manifest_header(manifest, header).head()
+    if _exists(spark, f"{root}/header/_SUCCESS"):
+        if spark.read.text(f"{root}/header").head()["value"] != found["header"]:
+            raise ConflictError(f"refusing to replace an immutable manifest: {root}")
+        return found["manifest_hash"]
+    ordered = manifest.repartitionByRange("manifest_ordinal").sortWithinPartitions("manifest_ordinal")
+    ordered.write.mode("overwrite").option("ignoreNullFields", False).json(f"{root}/records")
+    spark.createDataFrame([(found["header"],)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/header")
+    return found["manifest_hash"]
+
+
 def append_ledger(events: DataFrame, path: str) -> None:
     """Append events (seq, event_type, intent_id, payload) as JSON lines with a UTC timestamp."""
     stamp = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()),

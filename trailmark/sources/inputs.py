@@ -115,8 +115,22 @@ def manifest_record_violations(records: DataFrame) -> DataFrame:
     return counted.withColumn("violation", violation).where(F.col("violation").isNotNull())
 
 
-def manifest_header_violations(documents: DataFrame, expected: dict[str, str | int]) -> DataFrame:
-    """Header fields (dotted paths) that differ from the configuration."""
+def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Header document and records of a manifest written by ``write_manifest``."""
+    kinds = "manifest_ordinal bigint, problem_id string, source_index bigint, selection_rank string, "
+    kinds += "problem_sha256 string, reference_answer_sha256 string, metadata_sha256 string"
+    root = path.rstrip("/")
+    records = read_or_empty(spark, lambda: spark.read.schema(kinds).option("mode", "FAILFAST").json(f"{root}/records"), kinds)
+    return read_document(spark, f"{root}/header"), records
+
+
+def manifest_header_violations(
+    documents: DataFrame, expected: dict[str, str | int], records: DataFrame | None = None
+) -> DataFrame:
+    """Header fields (dotted paths) that differ from the configuration.
+
+    The stored size is checked against the document's own list, or against ``records`` where they are a table.
+    """
     v = F.col("record")
 
     def check(path: str, value: str | int):
@@ -127,7 +141,10 @@ def manifest_header_violations(documents: DataFrame, expected: dict[str, str | i
     revision = strict.strict_string(v, "$.dataset.resolved_revision")
     checks.append(F.when(F.coalesce(revision, F.lit("")) == "", F.lit("dataset.resolved_revision")))
     size = strict.strict_int(v, "$.selection_size")
-    stored = F.size(F.try_variant_get(v, "$.records", "array<variant>")).cast("bigint")
+    if records is None:
+        stored = F.size(F.try_variant_get(v, "$.records", "array<variant>")).cast("bigint")
+    else:
+        stored = records.agg(F.count("*")).scalar()
     checks.append(F.when(~size.eqNullSafe(stored), F.lit("selection_size")))
     return documents.select(F.explode(F.array_compact(F.array(*checks))).alias("field"))
 
@@ -155,12 +172,13 @@ def read_runtime_contract(spark: SparkSession, path: str) -> DataFrame:
 
 
 def artifact_disk_usage(spark: SparkSession, root: str) -> DataFrame:
-    """Total bytes of all files below ``root``; only file lengths are read."""
-    files = read_or_empty(
-        spark,
-        lambda: spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("length"),
-        "length bigint",
-    )
-    return files.agg(
-        F.coalesce(F.sum("length"), F.lit(0)).cast("bigint").alias("bytes"), F.count("*").alias("files")
-    )
+    """Total bytes and number of all files below ``root``, hidden ones too; a missing folder holds none.
+
+    The file system is asked for its own summary of the folder, so no file is opened and no list of files
+    is gathered.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    found = system.getContentSummary(path) if system.exists(path) else None
+    counts = (found.getLength(), found.getFileCount()) if found else (0, 0)
+    return spark.createDataFrame([counts], "bytes bigint, files bigint")
