@@ -14,6 +14,8 @@ from trailmark.operators import grading, ledger, trajectory
 from trailmark.params import CampaignPlan
 from trailmark.plans.campaign import grade_forced
 from trailmark.session import scratch_path
+from trailmark.sinks import writers
+from trailmark.sources import inputs
 from trailmark.streaming import live
 
 # --- token arrays ------------------------------------------------------------
@@ -187,7 +189,19 @@ query("intent_states_physical", f"WITH {_STATES.format('fx_ledger')} SELECT inte
 query("interrupted_intents", f"""
 WITH {_STATES.format("fx_ledger_orders")} SELECT 'INTERRUPTED_UNKNOWN' AS event_type, intent_id, 'prior run ended without terminal receipt' AS reason
 FROM states WHERE state = 'STARTED_UNKNOWN'""")(
-    lambda fx: ledger.interrupted_intents(fx.view("fx_ledger_orders")))
+    lambda fx: ledger.interrupted_intents(fx.view("fx_ledger_orders")).select("event_type", "intent_id", "reason"))
+
+
+@query("interrupted_intents_appended", f"""
+WITH {_STATES.format("fx_ledger_orders")} SELECT CASE state WHEN 'STARTED_UNKNOWN' THEN 'INTERRUPTED_UNKNOWN' ELSE state END AS state,
+  CAST(count(*) AS BIGINT) AS n FROM states GROUP BY 1""")
+def _interrupted_intents_appended(fx):
+    """The ledger read again after the events of its dangling starts were appended."""
+    path = scratch_path(fx.spark, "ledger")
+    events = fx.view("fx_ledger_orders")
+    writers.append_ledger(events.withColumn("payload", F.parse_json(F.lit("{}"))), path)
+    writers.append_ledger(ledger.interrupted_intents(events), path)
+    return ledger.intent_states(inputs.read_ledger(fx.spark, path)).groupBy("state").agg(F.count("*").alias("n"))
 
 # Receipts exist for rollouts whose key is not a multiple of 17.
 _RECOVERY = _STATES.format("fx_ledger_orders") + """, rec AS (SELECT 'intent:' || rollout_id AS intent_id, CASE WHEN rollout_seed = 103 THEN 'ODD' ELSE status END AS receipt_status, count(*) AS n
@@ -259,20 +273,33 @@ def _stream(fx, table: str):
     return fx.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(fx.sf_dir)
 
 
-@query("stream_intent_states", f"""
-WITH {_STATES.format("fx_ledger")} SELECT intent_id, state, violation IS NOT NULL AS is_violation FROM states""")
-def _stream_intent_states(fx):
+def _event_stream(fx):
     kind = F.col("event_type")
     event = (
         F.when(kind == "signup", "INTENT_STARTED").when(kind == "purchase", "BASE_COMPLETED")
         .when(kind == "error", "BASE_FAILED").when(kind == "view", "INTERRUPTED_UNKNOWN").otherwise("NOTE"))
     intent = F.concat(F.lit("i-"), F.col("user_id").cast("string"), F.lit("-"), F.col("ts").cast("date").cast("string"))
-    events = _stream(fx, "events").select(F.col("event_id").alias("seq"), intent.alias("intent_id"), event.alias("event_type"))
+    return _stream(fx, "events").select(F.col("event_id").alias("seq"), intent.alias("intent_id"), event.alias("event_type"))
+
+
+@query("stream_intent_states", f"""
+WITH {_STATES.format("fx_ledger")} SELECT intent_id, state, violation IS NOT NULL AS is_violation FROM states""")
+def _stream_intent_states(fx):
+    events = _event_stream(fx)
     path = scratch_path(fx.spark, "intent-states")
     live.run_available(live.stream_intent_states(events), path, "update")
     return live.latest_updates(fx.spark, path, "intent_id")
 
 
+@query("stream_intent_histories", f"WITH {_STATES.format('fx_ledger')} SELECT intent_id, state, violation FROM states")
+def _stream_intent_histories(fx):
+    """The stream's answers after compaction, with the exact violation."""
+    path = scratch_path(fx.spark, "intent-histories")
+    live.run_available(live.stream_intent_histories(_event_stream(fx)), path, "update")
+    live.compact_updates(fx.spark, path, "intent_id")
+    return live.latest_updates(fx.spark, path, "intent_id")
+
+
 @query("stream_receipt_counts", """
 SELECT CAST(l_linenumber AS BIGINT) AS checkpoint_token, coalesce(nullif(l_linestatus, 'O'), 'UNKNOWN') AS status, CAST(count(*) AS BIGINT) AS n
 FROM lineitem GROUP BY 1, 2""")

@@ -11,7 +11,7 @@ from trailmark.vocab import STARTED_EVENT, TERMINAL_EVENT_STATES
 
 # A history is decided by its first three relevant events.
 DECIDING_EVENTS = 3
-_STATES = ("COMPLETED", "FAILED", "INTERRUPTED_UNKNOWN")
+STATES = ("COMPLETED", "FAILED", "INTERRUPTED_UNKNOWN")
 _START = 0
 INTERRUPTED_REASON = "prior run ended without terminal receipt"  # fixed value: it is recorded in ledgers
 
@@ -22,15 +22,15 @@ def event_code(event_type: Column) -> Column:
     Integer codes keep the replay in hash aggregation.
     """
     code = F.when(event_type == STARTED_EVENT, _START)
-    for number, state in enumerate(_STATES, start=1):
+    for number, state in enumerate(STATES, start=1):
         events = [e for e, s in TERMINAL_EVENT_STATES.items() if s == state]
         code = code.when(event_type.isin(*events), number)
     return code
 
 
 def state_name(code: Column) -> Column:
-    name = F.when(code == 1, _STATES[0])
-    for number, state in enumerate(_STATES[1:], start=2):
+    name = F.when(code == 1, STATES[0])
+    for number, state in enumerate(STATES[1:], start=2):
         name = name.when(code == number, state)
     return name
 
@@ -79,13 +79,16 @@ def intent_states(ledger: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def interrupted_intents(ledger: DataFrame) -> DataFrame:
-    """The INTERRUPTED_UNKNOWN event to append for every dangling start."""
+    """The INTERRUPTED_UNKNOWN event of every dangling start, numbered as ``append_ledger`` takes it."""
     dangling = intent_states(ledger).where(F.col("state") == "STARTED_UNKNOWN")
-    return dangling.select(
+    reason = F.lit(INTERRUPTED_REASON)
+    events = dangling.select(
         F.lit("INTERRUPTED_UNKNOWN").alias("event_type"),
         "intent_id",
-        F.lit(INTERRUPTED_REASON).alias("reason"),
+        reason.alias("reason"),
+        F.parse_json(F.to_json(F.struct(reason.alias("reason")))).alias("payload"),
     )
+    return numbered_after(events, ledger).select("seq", "event_type", "intent_id", "reason", "payload")
 
 
 def recovery_events(ledger: DataFrame, recovery: DataFrame, stage: str = "BASE") -> DataFrame:
@@ -145,7 +148,7 @@ def intent_receipt_recovery(states: DataFrame, receipts: DataFrame) -> DataFrame
         F.when(F.col("violation").isNotNull(), "ERROR_INVALID_HISTORY")
         .when(state.isNull(), "ERROR_RECEIPT_WITHOUT_INTENT")
         .when((state == "STARTED_UNKNOWN") & receipt.isNull(), "MARK_INTERRUPTED")
-        .when((state == "STARTED_UNKNOWN") & receipt.isin(*_STATES), F.concat(F.lit("RECOVER_"), receipt))
+        .when((state == "STARTED_UNKNOWN") & receipt.isin(*STATES), F.concat(F.lit("RECOVER_"), receipt))
         .when(state == "STARTED_UNKNOWN", "ERROR_UNSUPPORTED_RECEIPT_STATUS")
         .when(state.isin("COMPLETED", "FAILED") & receipt.isNull(), "ERROR_TERMINAL_WITHOUT_RECEIPT")
         .when(receipt.isNull(), "SYNTHESISE_INTERRUPTED_RECEIPT")

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
-from trailmark.operators.ledger import event_code, state_name
+from trailmark.operators.ledger import DECIDING_EVENTS, STATES, event_code, state_name
 
 
 def stream_intent_states(events: DataFrame) -> DataFrame:
     """State and validity per intent with constant state, for batch or streaming input.
 
-    The exact violation code needs the third event and is left to the batch replay. Events
+    The exact violation code needs the third event: :func:`stream_intent_histories` gives it. Events
     without ``seq`` come last and ties are decided as in the batch replay.
     """
     coded = events.where(F.col("intent_id").isNotNull()).withColumn("code", event_code(F.col("event_type")))
@@ -32,6 +37,46 @@ def stream_intent_states(events: DataFrame) -> DataFrame:
     return seen.select("intent_id", F.when(~invalid, state).alias("state"), invalid.alias("is_violation"))
 
 
+def stream_intent_histories(events: DataFrame) -> DataFrame:
+    """State and exact violation per intent of a stream, as the batch replay gives them once all has arrived.
+
+    An intent's state is its first three start or terminal events so far, in replay order, whatever order they
+    arrive in. A row is emitted only where a batch changes an intent's answer.
+    """
+    coded = events.where(F.col("intent_id").isNotNull()).select(
+        "intent_id", F.col("seq").cast("string").alias("seq"), event_code(F.col("event_type")).alias("code")
+    )
+    kept = ", ".join(f"seq{n} bigint, code{n} int" for n in range(DECIDING_EVENTS))
+    return coded.where(F.col("code").isNotNull()).groupBy("intent_id").applyInPandasWithState(
+        _replay, "intent_id string, state string, violation string", kept, "update", "NoTimeout"
+    )
+
+
+def _replay(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    known = state.getOption or ()
+    before = [event for event in zip(known[::2], known[1::2]) if event[1] is not None]
+    first = before
+    for frame in frames:
+        new = ((None if seq is None else int(seq), int(code)) for seq, code in zip(frame["seq"], frame["code"]))
+        first = heapq.nsmallest(DECIDING_EVENTS, [*first, *new], key=lambda e: (e[0] is None, e[0] or 0, e[1]))
+    padded = first + [(None, None)] * (DECIDING_EVENTS - len(first))
+    state.update(tuple(value for event in padded for value in event))
+    answer = _answer([code for _, code in first])
+    if not before or answer != _answer([code for _, code in before]):
+        yield pd.DataFrame({"intent_id": [key[0]], "state": [answer[0]], "violation": [answer[1]]})
+
+
+def _answer(codes: list[int]) -> tuple[str | None, str | None]:
+    """State and violation of a history's first three events, by the rules of the batch replay."""
+    if codes[0] != 0:
+        return None, "TERMINAL_WITHOUT_START"
+    if 0 in codes[1:]:
+        return None, "DUPLICATE_START"
+    if len(codes) == DECIDING_EVENTS:
+        return None, "DUPLICATE_TERMINAL"
+    return (STATES[codes[1] - 1] if len(codes) > 1 else "STARTED_UNKNOWN"), None
+
+
 def stream_receipt_counts(receipts: DataFrame) -> DataFrame:
     """Receipts per position and status; duplicates stay counted."""
     return receipts.groupBy(
@@ -60,11 +105,39 @@ def run_available(stream: DataFrame, path: str, output_mode: str) -> None:
 
 
 def latest_updates(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """Newest row per key of an update-mode output."""
+    """Newest row per key of an update-mode output: the last compacted table and the batches after it."""
+    return _newest(spark, path, key).drop("batch")
+
+
+def compact_updates(spark: SparkSession, path: str, key: str) -> None:
+    """Write the newest row per key as one table, so that later reads skip the batches it covers.
+
+    Batches stay as they are. An unfinished table has no ``_SUCCESS`` and is never read; compacting again
+    without new batches replaces nothing.
+    """
+    last = spark.read.parquet(f"{path}/rows").agg(F.max("batch")).head()[0]
+    if last is not None and last != _compacted(spark, path):
+        _newest(spark, path, key).write.mode("overwrite").parquet(f"{path}/compacted/upto-{last}")
+
+
+def _newest(spark: SparkSession, path: str, key: str) -> DataFrame:
     rows = spark.read.parquet(f"{path}/rows")
+    upto = _compacted(spark, path)
+    if upto is not None:
+        done = spark.read.parquet(f"{path}/compacted/upto-{upto}")
+        rows = rows.where(F.col("batch") > upto).unionByName(done)
     columns = [c for c in rows.columns if c not in (key, "batch")]
     newest = rows.groupBy(key).agg(F.max(F.struct("batch", *columns)).alias("newest"))
-    return newest.select(key, *[F.col(f"newest.{c}").alias(c) for c in columns])
+    return newest.select(key, "newest.batch", *[F.col(f"newest.{c}").alias(c) for c in columns])
+
+
+def _compacted(spark: SparkSession, path: str) -> int | None:
+    """The last batch that a finished compacted table covers."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/compacted")
+    system = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    names = [s.getPath().getName() for s in system.listStatus(folder)] if system.exists(folder) else []
+    finished = lambda name: system.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/compacted/{name}/_SUCCESS"))
+    return max((int(name.removeprefix("upto-")) for name in names if finished(name)), default=None)
 
 
 def latest_complete(spark: SparkSession, path: str) -> DataFrame:
