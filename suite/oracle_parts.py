@@ -145,3 +145,15 @@ def distribution(metrics: dict[str, tuple[str, str]]) -> str:
   {total} / nullif(CAST(count(x) AS DOUBLE), 0) AS mean, min(x) AS min, {quantiles}, max(x) AS max
 FROM (SELECT CAST({value} AS DOUBLE) AS x FROM {source}) s""")
     return "\nUNION ALL ".join(parts)
+
+
+def exact_total(x: str) -> str:
+    """The exact total of doubles, NULL without any.
+
+    Counted in units of 2 ** -62 as a HUGEINT; cut to 60 bits, with a bit for what is cut off, it rounds once, to the
+    nearest double.
+    """
+    units = f"sum(CAST(({x}) * 4611686018427387904e0 AS HUGEINT))"
+    cut = f"CAST(pow(2, greatest(0, CAST(floor(log2(greatest(CAST({units} AS DOUBLE), 1e0))) AS INTEGER) - 60)) AS HUGEINT)"
+    return (f"(CAST(CAST({units} // {cut} AS BIGINT) | CASE WHEN {units} % {cut} <> 0 THEN 1 ELSE 0 END AS DOUBLE)"
+            f" * CAST({cut} AS DOUBLE) / 4611686018427387904e0)")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from suite.oracle_parts import (
-    EVAL, POS, UNIQ, concentration, contrasts, distribution, facts, funnel, positions_of, rates,
+    EVAL, POS, UNIQ, concentration, contrasts, distribution, exact_total, facts, funnel, positions_of, rates,
 )
 from suite.registry import RAW_ORACLES, query
 from suite.views import MANIFEST_HASH, POSITIONS
@@ -179,11 +179,11 @@ SELECT CAST(count(*) FILTER (WHERE status = 'COMPLETED' AND generation_recorded
     query("generation_performance" + _suffix, f"""
 SELECT CAST(count(*) AS BIGINT) AS generations, CAST(coalesce(sum(generated_token_count), 0) AS BIGINT) AS token_total,
   CAST(count(generated_token_count) AS BIGINT) AS tokens_recorded,
-  CAST(coalesce(sum(CAST(elapsed_seconds AS DECIMAL(28,12))), 0) AS DOUBLE) AS elapsed_total,
+  coalesce({exact_total('elapsed_seconds')}, 0) AS elapsed_total,
   CAST(count(elapsed_seconds) AS BIGINT) AS elapsed_recorded,
   CAST(count(*) FILTER (WHERE generated_token_count IS NOT NULL AND elapsed_seconds IS NOT NULL) AS BIGINT) AS paired,
   CAST(count(*) FILTER (WHERE generated_token_count IS NOT NULL AND elapsed_seconds = 0) AS BIGINT) AS zero_elapsed,
-  CAST(sum(generated_token_count) AS DOUBLE) / nullif(CAST(sum(CAST(elapsed_seconds AS DECIMAL(28,12))) AS DOUBLE), 0) AS tokens_per_second
+  CAST(sum(generated_token_count) AS DOUBLE) / nullif({exact_total('elapsed_seconds')}, 0) AS tokens_per_second
 FROM {_view} WHERE status = 'COMPLETED' AND generation_recorded""")(
         lambda fx, get=_get: stages.generation_performance(get(fx)))
 
@@ -224,7 +224,7 @@ SELECT CAST(count(*) AS BIGINT) AS receipts,
   CAST(count(*) FILTER (WHERE generation_recorded) AS BIGINT) AS generations,
   CAST(sum(generated_token_count) FILTER (WHERE generation_recorded) AS BIGINT) AS token_total,
   CAST(count(generated_token_count) FILTER (WHERE generation_recorded) AS BIGINT) AS tokens_recorded,
-  CAST(sum(CAST(elapsed_seconds AS DECIMAL(28,12))) FILTER (WHERE generation_recorded) AS DOUBLE) AS elapsed_total,
+  {exact_total('CASE WHEN generation_recorded THEN elapsed_seconds END')} AS elapsed_total,
   CAST(count(elapsed_seconds) FILTER (WHERE generation_recorded) AS BIGINT) AS elapsed_recorded,
   CAST(count(*) FILTER (WHERE generation_recorded AND generated_token_count IS NOT NULL AND elapsed_seconds IS NOT NULL) AS BIGINT) AS paired,
   CAST(count(*) FILTER (WHERE generation_recorded AND elapsed_seconds = 0) AS BIGINT) AS zero_elapsed,
@@ -233,7 +233,7 @@ SELECT CAST(count(*) AS BIGINT) AS receipts,
   CAST(count(peak_allocated_bytes) FILTER (WHERE generation_recorded) AS BIGINT) AS allocated_measurements,
   CAST(count(peak_reserved_bytes) FILTER (WHERE generation_recorded) AS BIGINT) AS reserved_measurements,
   CAST(sum(generated_token_count) FILTER (WHERE generation_recorded) AS DOUBLE)
-    / CAST(sum(CAST(elapsed_seconds AS DECIMAL(28,12))) FILTER (WHERE generation_recorded) AS DOUBLE) AS tokens_per_second FROM {_view}""")(
+    / {exact_total('CASE WHEN generation_recorded THEN elapsed_seconds END')} AS tokens_per_second FROM {_view}""")(
         lambda fx, get=_get, st=_st, ok=_ok: stages.stage_overview(get(fx), st, ok))
 
     query("stage_counters" + _suffix, f"""
@@ -264,16 +264,9 @@ query("length_distribution", distribution(
     {"length_tokens": ("generated_token_count", "fx_rollouts WHERE status = 'COMPLETED'")}))(
     lambda fx: stages.length_distribution(fx.rollouts))
 
-# The exact total of doubles in units of 2 ** -62 as a HUGEINT; cut to 60 bits, with a bit for what is cut off, it
-# rounds once, to the nearest double.
-_UNITS = "sum(CAST(x * 4611686018427387904e0 AS HUGEINT))"
-_CUT = f"CAST(pow(2, greatest(0, CAST(floor(log2(greatest(CAST({_UNITS} AS DOUBLE), 1e0))) AS INTEGER) - 60)) AS HUGEINT)"
-_EXACT = (f"CAST(CAST({_UNITS} // {_CUT} AS BIGINT) | CASE WHEN {_UNITS} % {_CUT} <> 0 THEN 1 ELSE 0 END AS DOUBLE)"
-          f" * CAST({_CUT} AS DOUBLE) / 4611686018427387904e0")
-
 query("exact_distribution", f"""
 WITH t AS (
-  SELECT 'speed' AS metric, {_EXACT} AS total, count(*) AS n, min(x) AS lo, max(x) AS hi FROM (SELECT CAST(l_extendedprice AS DOUBLE) / (l_partkey + 1) AS x FROM lineitem) s
+  SELECT 'speed' AS metric, {exact_total('x')} AS total, count(*) AS n, min(x) AS lo, max(x) AS hi FROM (SELECT CAST(l_extendedprice AS DOUBLE) / (l_partkey + 1) AS x FROM lineitem) s
   UNION ALL SELECT 'huge', CAST(sum(CAST(l_quantity AS HUGEINT)) * 10000000000000000 AS DOUBLE), count(*), min(CAST(l_quantity AS DOUBLE)) * 1e16, max(CAST(l_quantity AS DOUBLE)) * 1e16 FROM lineitem
   UNION ALL SELECT 'tiny', count(*) * 3e-12, count(*), 3e-12, 3e-12 FROM lineitem
   UNION ALL SELECT 'vast', count(*) * 1e300, count(*), 1e300, 1e300 FROM lineitem)
@@ -282,8 +275,8 @@ SELECT metric, CAST(n AS BIGINT) AS count, total, total / CAST(n AS DOUBLE) AS m
         "speed": F.col("l_extendedprice").cast("double") / (F.col("l_partkey") + 1), "huge": F.col("l_quantity").cast("double") * 1e16,
         "tiny": F.lit(3e-12), "vast": F.lit(1e300)}).select("metric", "count", "total", "mean", "min", "max"))
 
-query("runtime_mean_median", """
-SELECT CAST(sum(CAST(elapsed_seconds AS DECIMAL(28,12))) AS DOUBLE) / CAST(count(elapsed_seconds) AS DOUBLE) AS mean_seconds,
+query("runtime_mean_median", f"""
+SELECT {exact_total('elapsed_seconds')} / CAST(count(elapsed_seconds) AS DOUBLE) AS mean_seconds,
   quantile_cont(elapsed_seconds, 0.5) AS median_seconds FROM fx_rollouts WHERE status = 'COMPLETED'""")(
     lambda fx: stages.runtime_mean_median(fx.rollouts))
 
@@ -366,7 +359,7 @@ WITH b AS (SELECT CAST(count(DISTINCT problem_id) AS BIGINT) AS problems_attempt
   CAST(sum(generated_token_count) AS BIGINT) AS bt, count(*) FILTER (WHERE final_status = 'NON_EVALUABLE') AS bn,
   count(*) FILTER (WHERE final_status = 'ERROR') AS be, count(*) FILTER (WHERE status = 'FAILED') AS bf,
   count(*) FILTER (WHERE status = 'INTERRUPTED_UNKNOWN') AS bi, max(peak_allocated_bytes) AS ba, max(peak_reserved_bytes) AS br,
-  CAST(sum(CASE WHEN status = 'COMPLETED' THEN CAST(elapsed_seconds AS DECIMAL(28,12)) END) AS DOUBLE)
+  {exact_total("CASE WHEN status = 'COMPLETED' THEN elapsed_seconds END")}
     / CAST(count(CASE WHEN status = 'COMPLETED' THEN elapsed_seconds END) AS DOUBLE) AS mean_seconds,
   quantile_cont(CASE WHEN status = 'COMPLETED' THEN elapsed_seconds END, 0.5) AS median_seconds FROM fx_rollouts),
 f AS (SELECT CAST(count(*) AS BIGINT) AS checkpoints_recorded, CAST(sum(generated_token_count) AS BIGINT) AS ft,
@@ -382,15 +375,15 @@ SELECT problems_attempted, problems_completed, CAST(NULL AS BIGINT) AS problems_
   mean_seconds, median_seconds, greatest(ba, fa) AS peak_allocated_bytes, greatest(br, fr) AS peak_reserved_bytes FROM b, f""")(
     lambda fx: summary.operational_summary(fx.rollouts, fx.checkpoints))
 
-query("campaign_rates", """
+query("campaign_rates", f"""
 WITH b AS (SELECT count(*) FILTER (WHERE status = 'COMPLETED') AS completed,
   count(*) FILTER (WHERE final_status = 'CORRECT' AND final_correct) AS correct,
   count(*) FILTER (WHERE (final_status = 'CORRECT' AND final_correct) OR (final_status = 'INCORRECT' AND NOT final_correct)) AS evaluable,
   count(*) FILTER (WHERE status = 'COMPLETED' AND final_status = 'NON_EVALUABLE') AS bn,
-  sum(generated_token_count) AS bt, sum(CAST(elapsed_seconds AS DECIMAL(28,12))) AS bs FROM fx_rollouts),
+  sum(generated_token_count) AS bt, {exact_total('elapsed_seconds')} AS bs FROM fx_rollouts),
 f AS (SELECT count(*) FILTER (WHERE availability_status = 'AVAILABLE') AS available,
   count(*) FILTER (WHERE availability_status = 'AVAILABLE' AND forced_status = 'NON_EVALUABLE') AS fn,
-  sum(generated_token_count) AS ft, sum(CAST(elapsed_seconds AS DECIMAL(28,12))) AS fs FROM fx_checkpoints)
+  sum(generated_token_count) AS ft, {exact_total('elapsed_seconds')} AS fs FROM fx_checkpoints)
 SELECT correct::DOUBLE / evaluable::DOUBLE AS conditional_accuracy, bn::DOUBLE / completed::DOUBLE AS base_non_evaluable_rate,
   fn::DOUBLE / available::DOUBLE AS forced_non_evaluable_rate, bt::DOUBLE / bs::DOUBLE AS base_tokens_per_second,
   ft::DOUBLE / fs::DOUBLE AS forced_tokens_per_second, (bt + ft)::DOUBLE / (bs + fs)::DOUBLE AS combined_tokens_per_second FROM b, f""")(
@@ -401,11 +394,11 @@ DEVICE_BYTES = 8589410304
 query("stage_gate", f"""
 WITH b AS (SELECT count(*) AS attempted, count(*) FILTER (WHERE cuda_oom OR status = 'INTERRUPTED_UNKNOWN') AS faults,
   count(*) FILTER (WHERE status = 'FAILED') AS failures, max(peak_reserved_bytes) AS peak,
-  CAST(sum(CAST(elapsed_seconds AS DECIMAL(28,12))) AS DOUBLE) AS s FROM fx_rollouts),
+  {exact_total('elapsed_seconds')} AS s FROM fx_rollouts),
 f AS (SELECT count(*) FILTER (WHERE availability_status = 'AVAILABLE') AS available,
   count(*) FILTER (WHERE cuda_oom OR status = 'INTERRUPTED_UNKNOWN') AS faults,
   count(*) FILTER (WHERE availability_status = 'AVAILABLE' AND status = 'FAILED') AS failures, max(peak_reserved_bytes) AS peak,
-  CAST(sum(CAST(elapsed_seconds AS DECIMAL(28,12))) AS DOUBLE) AS s FROM fx_checkpoints),
+  {exact_total('elapsed_seconds')} AS s FROM fx_checkpoints),
 m AS (SELECT CAST(b.failures AS BIGINT) AS base_failures, CAST(b.faults + f.faults AS BIGINT) AS faults,
   f.failures::DOUBLE / available::DOUBLE AS forced_failure_share, CAST({DEVICE_BYTES} - greatest(b.peak, f.peak) AS BIGINT) AS headroom_bytes,
   (b.s + f.s) / attempted::DOUBLE * 80 / 3600 AS projected_hours FROM b, f)

@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from trailmark.vocab import EVALUATED_STATUSES, NOT_RECORDED
 
-# Doubles are summed as decimals so a total does not depend on task order.
-SUMMABLE = "decimal(28,12)"
-
 
 def is_completed(status: Column = None) -> Column:
     status = F.col("status") if status is None else status
@@ -45,11 +42,6 @@ def memory_delta(after: Column, before: Column) -> Column:
     return after - before
 
 
-def exact_sum(value: Column) -> Column:
-    """Order-independent sum of doubles."""
-    return F.sum(value.cast(SUMMABLE)).cast("double")
-
-
 def count_where(condition: Column) -> Column:
     return F.count_if(condition).cast("bigint")
 

@@ -65,3 +65,29 @@ def exact_totals(df: DataFrame, keys: Sequence[str], value: str, copies: str) ->
     gathered = sums.groupBy(*keys).agg(F.collect_list(part).alias("_parts"), F.sum("_odd").alias("_odd"))  # 2,100 parts at most
     total = F.coalesce("_odd", F.pandas_udf(_rounded, "double")("_parts"))
     return gathered.select(*keys, total.alias("total"))
+
+
+def totals_with(df: DataFrame, value: str, totals: dict[str, Column], sums: Sequence[Column], maxima: Sequence[Column] = ()) -> DataFrame:
+    """One row: the exact sum of ``value`` over the rows of each condition in ``totals``, beside other aggregates.
+
+    ``sums`` are named counts and sums, 0 without rows; ``maxima`` are named maxima. All come from one scan: it is reduced
+    per power of two of the value first, to at most some 2,100 rows. A total without values is NULL; NaN and
+    infinite values give what their plain sum gives.
+    """
+    v = F.col(value).cast("double")
+    finite = ~F.isnan(v) & (F.abs(v) < float("inf"))
+    powers = df.withColumn("_power", F.when(v.isNotNull() & finite, _power(v)))
+    split = powers.withColumn("_multiple", _multiple(v, F.col("_power")).cast("decimal(28,0)"))
+    parts = [F.sum(F.when(c, F.col("_multiple"))).alias(f"_{i}_multiple") for i, c in enumerate(totals.values())]
+    odd = [F.sum(F.when(c & F.col("_power").isNull(), v)).alias(f"_{i}_odd") for i, c in enumerate(totals.values())]
+    reduced = split.groupBy("_power").agg(*sums, *maxima, *parts, *odd)
+    first = reduced.columns[1:]
+    summed, greatest = first[: len(sums)], first[len(sums) : len(sums) + len(maxima)]
+    part = lambda i: F.when(F.col(f"_{i}_multiple").isNotNull(), F.struct(F.col("_power").alias("power"), F.col(f"_{i}_multiple").alias("multiple")))
+    merged = reduced.agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in summed], *[F.max(c).alias(c) for c in greatest],
+        *[F.collect_list(part(i)).alias(f"_{i}_parts") for i in range(len(totals))], *[F.sum(f"_{i}_odd").alias(f"_{i}_odd") for i in range(len(totals))],
+    )
+    rounded = F.pandas_udf(_rounded, "double")
+    total = lambda i: F.coalesce(f"_{i}_odd", F.when(F.size(f"_{i}_parts") > 0, rounded(f"_{i}_parts")))
+    return merged.select(*summed, *greatest, *[total(i).alias(name) for i, name in enumerate(totals)])

@@ -11,14 +11,13 @@ from pyspark.sql import functions as F
 
 from trailmark.functions.receipts import (
     count_where,
-    exact_sum,
     failure_kind,
     is_completed,
     is_evaluated,
     normalise_evaluation,
     ratio,
 )
-from trailmark.operators.exact import exact_totals
+from trailmark.operators.exact import exact_totals, totals_with
 from trailmark.operators.quantiles import (
     median_ranks,
     nearest_rank_quantiles,
@@ -119,60 +118,55 @@ def termination_summary(receipts: DataFrame) -> DataFrame:
     return receipts.agg(*_termination_totals())
 
 
-def _generation_sums(usable: Column) -> list[Column]:
+def _generation_sums(usable: Column) -> tuple[list[Column], dict[str, Column]]:
+    """Counts and token sums, and the conditions of the two totals of elapsed time."""
     tokens = F.when(usable, F.col("generated_token_count"))
     elapsed = F.when(usable, F.col("elapsed_seconds"))
     paired = tokens.isNotNull() & elapsed.isNotNull()
-    return [
+    sums = [
         count_where(usable).alias("generations"),
-        F.coalesce(F.sum(tokens), F.lit(0)).cast("bigint").alias("token_total"),
+        F.sum(tokens).alias("token_total"),
         F.count(tokens).alias("tokens_recorded"),
-        F.coalesce(exact_sum(elapsed), F.lit(0.0)).alias("elapsed_total"),
         F.count(elapsed).alias("elapsed_recorded"),
         count_where(paired).alias("paired"),
         F.sum(F.when(paired, tokens)).alias("paired_tokens"),
-        exact_sum(F.when(paired, elapsed)).alias("paired_elapsed"),
         count_where(paired & (elapsed == 0)).alias("zero_elapsed"),
     ]
+    return sums, {"elapsed_total": elapsed.isNotNull(), "paired_elapsed": paired}
 
 
 def _with_throughput(sums: DataFrame) -> DataFrame:
     throughput = ratio(F.col("paired_tokens"), F.col("paired_elapsed"))
-    return sums.withColumn("tokens_per_second", throughput).drop("paired_tokens", "paired_elapsed")
+    known = sums.withColumns({"tokens_per_second": throughput, "elapsed_total": F.coalesce("elapsed_total", F.lit(0.0))})
+    return known.drop("paired_tokens", "paired_elapsed")
 
 
 def generation_performance(receipts: DataFrame) -> DataFrame:
-    """Token and time totals; aggregate throughput is a ratio of sums over paired rows."""
-    return _with_throughput(with_generation(receipts).agg(*_generation_sums(F.lit(True))))
+    """Token and time totals; aggregate throughput is a ratio of sums over paired rows. Times are summed exactly."""
+    sums, totals = _generation_sums(F.lit(True))
+    return _with_throughput(totals_with(with_generation(receipts), "elapsed_seconds", totals, sums))
 
 
-def _memory_peaks(usable: Column) -> list[Column]:
+def _memory_peaks(usable: Column) -> tuple[list[Column], list[Column]]:
+    """Maxima and counts of the two measures."""
     allocated = F.when(usable, F.col("peak_allocated_bytes"))
     reserved = F.when(usable, F.col("peak_reserved_bytes"))
-    return [
-        F.max(allocated).alias("peak_allocated_bytes"),
-        F.max(reserved).alias("peak_reserved_bytes"),
-        F.count(allocated).alias("allocated_measurements"),
-        F.count(reserved).alias("reserved_measurements"),
-    ]
+    maxima = [F.max(allocated).alias("peak_allocated_bytes"), F.max(reserved).alias("peak_reserved_bytes")]
+    return maxima, [F.count(allocated).alias("allocated_measurements"), F.count(reserved).alias("reserved_measurements")]
 
 
 def peak_memory(receipts: DataFrame) -> DataFrame:
-    return with_generation(receipts).agg(*_memory_peaks(F.lit(True)))
+    maxima, counts = _memory_peaks(F.lit(True))
+    return with_generation(receipts).agg(*maxima, *counts)
 
 
 def stage_overview(receipts: DataFrame, status: str, correct: str) -> DataFrame:
     """Every single-valued measure of a stage from one scan."""
     usable = is_completed() & F.col("generation_recorded")
-    sums = receipts.agg(
-        F.count("*").alias("receipts"),
-        *_evaluation_counts(status, correct),
-        *_failure_counts(),
-        *_termination_totals(),
-        *_generation_sums(usable),
-        *_memory_peaks(usable),
-    )
-    return _with_throughput(sums)
+    generation, totals = _generation_sums(usable)
+    maxima, measured = _memory_peaks(usable)
+    counts = [F.count("*").alias("receipts"), *_evaluation_counts(status, correct), *_failure_counts(), *_termination_totals()]
+    return _with_throughput(totals_with(receipts, "elapsed_seconds", totals, [*counts, *generation, *measured], maxima))
 
 
 def stage_counters(receipts: DataFrame, status: str) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.functions.receipts import count_where, exact_sum, is_completed, ratio
+from trailmark.functions.receipts import count_where, is_completed, ratio
+from trailmark.operators.exact import totals_with
 from trailmark.operators.stages import runtime_mean_median
 from trailmark.vocab import TRANSITION_LABELS
 
@@ -95,25 +96,22 @@ def campaign_rates(rollouts: DataFrame, checkpoints: DataFrame) -> DataFrame:
     """Published ratios: conditional accuracy, non-evaluable shares, throughput."""
     paired = F.col("generated_token_count").isNotNull() & F.col("elapsed_seconds").isNotNull()
     paired = paired & is_completed()
-    sums = lambda prefix: (
-        F.sum(F.when(paired, F.col("generated_token_count"))).alias(f"{prefix}_tokens"),
-        F.sum(F.when(paired, F.col("elapsed_seconds").cast("decimal(28,12)"))).alias(f"{prefix}_seconds"),
-    )
+    tokens = F.sum(F.when(paired, F.col("generated_token_count")))
     right = (F.col("final_status") == "CORRECT") & F.col("final_correct")
     wrong = (F.col("final_status") == "INCORRECT") & ~F.col("final_correct")
-    base = rollouts.agg(
+    base = totals_with(rollouts, "elapsed_seconds", {"base_seconds": paired}, [
         count_where(is_completed()).alias("completed"),
         count_where(right).alias("correct"),
         count_where(right | wrong).alias("evaluable"),
         count_where(is_completed() & (F.col("final_status") == "NON_EVALUABLE")).alias("base_non_evaluable"),
-        *sums("base"),
-    )
+        tokens.alias("base_tokens"),
+    ])
     available = F.col("availability_status") == "AVAILABLE"
-    forced = checkpoints.agg(
+    forced = totals_with(checkpoints, "elapsed_seconds", {"forced_seconds": paired}, [
         count_where(available).alias("available"),
         count_where(available & (F.col("forced_status") == "NON_EVALUABLE")).alias("forced_non_evaluable"),
-        *sums("forced"),
-    )
+        tokens.alias("forced_tokens"),
+    ])
     row = _stack([base, forced])
     nothing = F.lit(0)
     total = lambda name: F.coalesce(F.col(f"base_{name}"), nothing) + F.coalesce(F.col(f"forced_{name}"), nothing)
@@ -139,21 +137,17 @@ def stage_gate(
 ) -> DataFrame:
     """The four extension criteria of a finished first stage, as one row of booleans."""
     faults = lambda: count_where(F.coalesce(F.col("cuda_oom"), F.lit(False)) | (F.col("status") == "INTERRUPTED_UNKNOWN"))
-    base = rollouts.agg(
+    base = totals_with(rollouts, "elapsed_seconds", {"base_seconds": is_completed()}, [
         F.count("*").alias("attempted"),
         faults().alias("base_faults"),
         count_where(F.col("status") == "FAILED").alias("base_failures"),
-        F.max("peak_reserved_bytes").alias("base_peak"),
-        exact_sum(F.when(is_completed(), F.col("elapsed_seconds"))).alias("base_seconds"),
-    )
+    ], [F.max("peak_reserved_bytes").alias("base_peak")])
     available = F.col("availability_status") == "AVAILABLE"
-    forced = checkpoints.agg(
+    forced = totals_with(checkpoints, "elapsed_seconds", {"forced_seconds": is_completed()}, [
         count_where(available).alias("available"),
         faults().alias("forced_faults"),
         count_where(available & (F.col("status") == "FAILED")).alias("forced_failures"),
-        F.max("peak_reserved_bytes").alias("forced_peak"),
-        exact_sum(F.when(is_completed(), F.col("elapsed_seconds"))).alias("forced_seconds"),
-    )
+    ], [F.max("peak_reserved_bytes").alias("forced_peak")])
     row = _stack([base, forced])
     spent = F.coalesce("base_seconds", F.lit(0.0)) + F.coalesce("forced_seconds", F.lit(0.0))
     share = F.coalesce(ratio(F.col("forced_failures"), F.col("available")), F.lit(0.0))
