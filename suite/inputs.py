@@ -333,7 +333,7 @@ def _append_once_store(fx):
     orders = fx.table("orders").select("o_orderkey", "o_orderstatus", "o_custkey")
     writers.append_once(orders.where(F.col("o_custkey") % 2 == 0), path, "o_orderkey")
     writers.append_once(orders.unionByName(orders.where(F.col("o_orderkey") % 97 == 0)), path, "o_orderkey")
-    return fx.spark.read.parquet(path)
+    return writers.read_store(fx.spark, path)
 
 
 @query("write_summary", """

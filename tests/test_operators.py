@@ -193,6 +193,30 @@ def test_append_once(spark, tmp_path):
     with pytest.raises(writers.ConflictError):
         writers.append_once(spark.createDataFrame([("a", 9), ("d", 4)], "id string, n int"), store, "id")
     assert spark.read.parquet(store).count() == 3
+    assert writers.read_store(spark, store).columns == ["id", "n"]
+
+
+def test_append_once_edges(spark, tmp_path):
+    store, schema = str(tmp_path / "store"), "id long, payload string"
+    writers.append_once(spark.createDataFrame([], schema), store, "id")
+    writers.append_once(spark.createDataFrame([(1, None), (2, "")], schema), store, "id")
+    writers.append_once(spark.createDataFrame([(2, "")] * 3 + [(3, "é")], schema), store, "id")
+    assert keyed(writers.read_store(spark, store), "id", "payload") == {1: None, 2: "", 3: "é"}
+    for rows_ in ([(1, "")], [(4, "a"), (4, "b")]):
+        with pytest.raises(writers.ConflictError):
+            writers.append_once(spark.createDataFrame(rows_, schema), store, "id")
+    with pytest.raises(ValueError, match="without id"):
+        writers.append_once(spark.createDataFrame([(None, "x"), (9, "y")], schema), store, "id")
+    with pytest.raises(ValueError, match="may not have"):
+        writers.append_once(spark.createDataFrame([(5, 1)], "id long, _bucket int"), store, "id")
+    assert writers.read_store(spark, store).count() == 3
+
+
+def test_files_that_no_append_wrote_are_not_doubled(spark, tmp_path):
+    path = str(tmp_path / "plain")
+    spark.createDataFrame([(1, "x")], "id long, payload string").write.parquet(path)
+    with pytest.raises(writers.ConflictError):
+        writers.append_once(spark.createDataFrame([(1, "x")], "id long, payload string"), path, "id")
 
 
 def test_ledger_round_trip_and_rejects(spark, tmp_path):

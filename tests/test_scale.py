@@ -6,6 +6,7 @@ from suite.views import Fixtures
 from trailmark.functions.receipts import is_completed
 from trailmark.operators import ledger, selection, stages, summary, transitions
 from trailmark.operators.skew import hot_keys, salted_left_join
+from trailmark.sinks import writers
 
 SF = "/root/testdata/sf0.001"
 
@@ -108,3 +109,19 @@ def test_no_cross_joins_in_reports(spark):
     ):
         plan = plan_of(df)
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_an_append_reads_ids_and_hashes_of_its_own_folders_only(spark, tmp_path):
+    path = str(tmp_path / "store")
+    records = spark.range(5000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("payload"))
+    writers.append_once(records, path, "id")
+    assert 1 < spark.read.parquet(path).select(writers.BUCKET).distinct().count() <= writers.BUCKETS
+    wanted = records.where("id < 3")
+    buckets = [r["b"] for r in wanted.select(writers.bucket_of("id").alias("b")).distinct().collect()]
+    stored = writers.stored_versions(spark, path, records, "id", buckets)
+    plan = plan_of(stored)
+    assert "PartitionFilters: [(_bucket" in plan and f"ReadSchema: struct<id:bigint,{writers.CONTENT_HASH}:string>" in plan
+    read = {f for f, in stored.select(F.input_file_name()).distinct().collect()}
+    assert len(read) <= len(buckets) and {int(f.split("_bucket=")[1].split("/")[0]) for f in read} == set(buckets)
+    writers.append_once(records.where("id >= 4990").unionByName(spark.range(5000, 5010).select("id", F.lit("new").alias("payload"))), path, "id")
+    assert writers.read_store(spark, path).count() == 5010

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trailmark.functions.identity import canonical_json
 from trailmark.operators.manifest_out import manifest_header
@@ -24,18 +25,28 @@ def content_hash(columns: list[str]) -> Column:
     return F.sha2(canonical_json(F.struct(*sorted(columns))), 256)
 
 
+# What a store adds to its records: the hash of the rest, and the folder that an id belongs to.
+CONTENT_HASH = "_content_hash"
+BUCKET = "_bucket"
+BUCKETS = 32  # the most folders that Spark lists without a job
+
+
+def _versions(records: DataFrame, key: str) -> DataFrame:
+    """(id, hash) of records; those of a store carry their hash."""
+    own = [c for c in records.columns if c not in (CONTENT_HASH, BUCKET)]
+    known = F.col(CONTENT_HASH) if CONTENT_HASH in records.columns else content_hash(own)
+    return records.select(F.col(key).alias("id"), known.alias("hash"))
+
+
 def append_once_status(incoming: DataFrame, existing: DataFrame, key: str) -> DataFrame:
     """Per id: APPEND, UNCHANGED or CONFLICT.
 
     Both sides are tagged and counted per (id, content hash), so repeated copies
     collapse before the shuffle and no join is needed.
     """
-    hashed = lambda df, side: df.select(
-        F.col(key).alias("id"), content_hash(df.columns).alias("hash"), F.lit(side).alias("side")
-    )
     versions = (
-        hashed(incoming, 1)
-        .unionByName(hashed(existing, 2))
+        _versions(incoming, key).withColumn("side", F.lit(1))
+        .unionByName(_versions(existing, key).withColumn("side", F.lit(2)))
         .groupBy("id", "hash")
         .agg(F.max((F.col("side") == 1).cast("int")).alias("is_new"),
              F.max((F.col("side") == 2).cast("int")).alias("is_old"))
@@ -51,24 +62,50 @@ def append_once_status(incoming: DataFrame, existing: DataFrame, key: str) -> Da
     return ids.where(F.col("is_new") == 1).select("id", status.alias("status"))
 
 
+def bucket_of(key: str) -> Column:
+    """Folder of an id; an id has the same one whatever the type of its column."""
+    return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(BUCKETS)).cast("int")
+
+
+def stored_versions(spark: SparkSession, path: str, like: DataFrame, key: str, buckets: list[int]) -> DataFrame:
+    """Ids and content hashes in some folders of a store: the other folders and columns are not read.
+
+    Files that no folder holds were not written by :func:`append_once`; they have no hash, so their ids conflict.
+    """
+    schema = T.StructType([like.schema[key], T.StructField(CONTENT_HASH, T.StringType()), T.StructField(BUCKET, T.IntegerType())])
+    stored = read_or_empty(spark, lambda: spark.read.schema(schema).parquet(path), schema)
+    return stored.where(F.col(BUCKET).isin(buckets) | F.col(BUCKET).isNull()).select(key, F.coalesce(CONTENT_HASH, F.lit("")).alias(CONTENT_HASH))
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """The records of a store, as they were appended."""
+    return spark.read.parquet(path).drop(CONTENT_HASH, BUCKET)
+
+
 def append_once(incoming: DataFrame, path: str, key: str) -> None:
-    """Append records whose id is new; same content is a no-op, different content an error.
+    """Append records whose id is new; same content is a no-op, different content or no id an error.
 
-    Stored records are reduced to the incoming ids before any content is hashed.
+    Records lie in folders by a hash of their id, beside their content hash. An append computes the incoming
+    records once, and of the store it reads only ids and hashes in the folders that its own ids fall into. An append that
+    was cut off can be repeated: what it has written counts as unchanged.
     """
-    spark = incoming.sparkSession
-    existing = read_or_empty(
-        spark, lambda: spark.read.schema(incoming.schema).parquet(path), incoming.schema
-    )
-    touched = existing.join(incoming.select(key).distinct(), key, "left_semi")
-    status = append_once_status(incoming, touched, key)
-    conflicts = status.where(F.col("status") == "CONFLICT")
-    sample = conflicts.head()
+    spark, columns = incoming.sparkSession, incoming.columns
+    if {CONTENT_HASH, BUCKET} & set(columns):
+        raise ValueError(f"records may not have columns {CONTENT_HASH} and {BUCKET}")
+    hashed = incoming.withColumns({CONTENT_HASH: content_hash(columns), BUCKET: bucket_of(key)})
+    hashed = materialise(hashed, "append")
+    buckets = [r[BUCKET] for r in hashed.select(BUCKET).distinct().collect()]  # BUCKETS and a NULL at most
+    if None in buckets:
+        raise ValueError(f"records without {key}")
+    stored = stored_versions(spark, path, incoming, key, buckets)
+    status = materialise(append_once_status(hashed, stored, key), "append_status")
+    sample = status.where(F.col("status") == "CONFLICT").head()
     if sample is not None:
         raise ConflictError(f"refusing to replace an immutable record: {sample['id']}")
     new_ids = status.where(F.col("status") == "APPEND").select(F.col("id").alias(key))
-    fresh = incoming.dropDuplicates([key]).join(new_ids, key, "left_semi")
-    fresh.select(*incoming.columns).write.mode("append").parquet(path)
+    fresh = hashed.join(new_ids, key, "left_semi").dropDuplicates([key]).select(*columns, CONTENT_HASH, BUCKET)
+    # One file a folder, or more where a folder gets much: the runtime planner splits and merges by size.
+    fresh.hint("rebalance", BUCKET).write.mode("append").partitionBy(BUCKET).parquet(path)
 
 
 REPORT_KEYS = ("section", "key", "metric")
