@@ -8,14 +8,16 @@ within ``WINDOW`` words of e, the term discloses e by
     PMI(e, t) = ln(N * n(e, t) / (n(e) * n(t)))     against     IC(e) = ln(N / n(e)).
 
 A term that reveals more than the share ``GENERALISE`` of the entity's information is replaced
-by a general word, above ``REMOVE`` it is removed. A pair must be seen together in ``SUPPORT``
-texts, so a word that stood once beside a value is not taken for a clue. All counts cover the
-whole corpus; they are reduced per task and by key, and the pairs are limited to windows round
+by a general word, above ``REMOVE`` it is removed. A pair must be no chance: if the texts of e held
+t as often as any text does, n(e, t) of them would do so with a probability of ``SIGNIFICANCE``
+at most (Chernoff's bound). A value of one text is judged too: a word beside it counts unless it is
+in more than that share of all texts. All counts cover the whole corpus; they are reduced per task and by key, and the pairs are limited to windows round
 entities, so they grow with the mentions and not with the square of a text.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -29,7 +31,7 @@ from trailmark.llm.shared import batches, map_text, materialise
 from trailmark.llm.spans import Span, digest, joined
 
 WINDOW = 8
-SUPPORT = 3
+SIGNIFICANCE = 1e-3  # largest chance that a pair met by accident
 GENERALISE = 0.5
 REMOVE = 0.8
 MAX_COUNTED = 200_000  # distinct terms of a task between two partial results
@@ -186,21 +188,26 @@ def term_frequencies(docs: DataFrame) -> DataFrame:
     return counted.groupBy("term").agg(F.sum("n").alias("texts"))
 
 
-def disclosures(found: DataFrame, docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
+def disclosures(found: DataFrame, docs: DataFrame, significance: float = SIGNIFICANCE, generalise: float = GENERALISE) -> DataFrame:
     """entity, term, share (disclosed part of the entity's information) above the lower threshold."""
     near = found.where(F.size("clues") > 0)
     pairs = near.select(F.explode(F.array_distinct(F.transform("clues", lambda c: F.struct(c.entity, c.term)))).alias("p"))
-    pairs = pairs.groupBy("p.entity", "p.term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
+    pairs = pairs.groupBy("p.entity", "p.term").agg(F.count("*").alias("both"))
     entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("of_entity"))
     pairs = materialise(pairs.join(entities, "entity"), "disclosure_pairs")
     terms = term_frequencies(docs).join(pairs.select("term").distinct(), "term", "left_semi")
-    total = docs.count()
-    gain = F.log(F.lit(float(total)) * F.col("both") / (F.col("of_entity") * F.col("texts")))
-    share = gain / F.log(F.lit(float(total)) / F.col("of_entity"))
-    return pairs.join(terms, "term").where(F.col("of_entity") < total).select("entity", "term", share.alias("share")).where(F.col("share") > generalise)
-
-
-def sanitise(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+    total = float(docs.count())
+    gain = F.log(F.lit(total) * F.col("both") / (F.col("of_entity") * F.col("texts")))
+    share = gain / F.log(F.lit(total) / F.col("of_entity"))
+    # Chernoff: the exponent is n(e) times the divergence of n(e, t) / n(e) from n(t) / N.
+    missed, others = F.col("of_entity") - F.col("both"), F.lit(total) - F.col("texts")
+    without = F.when(missed == 0, 0.0).when(others == 0, float("inf")).otherwise(missed * F.log(missed * total / (F.col("of_entity") * others)))
+    sure = (gain > 0) & (F.col("both") * gain + without >= -math.log(significance))
+    judged = pairs.join(terms, "term").where((F.col("of_entity") < total) & sure)
+    return judged.select("entity", "term", share.alias("share")).where(F.col("share") > generalise)
+
+
+def sanitise(docs: DataFrame, significance: float = SIGNIFICANCE, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """One row per row of ``docs``: doc_id, ``spans`` (typed, by kind and start) and ``terms``.
 
     ``terms`` are sorted (start, end, action) with action ``generalise`` or ``remove``. A null or empty text
@@ -209,7 +216,7 @@ def sanitise(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERA
     found = materialise(
         mentions(docs).withColumn("place", F.monotonically_increasing_id()), "mentions"
     )  # the written table fixes the row numbers
-    risky = disclosures(found, docs, support, generalise)
+    risky = disclosures(found, docs, significance, generalise)
     each = found.where(F.size("clues") > 0).select("place", F.explode("clues").alias("c"))
     marked = each.select("place", "c.*").join(risky, ["entity", "term"])
     action = F.when(F.max("share") > remove, "remove").otherwise("generalise")
