@@ -327,6 +327,29 @@ def test_alignment_against_the_full_table():
         assert edit_distance_in(item.tolist(), region[a:b].tolist()) == edits
 
 
+def test_alignment_in_a_band():
+    """The band that holds the path gives the full table's edits, also at the ends of a text; a narrow one never fewer."""
+    random = np.random.default_rng(16)
+    for trial in range(120):
+        item = random.integers(0, 5, 60).astype(np.uint32)
+        copy, at = item.tolist(), 9
+        for _ in range(int(random.integers(0, 7))):
+            place = int(random.integers(len(copy)))
+            copy[place : place + 1] = ([], [7], [copy[place], 8])[int(random.integers(3))]
+        before, after = random.integers(0, 5, at), random.integers(0, 5, int(random.integers(0, 30)))
+        region = np.concatenate([before[: at * (trial % 2)], copy, after]).astype(np.uint32)
+        begin = at * (trial % 2)
+        wanted = edit_distance_in(item.tolist(), region.tolist())
+        assert decontamination.align(item, region, 6)[0] == wanted <= 6
+        edits, a, b = decontamination.align(item, region, 6, begin - 7, begin + 7)
+        assert edits == wanted == edit_distance_in(item.tolist(), region[a:b].tolist()) and b <= len(region)
+        assert decontamination.align(item, region, 6, begin - 1, begin + 1)[0] >= wanted
+    cut = item[5:].copy()  # a text that begins inside of the item
+    assert decontamination.align(item, cut, 6, -12, 0) == (5, 0, 55)
+    assert decontamination.align(item, item[:-4].copy(), 6, -4, 4) == (4, 0, 56)
+    assert decontamination.align(item, item[:0], 6, -3, 3) == (7, 0, 0)
+
+
 def test_benchmark_passages(spark):
     """Every item put into a text with up to a tenth of its characters changed is found, others are not."""
     random = np.random.default_rng(7)

@@ -46,3 +46,11 @@ def test_queries_find_short_items(spark):
     bench = spark.createDataFrame([(7, "Who wrote Hamlet?"), (8, "光速是多少?"), (9, "whowrote")], "item_id bigint, text string")
     assert sorted((r.doc_id, r.item_id, r.edits) for r in decontamination.contaminated(docs, bench).collect()) == [(1, 7, 0), (2, 8, 0)]
     assert [r.doc_id for r in decontamination.clean(docs, bench).collect()] == [3]
+
+
+def test_single_words_are_reported_but_remove_nothing(spark):
+    docs = spark.createDataFrame([(1, "So the tale ends"), (2, "So who wrote hamlet"), (3, "光速"), (4, None)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(7, "The"), (8, "Who wrote Hamlet?"), (9, "光速"), (10, "光"), (11, None)], "item_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench).collect()} == {(1, 7), (2, 8), (3, 9), (3, 10)}
+    kept = lambda *more: [r.doc_id for r in decontamination.clean(docs, bench, *more).orderBy("doc_id").collect()]
+    assert kept() == [1, 4] and kept(1) == [4]

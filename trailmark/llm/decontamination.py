@@ -156,30 +156,38 @@ def _index(found: list[tuple[object, np.ndarray]], q: int, errors: float) -> Ind
     )
 
 
-def align(item: np.ndarray, region: np.ndarray, most: int) -> tuple[int, int, int]:
+def align(item: np.ndarray, region: np.ndarray, most: int, low: int | None = None, high: int | None = None) -> tuple[int, int, int]:
     """Least edits of the whole item against any part of the region, and that part's ends; most + 1 if there are more.
 
-    A row per item character over the region, free start and end; each cell also carries where its path began.
+    Only the diagonals ``low`` to ``high`` (place in the region less place in the item) are computed, all of them if none are
+    given: a row per item character, as wide as the band. Start and end are free; each cell also carries where its
+    path began. Places before and after the region match nothing, so a path over them costs what leaving out the item's characters does.
     """
-    width = len(region)
-    at = np.arange(width + 1)
-    cost, begin = np.zeros(width + 1, np.int64), at.copy()
-    for i, code in enumerate(item, 1):
-        diagonal = cost[:-1] + (region != code)
-        down = cost[1:] + 1
-        own = np.empty(width + 1, np.int64)
-        start = np.empty(width + 1, np.int64)
-        own[0], start[0] = i, 0
+    low = -len(item) if low is None else low
+    high = len(region) if high is None else high
+    before, after = max(0, -low), max(0, len(item) + high - len(region))
+    padded = np.concatenate([np.full(before, _NOTHING), region, np.full(after, _NOTHING)])
+    width = high - low + 1
+    at = np.arange(width)
+    cost, begin = np.zeros(width, np.int64), at + low
+    down, start_down = np.empty(width, np.int64), np.empty(width, np.int64)
+    down[-1], start_down[-1] = len(item) + most + 2, 0  # from beyond the band
+    for i, code in enumerate(item):
+        first = before + i + low
+        diagonal = cost + (padded[first : first + width] != code)
+        down[:-1], start_down[:-1] = cost[1:] + 1, begin[1:]
         take = diagonal <= down
-        own[1:] = np.where(take, diagonal, down)
-        start[1:] = np.where(take, begin[:-1], begin[1:])
+        own, start = np.where(take, diagonal, down), np.where(take, begin, start_down)
         best = np.minimum.accumulate(own - at)  # steps to the right cost one each
         origin = np.maximum.accumulate(np.where(own - at == best, at, 0))
         cost, begin = best + at, start[origin]
         if cost.min() > most:
             return most + 1, 0, 0
     end = int(cost.argmin())
-    return int(cost[end]), int(begin[end]), end
+    return int(cost[end]), min(max(0, int(begin[end])), len(region)), min(max(0, len(item) + low + end), len(region))
+
+
+_NOTHING = np.uint32(0xFFFFFFFF)  # no code point
 
 
 def regions(codes: np.ndarray, index: Index, hits: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -238,7 +246,7 @@ def matches(codes: np.ndarray, index: Index, grams: np.ndarray, least: int) -> l
         start = max(0, low - spare)
         region = codes[start : high + len(pattern) + spare]
         a = _find(region, pattern)
-        edits, a, b = (0, a, a + len(pattern)) if a >= 0 else align(pattern, region, spare)
+        edits, a, b = (0, a, a + len(pattern)) if a >= 0 else align(pattern, region, spare, low - spare - start, high + spare - start)
         if edits <= spare and (item not in best or (edits, start + a) < best[item][:2]):
             best[item] = (edits, start + a, start + b)
     return [(item, *found) for item, found in sorted(best.items())]
@@ -253,14 +261,15 @@ def _find(region: np.ndarray, pattern: np.ndarray) -> int:
     return at // 4 if at >= 0 else -1
 
 
-def _blocks(spark, items: DataFrame) -> Iterator[Items]:
-    """Indexes of all items, each of bounded size: the blocks are counted first, then read one by one."""
+def _blocks(spark, items: DataFrame, least_words: int = 0) -> Iterator[Items]:
+    """Indexes of all items of so many words, each of bounded size: the blocks are counted first, then read one by one."""
     rows = items.select("item_id", "text").where("text IS NOT NULL").distinct()
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = 1 + total // BLOCK_CHARS
     for block in range(blocks):
         part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else rows
-        yield build([(r.item_id, r.text) for r in sorted(part.collect(), key=lambda r: (r.item_id is None, r.item_id or 0, r.text))])
+        own = sorted(part.collect(), key=lambda r: (r.item_id is None, r.item_id or 0, r.text))
+        yield build([(r.item_id, r.text) for r in own if words(normalise(r.text)[0]) >= least_words])
 
 
 def _search(texts: list[str], items: Items) -> Iterator[list[tuple[object, int, int, int]]]:
@@ -309,9 +318,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark item is found, with all their columns as they are."""
-    for index in _blocks(docs.sparkSession, benchmark):
+LEAST_WORDS = 2  # words of an item that may remove a text
+
+
+def words(codes: np.ndarray) -> int:
+    """Words of a normalised text; each character counts in scripts written without spaces."""
+    border = borders(codes)
+    return int((border[:-1] & (codes != 32)).sum())
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """The rows of ``docs`` in which no benchmark item is found, with all their columns as they are.
+
+    Items of fewer than ``least_words`` words remove nothing, as half of a corpus may hold a single word;
+    :func:`contaminated` reports them all the same. Null and empty texts stay, repeated rows go or stay together.
+    """
+    for index in _blocks(docs.sparkSession, benchmark, least_words):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(source: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
