@@ -23,6 +23,16 @@ def read_or_empty(spark: SparkSession, read, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds columns that later filters read instead of computing them again.
+
+    A filter is pushed below plain columns and repeats their expressions, once for each use; it is not pushed
+    below a generator that makes them.
+    """
+    row = F.struct(*[column.alias(name) for name, column in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 def parse_exact(lines: DataFrame) -> DataFrame:
     """Adds ``record``: the text as one VARIANT; NULL if malformed or followed by more.
 
@@ -31,10 +41,10 @@ def parse_exact(lines: DataFrame) -> DataFrame:
     """
     marked = lines.withColumn("_mark", F.xxhash64("value"))
     text = F.concat(F.lit("["), F.col("value"), F.lit(","), F.col("_mark").cast("string"), F.lit("]"))
-    paired = marked.withColumn("_pair", F.try_parse_json(text))
+    paired = computed_once(marked, {"_pair": F.try_parse_json(text)})
     whole = F.try_variant_get("_pair", "$[1]", "bigint") == F.col("_mark")
     first = F.try_variant_get("_pair", "$[0]", "variant")
-    return paired.withColumn("record", F.when(whole, first)).drop("_mark", "_pair")
+    return computed_once(paired, {"record": F.when(whole, first)}).drop("_mark", "_pair")
 
 
 def json_problem(text: Column, parsed: Column) -> Column:
