@@ -70,7 +70,7 @@ SELECT 'r-' || CAST(doc_id AS VARCHAR) AS rollout_id, 'p-' || lang AS problem_id
 def _read_receipts(fx):
     """Written as one JSON file per receipt, read back and typed."""
     path = scratch_path(fx.spark, "receipts")
-    _document_receipts(fx).write.option("maxRecordsPerFile", 1).json(path)
+    writers.write_json_files(_document_receipts(fx), path)
     typed = receipts.typed_rollouts(receipts.read_receipts(fx.spark, path))
     return typed.withColumn("reason_codes", F.array_join("reason_codes", ","))
 

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.llm.shared import batches, materialise, release, scratch_path
+from trailmark.session import file_system
 
 MAGIC = 0x31564B4F54
 BLOCK = 4_000_000
@@ -241,17 +242,8 @@ def _decompress(control: np.ndarray, data: np.ndarray, count: int) -> np.ndarray
     return found
 
 
-def _filesystem(folder: str):
-    """File system and path of a folder as Spark names it: a plain path, ``file:/path`` or a URI."""
-    from pyarrow import fs
-
-    if folder.startswith("file:") or ":/" not in folder:
-        return fs.LocalFileSystem(), re.sub("^file:/*", "/", folder)
-    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", folder))
-
-
 def _put(folder: str, name: str, parts: list[bytes]) -> str:
-    system, root = _filesystem(folder)
+    system, root = file_system(folder)
     held = f"{root}/.{name}-{uuid.uuid4().hex}"
     with system.open_output_stream(held) as out:
         for part in parts:
@@ -262,7 +254,7 @@ def _put(folder: str, name: str, parts: list[bytes]) -> str:
 
 def _get(path: str) -> bytes:
     folder, _, name = path.rpartition("/")
-    system, root = _filesystem(folder)
+    system, root = file_system(folder)
     with system.open_input_stream(f"{root}/{name}") as source:
         return source.read()
 
@@ -365,7 +357,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
     spark = docs.sparkSession
     blocks = materialise(_blocks(docs, path or tokenizer_path(), end_id, block), "token_blocks")
     id_of_rank = _ranking(blocks)
-    system, root = _filesystem(folder)
+    system, root = file_system(folder)
     system.create_dir(root, recursive=True)
     _put(folder, "ranks.bin", [id_of_rank.tobytes()])
     rank_of = np.zeros(int(id_of_rank.max()) + 1 if len(id_of_rank) else 1, np.uint32)

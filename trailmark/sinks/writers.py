@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +16,7 @@ from trailmark.operators.manifest_out import manifest_header
 from trailmark.operators.selection import MANIFEST_COLUMNS
 from trailmark.operators.summary import batch_digest
 from trailmark.params import ManifestHeader
-from trailmark.session import materialise
+from trailmark.session import file_system, materialise
 from trailmark.sources.documents import read_or_empty
 
 
@@ -108,6 +112,36 @@ def append_once(incoming: DataFrame, path: str, key: str) -> None:
     fresh.hint("rebalance", BUCKET).write.mode("append").partitionBy(BUCKET).parquet(path)
 
 
+FOLDERS = 64  # above Spark's limit for listing folders one after another
+
+
+def write_json_files(records: DataFrame, path: str) -> None:
+    """One JSON object per ``*.json`` file, in ``FOLDERS`` folders below ``path``, which must be a new one.
+
+    Spark's own writer takes a task commit, a checksum and a change of permissions for each file, and the driver lists and
+    moves all of them; here tasks write their files themselves. A file is written under a name of its attempt, then
+    moved, so a repeated task replaces its own files only.
+    """
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, number = TaskContext.get().partitionId(), 0
+        system, root = file_system(f"{path.rstrip('/')}/part={part}")
+        system.create_dir(root, recursive=True)
+        for batch in source:
+            for value in batch.column("value"):
+                held, name = f"{root}/.{uuid.uuid4().hex}", f"{root}/record-{part:05d}-{number:09d}.json"
+                with system.open_output_stream(held) as out:
+                    out.write(value.as_buffer())
+                system.move(held, name)
+                number += 1
+        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64())], names=["n"])
+
+    lines = records.select(F.to_json(F.struct("*")).alias("value"))
+    lines.repartition(FOLDERS).mapInArrow(run, "n bigint").agg(F.sum("n")).collect()
+
+
 REPORT_KEYS = ("section", "key", "metric")
 
 
