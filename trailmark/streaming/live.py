@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
 from trailmark.operators.ledger import DECIDING_EVENTS, STATES, event_code, state_name
 
+HISTORY_BUCKETS = 1024
+VIOLATIONS = ("TERMINAL_WITHOUT_START", "DUPLICATE_START", "DUPLICATE_TERMINAL")
+
 
 def stream_intent_states(events: DataFrame) -> DataFrame:
     """State and validity per intent with constant state, for batch or streaming input.
@@ -37,44 +41,73 @@ def stream_intent_states(events: DataFrame) -> DataFrame:
     return seen.select("intent_id", F.when(~invalid, state).alias("state"), invalid.alias("is_violation"))
 
 
-def stream_intent_histories(events: DataFrame) -> DataFrame:
+def stream_intent_histories(events: DataFrame, buckets: int = HISTORY_BUCKETS) -> DataFrame:
     """State and exact violation per intent of a stream, as the batch replay gives them once all has arrived.
 
     An intent's state is its first three start or terminal events so far, in replay order, whatever order they
-    arrive in. A row is emitted only where a batch changes an intent's answer.
+    arrive in. A row is emitted only where a batch changes an intent's answer. Intents are dealt into ``buckets`` by a
+    hash of their id, so that Python is called for a bucket and not for an intent; a batch reads and writes the state of the
+    buckets it touches. A stream keeps the number of buckets it began with.
     """
+    bucket = F.pmod(F.xxhash64("intent_id"), F.lit(buckets)).alias("bucket")
+    seq = F.col("seq").cast("bigint")
     coded = events.where(F.col("intent_id").isNotNull()).select(
-        "intent_id", F.col("seq").cast("string").alias("seq"), event_code(F.col("event_type")).alias("code")
+        bucket, "intent_id", seq.isNull().alias("unplaced"), F.coalesce(seq, F.lit(0)).alias("seq"), event_code(F.col("event_type")).alias("code")
     )
-    kept = ", ".join(f"seq{n} bigint, code{n} int" for n in range(DECIDING_EVENTS))
-    return coded.where(F.col("code").isNotNull()).groupBy("intent_id").applyInPandasWithState(
-        _replay, "intent_id string, state string, violation string", kept, "update", "NoTimeout"
+    return coded.where(F.col("code").isNotNull()).groupBy("bucket").applyInPandasWithState(
+        _replay, "intent_id string, state string, violation string", "events binary", "update", "NoTimeout"
     )
 
 
+_PLACE = ["intent_id", "unplaced", "seq", "code"]
+_MERGED_ROWS = 10_000
+
+
 def _replay(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    known = state.getOption or ()
-    before = [event for event in zip(known[::2], known[1::2]) if event[1] is not None]
-    first = before
+    before = _unpacked(state.get[0]) if state.exists else None
+    first, new, rows = before, [], 0
     for frame in frames:
-        new = ((None if seq is None else int(seq), int(code)) for seq, code in zip(frame["seq"], frame["code"]))
-        first = heapq.nsmallest(DECIDING_EVENTS, [*first, *new], key=lambda e: (e[0] is None, e[0] or 0, e[1]))
-    padded = first + [(None, None)] * (DECIDING_EVENTS - len(first))
-    state.update(tuple(value for event in padded for value in event))
-    answer = _answer([code for _, code in first])
-    if not before or answer != _answer([code for _, code in before]):
-        yield pd.DataFrame({"intent_id": [key[0]], "state": [answer[0]], "violation": [answer[1]]})
-
-
-def _answer(codes: list[int]) -> tuple[str | None, str | None]:
-    """State and violation of a history's first three events, by the rules of the batch replay."""
-    if codes[0] != 0:
-        return None, "TERMINAL_WITHOUT_START"
-    if 0 in codes[1:]:
-        return None, "DUPLICATE_START"
-    if len(codes) == DECIDING_EVENTS:
-        return None, "DUPLICATE_TERMINAL"
-    return (STATES[codes[1] - 1] if len(codes) > 1 else "STARTED_UNKNOWN"), None
+        new.append(_deciding(frame[_PLACE]))
+        rows += len(new[-1])
+        if rows > max(_MERGED_ROWS, 0 if first is None else len(first)):
+            first, new, rows = _deciding(pd.concat(new if first is None else [first, *new])), [], 0
+    if new:
+        first = _deciding(pd.concat(new if first is None else [first, *new]))
+    state.update((_packed(first),))
+    found = _answers(first)
+    if before is not None:
+        known = _answers(before).reindex(found.index)
+        found = found[(found != known) | known.isna()]
+    if len(found):
+        violated = found.isin(VIOLATIONS)
+        yield pd.DataFrame({"intent_id": found.index, "state": found.mask(violated, None).values, "violation": found.where(violated, None).values})
+
+
+def _deciding(events: pd.DataFrame) -> pd.DataFrame:
+    """The first three events of every intent, in replay order."""
+    return events.sort_values(_PLACE).groupby("intent_id", sort=False).head(DECIDING_EVENTS)
+
+
+def _answers(first: pd.DataFrame) -> pd.Series:
+    """State or violation of every intent from its first three events, by the rules of the batch replay."""
+    placed = first.assign(place=first.groupby("intent_id", sort=False).cumcount())
+    codes = placed.pivot(index="intent_id", columns="place", values="code").reindex(columns=range(DECIDING_EVENTS))
+    e1, e2, e3 = (codes[n] for n in range(DECIDING_EVENTS))
+    rules = [e1 != 0, (e2 == 0) | (e3 == 0), e3.notna(), e2.isna()]
+    states = np.array(STATES, object)[e2.fillna(1).clip(lower=1).astype(int) - 1]
+    return pd.Series(np.select(rules, [*VIOLATIONS, "STARTED_UNKNOWN"], states).astype(object), index=codes.index)
+
+
+def _packed(events: pd.DataFrame) -> bytes:
+    table = pa.Table.from_pandas(events, pa.schema([("intent_id", pa.string()), ("unplaced", pa.bool_()), ("seq", pa.int64()), ("code", pa.int32())]), preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(raw: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(pa.py_buffer(bytes(raw))).read_all().to_pandas()
 
 
 def stream_receipt_counts(receipts: DataFrame) -> DataFrame:
