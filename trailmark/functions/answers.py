@@ -107,12 +107,14 @@ def extract_boxed(text: Column) -> Column:
 
 def normalise_answer(answer: Column) -> Column:
     """Answer text without box wrapper, math delimiters, spacing commands and blanks."""
-    inner = F.regexp_replace(F.trim(answer), r"(?s)^\\boxed\s*\{(.*)\}$", "$1")
+    trimmed = F.trim(answer)
+    inner = F.regexp_replace(trimmed, r"(?s)^\\boxed\s*\{(.*)\}$", "$1")
     plain = F.regexp_replace(inner, r"\\(?:left|right)(?![a-zA-Z])|\\[!,;: ]|\\?\$", "")
     plain = F.regexp_replace(plain, r"(?<![0-9])\s+|\s+(?![0-9])", "")
     plain = F.regexp_replace(plain, r"\\[dt]frac", r"\\frac")
     plain = F.regexp_replace(plain, r"^([+-]?)\\frac\{([+-]?[0-9.]+)\}\{([+-]?[0-9.]+)\}$", "$1$2/$3")
-    return F.regexp_replace(plain, r"\.$", "")
+    # Without a backslash, dollar, blank or last full stop none of these finds anything.
+    return F.when(trimmed.rlike(r"[\\$\s]|\.$"), F.regexp_replace(plain, r"\.$", "")).otherwise(trimmed)
 
 
 # At most 12 integer and 6 fractional digits, so that cross products stay exact; longer ones see same_long_fraction.
