@@ -193,8 +193,8 @@ def _forced_returned(fx, facts):
     )
 
 
-def _checkpoint_facts(fx):
-    facts = _base_facts(fx)
+def _checkpoint_facts(fx, facts=None):
+    facts = _base_facts(fx) if facts is None else facts
     return receipts_out.checkpoint_facts(facts, _forced_returned(fx, facts), PLAN, MARKER, CUE, EOS, FORCED)
 
 
@@ -273,10 +273,10 @@ WITH {_CHILD_CTE} SELECT 'checkpoint' AS kind, checkpoint_id AS id, status, c1 A
 UNION ALL SELECT 'rollout', rollout_id, status, TRUE, NULL, NULL FROM b""")
 def _receipts_stored(fx):
     """Receipts of both stages appended twice, then read back from the store and typed."""
-    stored = {}
+    stored, facts = {}, materialise(_base_facts(fx), "base_facts")  # read three times below
     for kind, key, made in (
-        ("rollout", "rollout_id", receipts_out.base_receipts(_base_facts(fx), RUN, MARKER, BASE)),
-        ("checkpoint", "checkpoint_id", receipts_out.checkpoint_receipts(_checkpoint_facts(fx), RUN, CUE, FORCED)),
+        ("rollout", "rollout_id", receipts_out.base_receipts(facts, RUN, MARKER, BASE)),
+        ("checkpoint", "checkpoint_id", receipts_out.checkpoint_receipts(_checkpoint_facts(fx, facts), RUN, CUE, FORCED)),
     ):
         path, made = scratch_path(fx.spark, f"{kind}_receipts"), materialise(made, f"{kind}_made")
         for _ in range(2):
