@@ -36,6 +36,7 @@ KNOWN_BITS = 1 << 22
 KNOWN_LEVEL = 0.9  # of the quantile: two hundred texts say little about the rarest words of a language
 LEAST_SPREAD = 0.1
 UNKNOWN = "und"
+BATCH_CHARS = 1_000_000  # of texts whose words are counted at once
 
 
 @dataclass
@@ -199,7 +200,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = predictor(sent.value)
-        for batch in batches(source):
+        for batch in batches(source, chars=BATCH_CHARS):
             done = of([t or "" for t in batch.column("text").to_pylist()])
             lang, score, rejected = zip(*done)
             yield pa.RecordBatch.from_arrays(
@@ -215,7 +216,7 @@ def accepted(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = predictor(sent.value)
-        for batch in batches(source):
+        for batch in batches(source, chars=BATCH_CHARS):
             done = of([t or "" for t in batch.column("text").to_pylist()])
             yield batch.filter(pa.array([not rejected for _, _, rejected in done], pa.bool_()))
 
