@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import ExitStack
+
 from pyspark.sql import functions as F
 
 from suite.registry import query
@@ -9,7 +11,7 @@ from suite.views import CUE, EOS, MANIFEST_HASH, MARKER, WORD_POSITIONS
 from trailmark.functions.identity import checkpoint_id
 from trailmark.operators import receipts_out, trajectory
 from trailmark.params import CampaignPlan, Decoding, RunContext
-from trailmark.session import materialise, scratch_path
+from trailmark.session import kept, scratch_path
 from trailmark.sinks import writers
 from trailmark.sources import receipts
 
@@ -273,15 +275,21 @@ WITH {_CHILD_CTE} SELECT 'checkpoint' AS kind, checkpoint_id AS id, status, c1 A
 UNION ALL SELECT 'rollout', rollout_id, status, TRUE, NULL, NULL FROM b""")
 def _receipts_stored(fx):
     """Receipts of both stages appended twice, then read back from the store and typed."""
-    stored, facts = {}, materialise(_base_facts(fx), "base_facts")  # read three times below
-    for kind, key, made in (
-        ("rollout", "rollout_id", receipts_out.base_receipts(facts, RUN, MARKER, BASE)),
-        ("checkpoint", "checkpoint_id", receipts_out.checkpoint_receipts(_checkpoint_facts(fx, facts), RUN, CUE, FORCED)),
-    ):
-        path, made = scratch_path(fx.spark, f"{kind}_receipts"), materialise(made, f"{kind}_made")
+    stored = {}
+
+    def store(kind, key, made):
+        path = scratch_path(fx.spark, f"{kind}_receipts")
         for _ in range(2):
-            writers.append_once(made, path, key)
+            writers.append_once(made, path, key, stored=True)
         stored[kind] = fx.spark.read.schema(made.schema).parquet(path).select("file_name", F.parse_json("receipt").alias("record"))
+
+    # The facts are read three times. Each table goes as soon as nothing reads it.
+    with ExitStack() as last:
+        with kept(_base_facts(fx), "base_facts") as facts:
+            with kept(receipts_out.checkpoint_receipts(_checkpoint_facts(fx, facts), RUN, CUE, FORCED), "checkpoint_made") as made:
+                store("checkpoint", "checkpoint_id", made)
+            made = last.enter_context(kept(receipts_out.base_receipts(facts, RUN, MARKER, BASE), "rollout_made"))
+        store("rollout", "rollout_id", made)
     rollouts, checkpoints = receipts.typed_rollouts(stored["rollout"]), receipts.typed_checkpoints(stored["checkpoint"])
     return checkpoints.select(
         F.lit("checkpoint").alias("kind"), F.col("checkpoint_id").alias("id"), "status", "eligible", "availability_status", "observed_transition_label",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -16,7 +17,7 @@ from trailmark.operators.manifest_out import manifest_header
 from trailmark.operators.selection import MANIFEST_COLUMNS
 from trailmark.operators.summary import batch_digest
 from trailmark.params import ManifestHeader
-from trailmark.session import file_system, materialise
+from trailmark.session import file_system, kept, materialise, shuffles_dropped
 from trailmark.sources.documents import read_or_empty
 
 
@@ -33,6 +34,8 @@ def content_hash(columns: list[str]) -> Column:
 CONTENT_HASH = "_content_hash"
 BUCKET = "_bucket"
 BUCKETS = 32  # the most folders that Spark lists without a job
+# An append of more bytes than SLICE is moved in up to SLICES parts, so that its shuffle files are a share of it.
+SLICE, SLICES = 64 << 20, 4
 
 
 def _versions(records: DataFrame, key: str) -> DataFrame:
@@ -48,22 +51,27 @@ def append_once_status(incoming: DataFrame, existing: DataFrame, key: str) -> Da
     Both sides are tagged and counted per (id, content hash), so repeated copies
     collapse before the shuffle and no join is needed.
     """
+    return _compared(incoming, existing, key).select("id", "status")
+
+
+def _compared(incoming: DataFrame, existing: DataFrame, key: str) -> DataFrame:
+    """Per id its status and how many incoming records have it."""
     versions = (
         _versions(incoming, key).withColumn("side", F.lit(1))
         .unionByName(_versions(existing, key).withColumn("side", F.lit(2)))
         .groupBy("id", "hash")
-        .agg(F.max((F.col("side") == 1).cast("int")).alias("is_new"),
+        .agg(F.count_if(F.col("side") == 1).alias("copies"),
              F.max((F.col("side") == 2).cast("int")).alias("is_old"))
     )
     ids = versions.groupBy("id").agg(
-        F.count("*").alias("versions"), F.max("is_new").alias("is_new"), F.max("is_old").alias("is_old")
+        F.count("*").alias("versions"), F.sum("copies").alias("copies"), F.max("is_old").alias("is_old")
     )
     status = (
         F.when(F.col("versions") > 1, "CONFLICT")
         .when(F.col("is_old") == 1, "UNCHANGED")
         .otherwise("APPEND")
     )
-    return ids.where(F.col("is_new") == 1).select("id", status.alias("status"))
+    return ids.where(F.col("copies") > 0).select("id", status.alias("status"), "copies")
 
 
 def bucket_of(key: str) -> Column:
@@ -86,30 +94,48 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop(CONTENT_HASH, BUCKET)
 
 
-def append_once(incoming: DataFrame, path: str, key: str) -> None:
+def append_once(incoming: DataFrame, path: str, key: str, stored: bool = False) -> None:
     """Append records whose id is new; same content is a no-op, different content or no id an error.
 
     Records lie in folders by a hash of their id, beside their content hash. An append computes the incoming
-    records once, and of the store it reads only ids and hashes in the folders that its own ids fall into. An append that
-    was cut off can be repeated: what it has written counts as unchanged.
+    records once, and of the store it reads only ids and hashes in the folders that its own ids fall into. Its copy of
+    the records is deleted when it ends; ``stored`` says that they are read from files that stay as they are,
+    which needs no copy. An append that was cut off can be repeated: what it has written counts as unchanged.
     """
     spark, columns = incoming.sparkSession, incoming.columns
     if {CONTENT_HASH, BUCKET} & set(columns):
         raise ValueError(f"records may not have columns {CONTENT_HASH} and {BUCKET}")
     hashed = incoming.withColumns({CONTENT_HASH: content_hash(columns), BUCKET: bucket_of(key)})
-    hashed = materialise(hashed, "append")
-    buckets = [r[BUCKET] for r in hashed.select(BUCKET).distinct().collect()]  # BUCKETS and a NULL at most
-    if None in buckets:
-        raise ValueError(f"records without {key}")
-    stored = stored_versions(spark, path, incoming, key, buckets)
-    status = materialise(append_once_status(hashed, stored, key), "append_status")
-    sample = status.where(F.col("status") == "CONFLICT").head()
-    if sample is not None:
-        raise ConflictError(f"refusing to replace an immutable record: {sample['id']}")
-    new_ids = status.where(F.col("status") == "APPEND").select(F.col("id").alias(key))
-    fresh = hashed.join(new_ids, key, "left_semi").dropDuplicates([key]).select(*columns, CONTENT_HASH, BUCKET)
-    # One file a folder, or more where a folder gets much: the runtime planner splits and merges by size.
-    fresh.hint("rebalance", BUCKET).write.mode("append").partitionBy(BUCKET).parquet(path)
+    with ExitStack() as held:
+        if not stored:
+            hashed = held.enter_context(kept(hashed, "append"))
+        held.enter_context(shuffles_dropped(spark))
+        buckets = [r[BUCKET] for r in hashed.select(BUCKET).distinct().collect()]  # BUCKETS and a NULL at most
+        if None in buckets:
+            raise ValueError(f"records without {key}")
+        known = stored_versions(spark, path, incoming, key, buckets)
+        status = held.enter_context(kept(_compared(hashed, known, key), "append_status"))
+        sample = status.where(F.col("status") == "CONFLICT").head()
+        if sample is not None:
+            raise ConflictError(f"refusing to replace an immutable record: {sample['id']}")
+        new = F.col("status") == "APPEND"
+        found = status.agg(F.count_if(new).alias("new"), F.count_if(~new | (F.col("copies") > 1)).alias("other")).head()
+        if not found["new"] and _exists(spark, path):
+            return
+        new_ids = status.where(new).select(F.col("id").alias(key))
+        parts = max(1, min(SLICES, len(buckets), -(-_bytes(hashed) // SLICE)))
+        for part in range(parts):
+            fresh = hashed.where(F.col(BUCKET).isin(sorted(buckets)[part::parts])) if parts > 1 else hashed
+            if found["other"] or not found["new"]:
+                fresh = fresh.join(new_ids, key, "left_semi").dropDuplicates([key])
+            # One file a folder, or more where a folder gets much: the runtime planner splits and merges by size.
+            fresh = fresh.select(*columns, CONTENT_HASH, BUCKET).hint("rebalance", BUCKET)
+            fresh.write.mode("append").option("compression", "zstd").partitionBy(BUCKET).parquet(path)
+
+
+def _bytes(df: DataFrame) -> int:
+    """Size of a table's files, or what the planner expects of other rows."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 FOLDERS = 64  # above Spark's limit for listing folders one after another
