@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions import strict
+from trailmark.session import file_system, folder_entries, materialise, uri_name
 
 MALFORMED = "MALFORMED_JSON"
 NOT_OBJECT = "NOT_AN_OBJECT"
@@ -72,16 +76,117 @@ def parse_objects(lines: DataFrame, strict_mode: bool) -> DataFrame:
     return flagged.where(stop).select("file_name", *placed, "record")
 
 
+FILES = 10_000  # the most files that a task reads on average
+BATCH_FILES, BATCH_BYTES = 1_000, 4 << 20  # of a task's files, what is in memory at once
+
+
+def _arrow_folder(spark: SparkSession, directory: str) -> str | None:
+    """A directory's full name, if it is one directory that Arrow opens."""
+    if set("{}[]*?\\") & set(directory):
+        return None
+    place = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    system = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not system.exists(place):
+        return None
+    folder = system.makeQualified(place).toString()
+    try:
+        system, root = file_system(folder)
+        return folder if not system.get_file_info(root).is_file else None
+    except (pa.ArrowException, OSError):
+        return None
+
+
+def _listed(folders: DataFrame, base: str) -> DataFrame:
+    """(path, name, folder, bytes) of the folders and ``*.json`` files in ``folders`` but for names that Spark hides.
+
+    A written table, so every later read sees the same files.
+    """
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system = file_system(base)[0]
+        held: list = []
+
+        def out() -> pa.RecordBatch:
+            columns = [list(c) for c in zip(*held)] or [[], [], [], []]
+            kinds = (pa.string(), pa.string(), pa.bool_(), pa.int64())
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["path", "name", "folder", "bytes"])
+
+        for batch in source:
+            for folder in batch.column("path").to_pylist():
+                for name, is_folder, size in folder_entries(system, folder):
+                    hidden = name.startswith(".") or name.endswith("._COPYING_") or name.startswith("_") and "=" not in name
+                    if not hidden and (is_folder or name.endswith(".json")):
+                        held.append((f"{folder.rstrip('/')}/{name}", name, is_folder, size))
+                    if len(held) >= 10_000:
+                        yield out()
+        yield out()
+
+    return materialise(folders.mapInArrow(run, "path string, name string, folder boolean, bytes bigint"), "listed")
+
+
+def _json_files(spark: SparkSession, base: str) -> DataFrame | None:
+    """(path, name, folder, bytes) of the files of a directory, or of one with folders ``key=value`` of files only; else None.
+
+    Tasks list them, so the driver holds no names.
+    """
+    key = F.regexp_extract("name", "^([^=]+)=.", 1)
+    found = _listed(spark.range(0, 1, 1, 1).select(F.lit(file_system(base)[1]).alias("path")), base)
+    folder = F.col("folder")
+    kinds = found.agg(
+        F.count_if(folder).alias("folders"), F.count_if(~folder).alias("files"), F.count_if(folder & (key == "")).alias("plain"),
+        F.min(F.when(folder, key)).alias("low"), F.max(F.when(folder, key)).alias("high"),
+    ).head()
+    if not kinds["folders"]:
+        return found
+    if kinds["files"] or kinds["plain"] or kinds["low"] != kinds["high"] or kinds["low"].lower() in ("value", "_metadata"):
+        return None
+    inside = _listed(found.select("path").repartition(4 * spark.sparkContext.defaultParallelism, "path"), base)
+    return inside if inside.where("folder").isEmpty() else None
+
+
+def _whole_files(files: DataFrame, base: str) -> DataFrame:
+    """(file_name, value) of listed files, in tasks of so many bytes as Spark's own readers take, or of ``FILES`` files."""
+    spark = files.sparkSession
+    files = files.where("bytes > 0")  # as Spark's text reader
+    total = files.agg(F.count("*").alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).head()
+    most = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    tasks = max(1, min(total["files"], spark.sparkContext.defaultParallelism), -(-total["files"] // FILES), -(-total["bytes"] // most))
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system = file_system(base)[0]
+        names: list = []
+        values: list = []
+        held = 0
+        for batch in source:
+            for path, name in zip(batch.column("path").to_pylist(), batch.column("name").to_pylist()):
+                with system.open_input_stream(path, compression=None) as file:
+                    values.append(file.read())
+                names.append(uri_name(name))
+                held += len(values[-1])
+                if held >= BATCH_BYTES or len(names) >= BATCH_FILES:
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(values, pa.binary())], names=["file_name", "value"])
+                    names, values, held = [], [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(values, pa.binary())], names=["file_name", "value"])
+
+    read = files.select("path", "name").repartition(tasks, "path").mapInArrow(run, "file_name string, value binary")
+    return read.select("file_name", F.col("value").cast("string").alias("value"))
+
+
 def read_json_files(spark: SparkSession, directory: str, strict_mode: bool = True) -> DataFrame:
     """One JSON object per ``*.json`` file; a missing directory is an empty table.
 
-    Small files are packed into splits by Spark, so tasks follow bytes, not file count.
+    Tasks list the files and read them, some MB each: Spark's own reader lists them in the driver, which then holds about
+    a KB for each file, and packs as few as four small files into a task. It reads what is left: paths with wildcards, stores that Arrow does
+    not open, and folders in other places than ``key=value`` below the directory.
     """
     def scan() -> DataFrame:
         text = spark.read.text(directory, wholetext=True, pathGlobFilter="*.json")
         return text.select(F.col("_metadata.file_name").alias("file_name"), "value")
 
-    lines = read_or_empty(spark, scan, "file_name string, value string")
+    base = _arrow_folder(spark, directory)
+    files = None if base is None else _json_files(spark, base)
+    lines = read_or_empty(spark, scan, "file_name string, value string") if files is None else _whole_files(files, base)
     return parse_objects(lines, strict_mode)
 
 
