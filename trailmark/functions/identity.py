@@ -12,7 +12,15 @@ def sha256_text(text: Column) -> Column:
 
 def canonical_json(struct: Column) -> Column:
     """Compact JSON with nulls kept. Declare struct fields in sorted key order."""
-    text = F.to_json(struct, {"ignoreNullFields": "false"})
+    return lower_escapes(plain_json(struct))
+
+
+def plain_json(struct: Column) -> Column:
+    return F.to_json(struct, {"ignoreNullFields": "false"})
+
+
+def lower_escapes(text: Column) -> Column:
+    """JSON by Spark with its escapes in canonical form. Choose between texts inside, so that the one chosen is made once."""
     lowered = text  # control characters have lower-case hex digits; an escaped backslash before "u" is text
     for digit in "ABCDEF":
         lowered = F.regexp_replace(lowered, rf"(?<!\\)((?:\\\\)*\\u00[01]){digit}", f"$1{digit.lower()}")

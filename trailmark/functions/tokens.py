@@ -62,17 +62,19 @@ def all_subsequence_starts(tokens: Column, target: Sequence[int]) -> Column:
 
 
 def thinking_boundary(tokens: Column, marker: Sequence[int]) -> Column:
-    starts = all_subsequence_starts(tokens, marker)
-    count = F.size(starts)
-    return F.struct(
-        F.get(starts, F.lit(0)).alias("first_close_marker_start"),
-        count.alias("close_marker_count"),
-        F.when(count == 0, "NO_CLOSE_MARKER")
-        .when(count == 1, "ONE_CLOSE_MARKER")
-        .otherwise("MULTIPLE_CLOSE_MARKERS")
-        .alias("marker_status"),
-        token_hash(token_array(marker)).alias("close_marker_sha256"),
-    )
+    def found(starts: Column) -> Column:
+        count = F.size(starts)
+        return F.struct(
+            F.get(starts, F.lit(0)).alias("first_close_marker_start"),
+            count.alias("close_marker_count"),
+            F.when(count == 0, "NO_CLOSE_MARKER")
+            .when(count == 1, "ONE_CLOSE_MARKER")
+            .otherwise("MULTIPLE_CLOSE_MARKERS")
+            .alias("marker_status"),
+            token_hash(token_array(marker)).alias("close_marker_sha256"),
+        )
+
+    return bound(all_subsequence_starts(tokens, marker), found)  # else searched for each use below a condition
 
 
 def first_position_in(tokens: Column, ids: Sequence[int]) -> Column:

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.functions.identity import canonical_json, checkpoint_id, rollout_id, safe_name, token_hash
+from trailmark.functions.identity import checkpoint_id, lower_escapes, plain_json, rollout_id, safe_name, token_hash
 from trailmark.functions.labels import classify_transition
 from trailmark.functions.tokens import termination_status, thinking_boundary, token_array
 from trailmark.functions.verifier import Verifier, verdict_of
@@ -207,10 +207,10 @@ def _sorted(value: Column, names: Sequence[str]) -> Column:
 
 def _written(facts: DataFrame, key: str, completed: Column, failed: Column, interrupted: Column, unavailable: Column | None = None) -> DataFrame:
     status = F.col("status")
-    receipt = F.when(status == "COMPLETED", canonical_json(completed)).when(status == "FAILED", canonical_json(failed))
+    receipt = F.when(status == "COMPLETED", plain_json(completed)).when(status == "FAILED", plain_json(failed))
     if unavailable is not None:
-        receipt = receipt.when(status == "UNAVAILABLE", canonical_json(unavailable))
-    receipt = receipt.otherwise(canonical_json(interrupted))
+        receipt = receipt.when(status == "UNAVAILABLE", plain_json(unavailable))
+    receipt = lower_escapes(receipt.otherwise(plain_json(interrupted)))
     return facts.select(key, safe_name(F.col(key)).alias("file_name"), "status", receipt.alias("receipt"))
 
 
@@ -305,7 +305,7 @@ def eligibility_record(policy: CensoringPolicy) -> Column:
     }
     shown = {name: _object(**(seen or given), passed=ok) for name, (_, ok, given, seen) in criteria.items()}
     reasons = [
-        F.when(~ok, F.parse_json(canonical_json(_object(code=F.lit(code), **given)))) for code, ok, given, _ in criteria.values()
+        F.when(~ok, F.parse_json(plain_json(_object(code=F.lit(code), **given)))) for code, ok, given, _ in criteria.values()
     ]
     passed = [ok for _, ok, _, _ in criteria.values()]
     eligible = passed[0]
